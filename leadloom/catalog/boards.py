@@ -1 +1,546 @@
-"""Registered queries."""
+"""Rankings, task lists, dashboards, scores and the status machine."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from leadloom import vocab
+from leadloom.catalog import inputs, query
+from leadloom.catalog.inputs import joined
+from leadloom.catalog.lists import HISTORIES, INTERPRET, LAST, LIVE, NORMAL, NOW, PREP, _N, history_tables, q
+from leadloom.domain import AS_OF, table, with_tables
+from leadloom.functions.text import joined_lower, match_categories
+from leadloom.operators import aggregates as agg
+from leadloom.operators import flow, scores
+from leadloom.operators.joins import preparedness
+from leadloom.operators import projections as prj
+from leadloom.operators.signals import adjust_scores, fit_signals, top_person
+from leadloom.plans import boards
+
+# --- shared SQL: signals and scores, restated ---------------------------------------
+
+FOUND = ("found",)
+
+
+def under(host: str, domains) -> str:
+    return f"list_has_any(list_transform(range(1, len(string_split({host}, '.')) + 1), lambda i: array_to_string(string_split({host}, '.')[i:], '.')), [{q(domains)}])"
+
+
+def _rules(host: str, rules) -> str:
+    labels, domains = [r[:-1] for r in rules if r.endswith(".")], [r for r in rules if not r.endswith(".")]
+    return f"(list_has_any(string_split({host}, '.'), [{q(labels)}]) OR {under(host, domains)})"
+
+
+def official(url: str) -> str:
+    """SQL: the URL may stand as a maker's own site."""
+    net = f"regexp_extract(lower({url}), '^https?://([^/?#]*)', 1)"
+    path = f"lower(regexp_extract({url}, '^https?://[^/?#]*([^?#]*)', 1))"
+    bad_path = " OR ".join(f"contains({path}, '{p}')" for p in vocab.PLACEHOLDER_PATHS)
+    return (
+        f"coalesce({url} LIKE 'http%://%' AND NOT {under(f'regexp_replace({net}, ' + repr('^www[.]') + ', ' + repr('') + ')', vocab.NON_OFFICIAL_PLATFORMS)}"
+        f" AND NOT {_rules(net, vocab.NON_OFFICIAL_HOSTS)} AND NOT {_rules(net, vocab.REJECTED_OFFICIAL_HOSTS)}"
+        f" AND {net} <> '' AND NOT list_has_any(string_split({net}, '.'), [{q(vocab.PLACEHOLDER_HOST_LABELS)}])"
+        f" AND NOT ({bad_path}), false)"
+    )
+
+
+SOURCES = ("projects", "contacts", "japan_checks", "researches", "people", "success_cases")
+SIGNALS = f"""
+cd AS (SELECT * FROM contacts QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) = 1),
+jc AS (SELECT *, {_N(vocab.DISTRIBUTOR_CHANNELS, FOUND)} > 0 AS dist, {_N(vocab.SHOP_CHANNELS, FOUND)} > 0 AS sold FROM japan_checks
+  WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) = 1),
+cr AS (SELECT * FROM researches WHERE research_status = 'completed' QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) = 1),
+tp AS (SELECT project_id, priority FROM people QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY coalesce(priority, -1) DESC, coalesce(confidence, -1) DESC, id) = 1),
+sig AS (SELECT p.*, cd.project_id IS NOT NULL AS contact_checked, jc.project_id IS NOT NULL AS japan_checked, coalesce(dist, false) AS has_distributor,
+  coalesce(sold, false) AS sold_in_japan, coalesce(NOT dist AND NOT sold, false) AS no_japan_presence, cr.project_id IS NOT NULL AS research_done,
+  coalesce(cr.japan_market_fit, '') <> '' AS research_japan_fit, tp.priority AS person, coalesce(primary_email, '') <> '' AS has_email,
+  coalesce(primary_contact_form_url, '') <> '' AS has_form, coalesce(instagram_url, '') <> '' AS has_instagram, coalesce(linkedin_url, '') <> '' AS has_linkedin,
+  coalesce(facebook_url, '') <> '' AS has_facebook, {official('official_site_url')} AS has_official_site, contactability_score AS reach, recommended_channel AS rc,
+  CASE WHEN trim(p.category) IN (SELECT category FROM success_cases WHERE category IS NOT NULL) THEN 70 END AS similarity
+  FROM projects p LEFT JOIN cd ON cd.project_id = p.id LEFT JOIN jc ON jc.project_id = p.id LEFT JOIN cr ON cr.project_id = p.id LEFT JOIN tp ON tp.project_id = p.id),
+exec AS (SELECT *, CAST(least(100, greatest(0, round_even(50.0::DOUBLE + coalesce((latest_score - 50) * 0.5::DOUBLE, 0)
+  + CASE WHEN japan_checked THEN CASE WHEN has_distributor THEN -25 WHEN sold_in_japan THEN -15 WHEN no_japan_presence THEN 18 ELSE 0 END ELSE 0 END
+  + CASE WHEN contact_checked THEN CASE WHEN has_email THEN 12 ELSE 0 END + CASE WHEN has_form THEN 8 ELSE 0 END + CASE WHEN has_instagram OR has_linkedin THEN 6 ELSE 0 END
+      + coalesce((reach - 50) * 0.1::DOUBLE, 0) ELSE -5 END
+  + CASE WHEN person >= 85 THEN 10 WHEN person >= 70 THEN 5 WHEN person <= 40 THEN -10 ELSE 0 END + CASE WHEN research_japan_fit THEN 4 ELSE 0 END
+  + CASE WHEN similarity >= 60 THEN 8 WHEN similarity >= 30 THEN 4 ELSE 0 END
+  + CASE WHEN sales_status IN ({q(vocab.DONE_STATUSES)}) THEN -45 WHEN sales_status = 'negotiating' THEN -25 WHEN sales_status IN ('awaiting_reply', 'replied') THEN -22
+      WHEN sales_status = 'contacted' THEN -15 WHEN sales_status IN ('not_started', 'ready') THEN 5 ELSE 0 END, 0))) AS INT) AS score FROM sig)"""
+CHANNEL = """coalesce(CASE rc WHEN 'email' THEN 'email' WHEN 'contact_form' THEN 'contact_form' WHEN 'instagram' THEN 'instagram' WHEN 'press' THEN 'manual_search' WHEN 'manual_research' THEN 'manual_search' END,
+  CASE WHEN has_email THEN 'email' WHEN has_form THEN 'contact_form' WHEN has_instagram THEN 'instagram' WHEN has_linkedin THEN 'linkedin' WHEN has_facebook THEN 'facebook' ELSE 'manual_search' END)"""
+
+
+@query(
+    "sort04_ranking",
+    with_tables(*SOURCES, then=f"""WITH {SIGNALS}
+    SELECT id, title, score, CAST(row_number() OVER (ORDER BY score DESC, coalesce(latest_score, -1) DESC, id) AS INT) AS rank FROM exec
+    WHERE {LIVE} AND sales_status IN ('not_started', 'ready') QUALIFY rank <= 20"""),
+)
+def sort04(spark, sf):
+    rows = boards.ranking(inputs.projects(spark, sf), limit=20, **inputs.summary_sources(spark, sf))
+    return rows.select("id", "title", "score", "rank")
+
+
+@query(
+    "sort04_ranking_unsold_contact",
+    with_tables(*SOURCES, then=f"""WITH {SIGNALS}
+    SELECT id, score, CAST(row_number() OVER (ORDER BY ({CHANNEL} <> 'manual_search') DESC, score DESC, id) AS INT) AS rank FROM exec e
+    WHERE {LIVE} AND japan_checked AND NOT has_distributor AND NOT sold_in_japan AND EXISTS (SELECT 1 FROM contacts c WHERE c.project_id = e.id
+      AND coalesce(primary_email, primary_contact_form_url, instagram_url, linkedin_url, facebook_url) IS NOT NULL) QUALIFY rank <= 50"""),
+)
+def sort04b(spark, sf):
+    rows = boards.ranking(inputs.projects(spark, sf), limit=50, status_filter="all", sort="contact", unsold_only=True, contact_only=True, **inputs.summary_sources(spark, sf))
+    return rows.select("id", "score", "rank")
+
+
+@query("score05_executive", with_tables(*SOURCES, then=f"WITH {SIGNALS} SELECT id, score FROM exec"))
+def score05(spark, sf):
+    return boards.executive_summaries(inputs.projects(spark, sf), **inputs.summary_sources(spark, sf)).select("id", "score")
+
+
+ENGAGED = q(vocab.ENGAGED_STATUSES)
+LABELS = f"""
+f AS (SELECT *, coalesce(latest_score * 0.4::DOUBLE, 0) + coalesce(least(30, similarity * 0.3::DOUBLE), 0) + CASE WHEN research_japan_fit THEN 10 ELSE 0 END AS fit FROM exec),
+l AS (SELECT *, CASE WHEN latest_score IS NULL AND similarity IS NULL AND NOT research_japan_fit THEN 'to_confirm' WHEN fit >= 60 THEN 'high' WHEN fit >= 38 THEN 'medium' WHEN fit >= 18 THEN 'low' ELSE 'to_confirm' END AS market_fit_label,
+  concat_ws('+', CASE WHEN has_email THEN 'email' END, CASE WHEN has_form THEN 'contact_form' END, CASE WHEN has_instagram THEN 'instagram' END, CASE WHEN has_linkedin THEN 'linkedin' END, CASE WHEN has_facebook THEN 'facebook' END) AS found,
+  CASE WHEN has_distributor THEN 'no' WHEN sold_in_japan AND score < 45 THEN 'no' WHEN score >= 60 THEN 'yes' WHEN score <= 30 THEN 'no' ELSE 'to_confirm' END AS sales_target,
+  sales_status IN ({ENGAGED}) AS engaged FROM f),
+r AS (SELECT *, list_filter([CASE WHEN japan_checked AND no_japan_presence THEN 'unsold_in_japan' END,
+    CASE WHEN japan_checked AND NOT has_distributor AND (has_email OR has_form OR has_instagram OR has_linkedin) THEN 'contact_found' END, CASE WHEN person >= 70 THEN 'person_found' END,
+    CASE WHEN latest_score >= 70 THEN 'high_score' END, CASE WHEN similarity >= 50 THEN 'similar_success' END, CASE WHEN market_fit_label IN ('high', 'medium') THEN 'market_fit' END], lambda x: x IS NOT NULL) AS r1,
+  list_filter([CASE WHEN has_distributor THEN 'distributor_exists' END, CASE WHEN sold_in_japan THEN 'already_sold' END, CASE WHEN NOT japan_checked THEN 'japan_not_checked' END,
+    CASE WHEN contact_checked AND NOT has_email THEN 'no_official_email' END, CASE WHEN NOT contact_checked THEN 'contact_not_searched' END, CASE WHEN engaged THEN 'already_engaged' END], lambda x: x IS NOT NULL) AS c1 FROM l),
+r2 AS (SELECT *, CASE WHEN sales_status IN ('not_started', 'ready') AND len(r1[1:5]) < 5 THEN list_append(r1[1:5], 'not_contacted') ELSE r1[1:5] END AS rr FROM r)"""
+
+
+@query(
+    "score06_labels",
+    with_tables(*SOURCES, then=f"""WITH {SIGNALS}, {LABELS}
+    SELECT id, market_fit_label, CASE WHEN NOT contact_checked THEN 'not_searched' WHEN found = '' THEN 'none_found' ELSE found END AS contact_status,
+      CASE WHEN NOT japan_checked THEN 'not_checked' WHEN has_distributor THEN 'distributor' WHEN sold_in_japan THEN 'sold' WHEN no_japan_presence THEN 'unsold' ELSE 'partly_known' END AS japan_sales_status,
+      {CHANNEL} AS recommended_channel, sales_target,
+      CASE WHEN has_distributor THEN 'probably_not_a_target' WHEN engaged THEN 'later' WHEN NOT japan_checked THEN 'check_japan' WHEN found = '' THEN 'find_contact'
+        WHEN sales_target = 'no' THEN 'probably_not_a_target' ELSE 'sell_now' END AS recommended_action,
+      array_to_string(CASE WHEN len(rr) < 3 THEN list_append(rr, 'worth_a_look') ELSE rr END, ',') AS reasons,
+      array_to_string(CASE WHEN len(c1) = 0 THEN ['check_regulations'] ELSE c1[1:3] END, ',') AS cautions FROM r2"""),
+)
+def score06(spark, sf):
+    rows = boards.executive_summaries(inputs.projects(spark, sf), **inputs.summary_sources(spark, sf))
+    return rows.select("id", "market_fit_label", "contact_status", "japan_sales_status", "recommended_channel", "sales_target", "recommended_action", joined("reasons"), joined("cautions"))
+
+
+# --- priority -----------------------------------------------------------------------------
+
+RATIO = "(CASE WHEN CAST(goal_amount AS DOUBLE) > 0 THEN CAST(raised_amount AS DOUBLE) / CAST(goal_amount AS DOUBLE) END)"
+
+
+def priority(score: str, research: str, contact: str, email: str) -> str:
+    return f"""CAST(least(100, greatest(0, round_even(least(greatest(coalesce({score}, 0), 0), 100) * 0.4::DOUBLE + CASE WHEN {contact} THEN 20 ELSE 0 END
+  + CASE WHEN {email} THEN 15 ELSE 0 END + CASE WHEN {research} THEN 10 ELSE 0 END + CASE WHEN {RATIO} >= 1.0 THEN 5 WHEN coalesce(backers_count, 0) >= 300 THEN 3 ELSE 0 END + 5
+  - CASE WHEN sales_status = 'contacted' THEN 40 WHEN sales_status = 'awaiting_reply' THEN 20 WHEN sales_status IN ({q(vocab.DONE_STATUSES)}) THEN 60 ELSE 0 END, 0))) AS INT)"""
+
+
+@query(
+    "score01_sales_priority",
+    with_tables(*HISTORIES, then=f"""WITH {PREP} SELECT id, {priority('latest_score', 'research_done', 'contact_done', 'email_done')} AS priority_score,
+    concat_ws(',', CASE WHEN latest_score IS NOT NULL THEN 'scored' END, CASE WHEN contact_done THEN 'has_contact' END, CASE WHEN email_done THEN 'email_ready' END,
+      CASE WHEN research_done THEN 'researched' END, CASE WHEN {RATIO} >= 1.0 THEN 'funded' END, CASE WHEN sales_status IN ('not_started', 'ready') THEN 'not_contacted' END) AS reasons FROM flags"""),
+)
+def score01(spark, sf):
+    rows = preparedness(*history_tables(spark, sf))
+    common = dict(latest_score=F.col("latest_score"), research_done=F.col("research_done"), contact_available=F.col("contact_done"), email_done=F.col("email_done"),
+                  raised=F.col("raised_amount"), goal=F.col("goal_amount"), sales_status=F.col("sales_status"))
+    return rows.select("id", scores.sales_priority_score(**common, backers=F.col("backers_count")).alias("priority_score"), F.array_join(scores.sales_priority_reasons(**common), ",").alias("reasons"))
+
+
+@query(
+    "sort03_today_projects",
+    with_tables(*HISTORIES, then=f"""WITH {PREP}, s AS (SELECT *, {priority('latest_score', 'true', 'true', 'true')} AS priority_score FROM flags
+      WHERE {LIVE} AND sales_status IN ('not_started', 'ready') AND research_done AND contact_done AND email_done)
+    SELECT id, priority_score, CAST(row_number() OVER (ORDER BY priority_score DESC, latest_score DESC NULLS LAST, id) AS INT) AS rank FROM s QUALIFY rank <= 10"""),
+)
+def sort03(spark, sf):
+    return boards.today_projects(*history_tables(spark, sf)).select("id", "priority_score", "rank")
+
+
+TASK_SOURCES = ("projects", "contacts", "drafts", "assessments", "activities", "success_cases")
+DAYS = f"CAST(greatest(0, floor(epoch({NOW} - coalesce(last_outreach_at, updated_at)) / 86400)) AS INT)"
+
+
+@query(
+    "sort05_today_tasks",
+    with_tables(*TASK_SOURCES, then=f"""WITH {LAST},
+    b AS (SELECT p.*, EXISTS (SELECT 1 FROM contacts c WHERE c.project_id = p.id AND coalesce(primary_email, primary_contact_form_url, instagram_url, linkedin_url, facebook_url) IS NOT NULL) AS has_contact,
+      EXISTS (SELECT 1 FROM drafts d WHERE d.project_id = p.id) AS has_email, a.project_id IS NOT NULL AS evaluated, a.overall_priority_score AS overall, o.last_outreach_at,
+      coalesce(lower(trim(p.category)) IN (SELECT lower(trim(category)) FROM success_cases WHERE category IS NOT NULL), false) AS sim_case
+      FROM projects p LEFT JOIN (SELECT * FROM assessments QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY id DESC) = 1) a ON a.project_id = p.id
+      LEFT JOIN outreach_at o ON o.project_id = p.id WHERE {LIVE.replace('source_site', 'p.source_site')}),
+    e AS (SELECT *, CASE WHEN latest_score IS NOT NULL OR overall IS NOT NULL THEN greatest(coalesce(latest_score, 0), coalesce(overall, 0)) END AS eff,
+      CASE WHEN sales_status IN ('contacted', 'awaiting_reply') THEN {DAYS} END AS days FROM b),
+    s AS (SELECT *, {priority('eff', 'false', 'has_contact', 'has_email')} AS priority_score FROM e),
+    g AS (SELECT *, 'to_contact' AS task_group, priority_score AS k1, 0 AS k2 FROM s WHERE sales_status IN ('not_started', 'ready')
+      UNION ALL SELECT *, 'needs_evaluation', priority_score, 0 FROM s WHERE sales_status IN ('not_started', 'ready') AND NOT evaluated
+      UNION ALL SELECT *, 'needs_contact', coalesce(overall, 0), priority_score FROM s WHERE sales_status IN ('not_started', 'ready') AND evaluated AND NOT has_contact AND NOT has_email
+      UNION ALL SELECT *, 'followup', CASE WHEN days >= 14 THEN 3 WHEN days >= 7 THEN 2 ELSE 1 END, days FROM s WHERE sales_status IN ('contacted', 'awaiting_reply') AND days >= 3
+      UNION ALL SELECT *, 'idle', 0, 0 FROM s WHERE sales_status IN ('contacted', 'awaiting_reply') AND days < 3
+      UNION ALL SELECT *, sales_status, priority_score, 0 FROM s WHERE sales_status IN ('replied', 'negotiating'))
+    SELECT task_group, id AS project_id, priority_score, has_contact, has_email, evaluated, days,
+      CAST(row_number() OVER (PARTITION BY task_group ORDER BY k1 DESC, k2 DESC, latest_score DESC NULLS LAST, updated_at DESC, id) AS INT) AS position,
+      concat_ws(',', CASE WHEN has_contact THEN 'has_contact' END, CASE WHEN has_email THEN 'email_ready' END, CASE WHEN latest_availability IN ('not_landed', 'possible') THEN 'maybe_unsold_in_japan' END,
+        CASE WHEN {RATIO} >= 3 THEN 'funded_300' END, CASE WHEN {RATIO} >= 1 AND {RATIO} < 3 THEN 'funded' END, CASE WHEN sim_case THEN 'similar_success' END,
+        CASE WHEN task_group = 'followup' AND days >= 14 THEN 'final_followup' END, CASE WHEN task_group = 'followup' AND days < 14 THEN 'followup_due' END) AS reasons
+    FROM g QUALIFY position <= 25"""),
+)
+def sort05(spark, sf):
+    rows = boards.today_tasks(
+        inputs.projects(spark, sf), contacts=table(spark, sf, "contacts"), drafts=table(spark, sf, "drafts"), assessments=table(spark, sf, "assessments"),
+        activities=table(spark, sf, "activities"), success_cases=table(spark, sf, "success_cases"), as_of=AS_OF, per_group=25,
+    )
+    return rows.select("task_group", "project_id", "priority_score", "has_contact", "has_email", "evaluated", "days", "position", joined("reasons"))
+
+
+@query(
+    "sort06_outreach_priority",
+    with_tables("projects", "contacts", "assessments", "outreach", then=f"""
+    WITH cd AS (SELECT * FROM contacts QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY id DESC) = 1),
+    sa AS (SELECT * FROM assessments QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY id DESC) = 1),
+    so AS (SELECT * FROM outreach QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY id DESC) = 1),
+    b AS (SELECT p.id, p.sales_status, p.latest_score, p.updated_at, p.source_site, p.maker_name, sa.*, so.generated_at, coalesce(primary_email, '') <> '' OR found_email IS NOT NULL AS has_email, coalesce(primary_contact_form_url, '') <> '' AS has_form
+      FROM projects p JOIN cd ON cd.project_id = p.id AND cd.status = 'completed' LEFT JOIN sa ON sa.project_id = p.id LEFT JOIN so ON so.project_id = p.id
+      WHERE p.source_site IN ({q(vocab.SALES_TARGET_SITES)}) AND p.archived_at IS NULL AND p.sales_status NOT IN ({q(vocab.DONE_STATUSES)})),
+    s AS (SELECT *, CAST(least(100, greatest(0, round_even(0.30::DOUBLE * coalesce(japan_market_fit, 0) + 0.30::DOUBLE * coalesce(exclusivity, 0) + 0.20::DOUBLE * coalesce(makuake_fit, 0)
+      + CASE WHEN has_email THEN 10 ELSE 0 END + CASE WHEN coalesce(maker_name, '') <> '' THEN 5 ELSE 0 END + CASE WHEN sales_status = 'not_started' THEN 5 ELSE 0 END, 0))) AS INT) AS score FROM b)
+    SELECT id, score, CASE WHEN generated_at IS NOT NULL THEN 'open_draft' WHEN has_email OR has_form THEN 'generate_email' ELSE 'find_contact' END AS recommended_action,
+      CASE source_site WHEN 'wadiz' THEN 'ko' WHEN 'zeczec' THEN 'zh' ELSE 'en' END AS recommended_language,
+      CAST(row_number() OVER (ORDER BY score DESC, latest_score DESC NULLS LAST, updated_at DESC, id) AS INT) AS rank FROM s QUALIFY rank <= 50""".replace("sa.*", "sa.japan_market_fit, sa.exclusivity, sa.makuake_fit")),
+)
+def sort06(spark, sf):
+    rows = boards.outreach_priorities(inputs.projects(spark, sf), contacts=inputs.contacts(spark, sf), assessments=table(spark, sf, "assessments"), outreach=table(spark, sf, "outreach"), limit=50)
+    return rows.select("id", "score", "recommended_action", "recommended_language", "rank")
+
+
+@query(
+    "score04_outreach_score",
+    with_tables("assessments", then="""
+    SELECT id, CAST(least(100, greatest(0, round_even(0.30::DOUBLE * japan_market_fit + 0.30::DOUBLE * exclusivity + 0.20::DOUBLE * makuake_fit + CASE WHEN confidence > 50 THEN 10 ELSE 0 END + 5
+      + CASE WHEN provisional THEN 5 ELSE 0 END, 0))) AS INT) AS score FROM assessments"""),
+)
+def score04(spark, sf):
+    s = scores.outreach_priority(japan_market_fit=F.col("japan_market_fit"), exclusivity=F.col("exclusivity"), makuake_fit=F.col("makuake_fit"),
+                                 has_email=F.col("confidence") > 50, has_maker=F.lit(True), is_new=F.col("provisional"))
+    return table(spark, sf, "assessments").select("id", s.alias("score"))
+
+
+@query(
+    "sort11_top_person",
+    with_tables("people", then="SELECT project_id, id, name, title FROM people QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY coalesce(priority, -1) DESC, coalesce(confidence, -1) DESC, id) = 1"),
+)
+def sort11(spark, sf):
+    return top_person(table(spark, sf, "people")).select("project_id", "id", "name", "title")
+
+
+# --- fit assessment ---------------------------------------------------------------------------
+
+def cats(text: str, table_: dict) -> str:
+    arms = ", ".join("CASE WHEN " + " OR ".join("contains({}, '{}')".format(text, t.replace("'", "''")) for t in terms) + f" THEN '{name}' END" for name, terms in table_.items())
+    return f"list_filter([{arms}], lambda x: x IS NOT NULL)"
+
+
+def any_in(text: str, terms) -> str:
+    return "(" + " OR ".join("contains({}, '{}')".format(text, t.replace("'", "''")) for t in terms) + ")"
+
+
+def cl(x: str) -> str:
+    return f"CAST(least(100, greatest(0, round_even(CAST({x} AS DOUBLE), 0))) AS INT)"
+
+
+MEGA = " OR ".join(f"contains(' ' || maker || ' ', ' {b} ')" for b in vocab.MEGA_BRANDS)
+FIT = f"""{INTERPRET},
+jl AS (SELECT *, {_N(vocab.DOMESTIC_CROWDFUNDING_CHANNELS, ('found', 'limited'))} > 0 AS listed FROM japan WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) = 1),
+cl AS (SELECT * FROM contacts QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) = 1),
+s0 AS (SELECT p.id, lower(concat_ws(' ', coalesce(p.title, ''), coalesce(p.description, ''), coalesce(p.category, ''))) AS txt, coalesce(p.description, '') AS descr, lower(coalesce(p.maker_name, '')) AS maker,
+  p.backers_count AS backers, CAST(trunc(({RATIO.replace('goal_amount', 'p.goal_amount').replace('raised_amount', 'p.raised_amount')}) * 100) AS BIGINT) AS rate,
+  coalesce(jl.japan_state, 'not_checked') AS japan_state, jl.japan_result, coalesce(jl.japan_confidence, 0) AS conf, jl.sales_value_stars AS stars, coalesce(jl.listed, false) AS listed,
+  coalesce(jl.japan_result = 'sold_in_japan', false) AS already, coalesce(cl.primary_email, '') <> '' OR coalesce(cl.primary_contact_form_url, '') <> '' OR cl.found_email IS NOT NULL AS has_contact,
+  {official('cl.official_site_url')} OR {official('p.maker_url')} AS has_site
+  FROM projects p LEFT JOIN jl ON jl.project_id = p.id LEFT JOIN cl ON cl.project_id = p.id),
+s1 AS (SELECT *, {cats('txt', vocab.HIGH_FIT_CATEGORIES)} AS hi, {cats('txt', vocab.CAUTION_CATEGORIES)} AS ca, {any_in('txt', vocab.NON_PRODUCT_HINTS)} AS non_product FROM s0),
+s2 AS (SELECT *, {cl('52 + 12 * len(hi) - 12 * len(ca)')} AS category_appeal,
+  CASE WHEN rate IS NULL AND coalesce(backers, 0) = 0 THEN 45 ELSE {cl("40 + CASE WHEN rate >= 100 THEN 15 WHEN rate IS NOT NULL THEN trunc(rate / 100 * 15) ELSE 0 END + CASE WHEN rate > 100 THEN least(30, floor((rate - 100) / 100) * 5) ELSE 0 END + CASE WHEN backers <> 0 THEN least(15, floor(backers / 100)) ELSE 0 END")} END AS traction,
+  {cl("90 - 18 * len(ca) - CASE WHEN list_has_any(ca, ['wireless', 'radio', 'large battery']) THEN 10 ELSE 0 END")} AS regulatory_ease,
+  CASE WHEN japan_result = 'sold_in_japan' THEN 18 WHEN japan_result = 'not_found_in_japan' THEN {cl('52 + conf * 0.35::DOUBLE')} WHEN japan_result IS NOT NULL THEN 50 WHEN already THEN 20 WHEN stars IS NOT NULL THEN {cl('20 + stars * 16')} ELSE 48 END AS japan_openness,
+  CASE WHEN {MEGA} THEN 18 WHEN {any_in('maker', vocab.SMALL_MAKER_HINTS)} OR length(maker) BETWEEN 1 AND 24 THEN 82 ELSE 55 END AS maker_size,
+  CASE WHEN has_contact THEN 85 WHEN has_site THEN 60 ELSE 30 END AS reachability, {cl('50 + 12 * len(hi) - CASE WHEN non_product THEN 35 ELSE 0 END')} AS product_type,
+  CASE WHEN listed THEN 15 WHEN already THEN 35 WHEN stars IS NOT NULL THEN {cl('45 + stars * 10')} ELSE 60 END AS japan_novelty,
+  {cl("30 + CASE WHEN rate IS NOT NULL OR coalesce(backers, 0) <> 0 THEN 25 ELSE 0 END + CASE WHEN japan_state = 'completed' AND japan_result IN ('sold_in_japan', 'not_found_in_japan') THEN least(25, 10 + trunc(conf * 0.2::DOUBLE)) WHEN japan_result = 'inconclusive' THEN 5 ELSE 0 END + CASE WHEN length(descr) >= 40 THEN 15 ELSE 0 END + CASE WHEN maker <> '' THEN 5 ELSE 0 END")} AS fit_confidence,
+  concat_ws(',', CASE WHEN rate IS NULL AND coalesce(backers, 0) = 0 THEN 'funding_traction' END, CASE WHEN japan_state IN ('not_checked', 'queued', 'running', 'failed') OR japan_result = 'inconclusive' THEN 'japan_sales_check' END,
+    CASE WHEN NOT has_contact AND NOT has_site THEN 'contact' END, CASE WHEN length(descr) < 40 THEN 'description' END) AS missing FROM s1),
+s3 AS (SELECT *, {cl('0.40::DOUBLE * category_appeal + 0.35::DOUBLE * traction + 0.25::DOUBLE * regulatory_ease')} AS japan_market_fit, {cl('0.40::DOUBLE * japan_openness + 0.35::DOUBLE * maker_size + 0.25::DOUBLE * reachability')} AS exclusivity,
+  {cl('0.40::DOUBLE * product_type + 0.30::DOUBLE * traction + 0.30::DOUBLE * japan_novelty')} AS makuake_fit FROM s2)"""
+FIT_COLUMNS = ("japan_market_fit", "exclusivity", "makuake_fit", "category_appeal", "traction", "regulatory_ease", "japan_openness", "maker_size", "reachability", "product_type", "japan_novelty", "fit_confidence")
+
+
+@query(
+    "score03_fit_assessment",
+    with_tables("projects", "contacts", "japan_checks", then=f"WITH {FIT} SELECT id, {', '.join(FIT_COLUMNS)}, missing, {cl('0.40::DOUBLE * exclusivity + 0.35::DOUBLE * japan_market_fit + 0.25::DOUBLE * makuake_fit')} AS overall FROM s3"),
+)
+def score03(spark, sf):
+    sig = fit_signals(inputs.projects(spark, sf), contacts=inputs.contacts(spark, sf), japan_checks=inputs.japan_checks(spark, sf))
+    return scores.assess_fit(sig).select("id", *FIT_COLUMNS, joined("missing"), "overall")
+
+
+@query(
+    "udf01_adjusted_scores",
+    with_tables("projects", "contacts", "japan_checks", then=f"""WITH {FIT} SELECT id, CAST(CASE WHEN len(hi) >= 2 THEN least(100, exclusivity + 5) ELSE exclusivity END AS INT) AS exclusivity, len(hi) >= 2 AS ai_adjusted FROM s3"""),
+)
+def udf01(spark, sf):
+    sig = fit_signals(inputs.projects(spark, sf), contacts=inputs.contacts(spark, sf), japan_checks=inputs.japan_checks(spark, sf))
+    scored = scores.assess_fit(sig)
+
+    def adjust(batches):
+        for pdf in batches:
+            hit = pdf[pdf["high_categories"].map(len) >= 2]
+            yield hit.assign(exclusivity=(hit["exclusivity"] + 5).clip(upper=100))[["id", "exclusivity"]]
+
+    adjusted = scored.select("id", "high_categories", "exclusivity").mapInPandas(adjust, "id long, exclusivity int")
+    return adjust_scores(scored, adjusted, ["exclusivity"]).select("id", "exclusivity", "ai_adjusted")
+
+
+@query(
+    "txt02_categories",
+    with_tables("projects", then=f"""WITH t AS (SELECT id, lower(concat_ws(' ', coalesce(title, ''), coalesce(description, ''))) AS txt FROM projects)
+    SELECT id, array_to_string({cats('txt', vocab.HIGH_FIT_CATEGORIES)}, ',') AS high, array_to_string({cats('txt', vocab.CAUTION_CATEGORIES)}, ',') AS caution FROM t"""),
+)
+def txt02(spark, sf):
+    text_ = joined_lower(F.col("title"), F.col("description"))
+    rows = inputs.projects(spark, sf).select("id", text_.alias("t"))
+    return rows.select("id", F.array_join(match_categories(F.col("t"), vocab.HIGH_FIT_CATEGORIES), ",").alias("high"), F.array_join(match_categories(F.col("t"), vocab.CAUTION_CATEGORIES), ",").alias("caution"))
+
+
+# --- decisions --------------------------------------------------------------------------------------
+
+WEIGHT = "CASE decision " + " ".join(f"WHEN '{d}' THEN {w}" for d, w in vocab.DECISION_WEIGHTS.items()) + " END"
+CARDS = f"""{SIGNALS}, {LAST},
+c0 AS (SELECT e.*, {NORMAL} AS st, EXISTS (SELECT 1 FROM drafts d WHERE d.project_id = e.id) AS email_done, has_email OR has_form OR has_instagram OR has_linkedin OR has_facebook AS any_contact,
+  CASE WHEN last_outreach_at IS NOT NULL THEN CAST(greatest(0, floor(epoch({NOW} - last_outreach_at) / 86400)) AS INT) END AS days FROM exec e LEFT JOIN outreach_at o ON o.project_id = e.id WHERE {LIVE}),
+c1 AS (SELECT *, CASE WHEN st IN ({q(vocab.DONE_STATUSES)}) THEN 'closed' WHEN st IN ('negotiating', 'replied') THEN 'needs_negotiation'
+  WHEN st IN ('contacted', 'awaiting_reply') THEN CASE WHEN days >= 3 THEN 'needs_followup' ELSE 'waiting' END WHEN has_distributor OR sold_in_japan THEN 'drop'
+  WHEN any_contact THEN CASE WHEN latest_score >= 60 THEN 'sell_now' WHEN NOT email_done THEN 'needs_email' WHEN NOT research_done THEN 'needs_research' ELSE 'sell_now' END
+  WHEN latest_score IS NULL OR NOT has_official_site THEN 'data_insufficient' ELSE 'needs_contact' END AS decision FROM c0),
+c2 AS (SELECT *, CAST(coalesce(latest_score, 40) + {WEIGHT} + CASE WHEN decision = 'needs_followup' AND days IS NOT NULL THEN least(20, days) ELSE 0 END AS INT) AS urgency FROM c1)"""
+CARD_SOURCES = SOURCES + ("drafts", "activities")
+ORDER = "urgency DESC, latest_score DESC NULLS LAST, updated_at DESC, id"
+
+
+def cards(spark, sf):
+    return boards.workflow_cards(inputs.projects(spark, sf), drafts=table(spark, sf, "drafts"), activities=table(spark, sf, "activities"), as_of=AS_OF, **inputs.summary_sources(spark, sf))
+
+
+@query("score07_workflow_decision", with_tables(*CARD_SOURCES, then=f"WITH {CARDS} SELECT id, decision, urgency, days FROM c2"))
+def score07(spark, sf):
+    return cards(spark, sf).select("id", "decision", "urgency", "days")
+
+
+@query(
+    "score08_decision_board",
+    with_tables(*CARD_SOURCES, then=f"WITH {CARDS} SELECT decision, id, urgency, CAST(row_number() OVER (PARTITION BY decision ORDER BY {ORDER}) AS INT) AS position FROM c2 WHERE decision IN ({q(boards.BUCKETS)}) QUALIFY position <= 5"),
+)
+def score08(spark, sf):
+    return boards.workflow_buckets(cards(spark, sf), 5).select("decision", "id", "urgency", "position")
+
+
+@query("score08_top_action", with_tables(*CARD_SOURCES, then=f"WITH {CARDS} SELECT id, decision, urgency FROM c2 WHERE decision NOT IN ('closed', 'drop', 'waiting') ORDER BY {ORDER} LIMIT 1"))
+def score08b(spark, sf):
+    return boards.top_action(cards(spark, sf)).select("id", "decision", "urgency")
+
+
+@query("agg12_decision_counts", with_tables(*CARD_SOURCES, then=f"WITH {CARDS} SELECT decision, count(*) AS n FROM c2 GROUP BY 1"))
+def agg12(spark, sf):
+    return agg.decision_counts(cards(spark, sf))
+
+
+COMBINED = f"""
+{INTERPRET},
+sa AS (SELECT * FROM assessments QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY id DESC) = 1),
+jj AS (SELECT * FROM jobs WHERE job_type = 'japan_sales_check' QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY id DESC) = 1),
+jx AS (SELECT * FROM japan QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY id DESC) = 1),
+cx AS (SELECT * FROM contacts QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY id DESC) = 1),
+k0 AS (SELECT p.id, p.sales_status, p.latest_score, p.updated_at, sa.project_id IS NOT NULL AS saved, sa.japan_market_fit AS jm, sa.exclusivity AS ex, sa.makuake_fit AS mk, coalesce(sa.overall_priority_score, 0) AS ov, sa.confidence, coalesce(sa.confidence, 0) AS cf,
+  sa.provisional, sa.created_at AS assessed_at, CASE WHEN jj.status IN ('queued', 'running') THEN jj.status WHEN jx.project_id IS NULL THEN 'not_checked' ELSE jx.japan_state END AS japan_state,
+  CASE WHEN coalesce(jj.status, '') NOT IN ('queued', 'running') THEN jx.created_at END AS checked_at,
+  coalesce(primary_email, '') <> '' OR found_email IS NOT NULL OR coalesce(primary_contact_form_url, '') <> '' AS has_contact
+  FROM projects p LEFT JOIN sa ON sa.project_id = p.id LEFT JOIN jj ON jj.project_id = p.id LEFT JOIN jx ON jx.project_id = p.id LEFT JOIN cx ON cx.project_id = p.id
+  WHERE p.source_site IN ({q(vocab.SALES_TARGET_SITES)}) AND p.archived_at IS NULL),
+k1 AS (SELECT *, CASE WHEN NOT saved THEN 'not_evaluated' WHEN sales_status IN ('won', 'rejected') THEN 'closed' WHEN sales_status IN ('negotiating', 'replied') THEN 'needs_negotiation' WHEN sales_status IN ('contacted', 'awaiting_reply') THEN 'waiting'
+  WHEN has_contact THEN 'needs_email' ELSE 'needs_contact' END AS base FROM k0),
+k2 AS (SELECT *, CASE WHEN NOT saved OR base IN ('closed', 'needs_negotiation', 'waiting') THEN base WHEN ov < 35 AND cf >= 50 THEN 'deprioritize' WHEN has_contact AND ex >= 60 AND jm >= 55 THEN 'sell_now_exclusive'
+    WHEN NOT has_contact AND ov >= 55 THEN 'needs_contact' ELSE base END AS decision,
+  CASE WHEN saved THEN {cl("ov + CASE WHEN has_contact THEN 8 ELSE 0 END - CASE WHEN base = 'closed' THEN 25 ELSE 0 END")} END AS priority_score,
+  CASE WHEN NOT saved THEN 'not_evaluated' WHEN japan_state IN ('queued', 'running') THEN 'checking_japan' WHEN checked_at > assessed_at THEN 'recompute_pending' WHEN provisional THEN 'provisional'
+    WHEN japan_state = 'failed' AND cf < 50 THEN 'failed' WHEN cf < 40 THEN 'data_insufficient' ELSE 'evaluated' END AS assessment_state FROM k1),
+k3 AS (SELECT *, CASE WHEN decision IN ('closed', 'drop') THEN 'not_sales_target' WHEN assessment_state = 'not_evaluated' THEN 'not_evaluated' WHEN assessment_state = 'data_insufficient' THEN 'data_insufficient'
+  WHEN assessment_state = 'checking_japan' THEN 'japan_not_checked' WHEN decision IN ('sell_now_exclusive', 'sell_now', 'needs_email') THEN 'actionable_today' WHEN decision = 'needs_contact' OR NOT has_contact THEN 'needs_contact'
+  WHEN decision = 'deprioritize' THEN 'low_priority' ELSE 'actionable_today' END AS visibility_reason FROM k2)"""
+COMBINED_SOURCES = ("projects", "assessments", "jobs", "japan_checks", "contacts")
+
+
+def combined(spark, sf):
+    return boards.combined_cards(inputs.projects(spark, sf), assessments=table(spark, sf, "assessments"), jobs=table(spark, sf, "jobs"), japan_checks=inputs.japan_checks(spark, sf), contacts=inputs.contacts(spark, sf))
+
+
+@query(
+    "score09_combined_decision",
+    with_tables(*COMBINED_SOURCES, then=f"""WITH {COMBINED} SELECT id, base AS base_decision, decision, priority_score, assessment_state, visibility_reason,
+    CASE WHEN NOT saved THEN 'not_evaluated' ELSE concat_ws(',', CASE WHEN ex >= 67 THEN 'exclusive_chance' END, CASE WHEN jm >= 67 THEN 'japan_fit' END, CASE WHEN mk >= 67 THEN 'makuake_relaunch' END, CASE WHEN cf < 40 THEN 'thin_data' END) END AS tags FROM k3"""),
+)
+def score09(spark, sf):
+    return combined(spark, sf).select("id", "base_decision", "decision", "priority_score", "assessment_state", "visibility_reason", joined("tags"))
+
+
+_CARD = "coalesce(priority_score, -1) DESC, latest_score DESC NULLS LAST, updated_at DESC, id"
+
+
+@query(
+    "score10_combined_board",
+    with_tables(*COMBINED_SOURCES, then=f"""WITH {COMBINED}, b AS (SELECT *, CASE decision WHEN 'sell_now_exclusive' THEN 'sell_now' WHEN 'sell_now' THEN 'sell_now' WHEN 'drop' THEN 'deprioritize' WHEN 'needs_contact' THEN 'needs_contact'
+      WHEN 'needs_email' THEN 'needs_email' WHEN 'deprioritize' THEN 'deprioritize' WHEN 'not_evaluated' THEN 'not_evaluated' END AS bucket FROM k3)
+    SELECT bucket, id, priority_score, CAST(row_number() OVER (PARTITION BY bucket ORDER BY {_CARD}) AS INT) AS position FROM b WHERE bucket IS NOT NULL QUALIFY position <= 5"""),
+)
+def score10(spark, sf):
+    return boards.combined_buckets(combined(spark, sf), 5).select("bucket", "id", "priority_score", "position")
+
+
+@query(
+    "score10_summary_counts",
+    with_tables(*COMBINED_SOURCES, then=f"""WITH {COMBINED} SELECT count(*) FILTER (WHERE japan_state IN ('not_checked', 'failed')) AS japan_not_checked, count(*) FILTER (WHERE assessment_state = 'not_evaluated') AS not_evaluated,
+    count(*) FILTER (WHERE assessment_state = 'checking_japan') AS checking_japan, count(*) FILTER (WHERE assessment_state = 'data_insufficient') AS data_insufficient, count(*) FILTER (WHERE saved AND cf < 40) AS low_confidence FROM k3"""),
+)
+def score10b(spark, sf):
+    return agg.decision_summary(combined(spark, sf))
+
+
+@query(
+    "prj05_card_filters",
+    with_tables(*COMBINED_SOURCES, then=f"""WITH {COMBINED} SELECT unnest(['all', 'sell_now_exclusive', 'needs_email', 'needs_contact', 'data_insufficient', 'deprioritize', 'high_japan_fit', 'high_exclusivity', 'makuake_promising', 'japan_not_checked', 'low_confidence']) AS filter,
+    unnest([count(*), count(*) FILTER (WHERE decision = 'sell_now_exclusive'), count(*) FILTER (WHERE decision = 'needs_email'), count(*) FILTER (WHERE decision = 'needs_contact'), count(*) FILTER (WHERE decision = 'data_insufficient'),
+      count(*) FILTER (WHERE decision = 'deprioritize'), count(*) FILTER (WHERE jm >= 65), count(*) FILTER (WHERE ex >= 65), count(*) FILTER (WHERE mk >= 65), count(*) FILTER (WHERE japan_state IN ('not_checked', 'failed')), count(*) FILTER (WHERE cf < 40)]) AS n FROM k3"""),
+)
+def prj05(spark, sf):
+    rows = combined(spark, sf)
+    names = list(prj.card_filters())
+    counted = rows.agg(*[agg.count_where(c, n) for n, c in prj.card_filters().items()])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("filter"), F.col(n).alias("n")) for n in names])).alias("x")).select("x.*")
+
+
+@query(
+    "sort07_card_order",
+    with_tables(*COMBINED_SOURCES, then=f"WITH {COMBINED} SELECT id AS project_id, jm AS japan_market_fit, CAST(row_number() OVER (ORDER BY coalesce(jm, 0) DESC, id) AS INT) AS rank FROM k3 QUALIFY rank <= 100"),
+)
+def sort07(spark, sf):
+    from leadloom.operators.history import top_k
+
+    rows = combined(spark, sf).withColumnRenamed("id", "project_id")
+    return top_k(rows, prj.card_sort("japan_market_fit"), 100).select("project_id", "japan_market_fit", "rank")
+
+
+@query(
+    "score13_composite",
+    with_tables("assessments", then="""
+    SELECT id, CAST(least(100, greatest(0, round_even((japan_market_fit * 0.30::DOUBLE + makuake_fit * 0.25::DOUBLE + exclusivity * 0.15::DOUBLE * CASE WHEN provisional THEN 0.5 ELSE 1.0 END) / (0.30::DOUBLE + 0.25::DOUBLE + 0.15::DOUBLE * CASE WHEN provisional THEN 0.5 ELSE 1.0 END), 0))) AS INT) AS composite FROM assessments"""),
+)
+def score13(spark, sf):
+    rows = table(spark, sf, "assessments")
+    axis = lambda name, col, low: F.struct(F.lit(name).alias("axis"), F.col(col).alias("score"), low.alias("low_confidence"))
+    axes = rows.select("id", F.explode(F.array(axis("japan_fit", "japan_market_fit", F.lit(False)), axis("crowdfunding_fit", "makuake_fit", F.lit(False)), axis("novelty", "exclusivity", F.col("provisional")))).alias("a")).select("id", "a.*")
+    weights = spark.createDataFrame(list(vocab.DISCOVERY_WEIGHTS.items()), "axis string, weight double")
+    return scores.weighted_composite(axes, weights, ["id"], damping=0.5)
+
+
+# --- status machine --------------------------------------------------------------------------------
+
+def _arms(src: str, dst: str) -> str:
+    return " OR ".join(f"({src} = '{s}' AND {dst} IN ({q(t)}))" for s, t in vocab.STATUS_TRANSITIONS.items())
+
+
+@query(
+    "flow01_transitions",
+    with_tables("projects", then=f"""WITH n AS (SELECT {NORMAL} AS src FROM projects), d AS (SELECT DISTINCT src AS dst FROM n)
+    SELECT src, dst, src = dst OR {_arms('src', 'dst')} AS allowed, count(*) AS n FROM n CROSS JOIN d GROUP BY ALL"""),
+)
+def flow01(spark, sf):
+    status = prj.normalise_sales_status(F.col("sales_status"))
+    counted = inputs.projects(spark, sf).groupBy(status.alias("src")).agg(F.count(F.lit(1)).alias("n"))
+    # at most one row per status on both sides
+    pairs = counted.join(counted.select(F.col("src").alias("dst")), F.lit(True))
+    return pairs.select("src", "dst", flow.can_transition(F.col("src"), F.col("dst")).alias("allowed"), "n")
+
+
+@query(
+    "flow02_bulk_update",
+    with_tables("projects", "contacts", then=f"""WITH n AS (SELECT id, {NORMAL} AS src FROM projects WHERE id IN (SELECT project_id FROM contacts))
+    SELECT id, src AS from_status, 'contacted' AS to_status, CASE WHEN src = 'contacted' THEN 'unchanged' WHEN {_arms('src', "'contacted'")} THEN 'updated' ELSE 'skipped' END AS result FROM n"""),
+)
+def flow02(spark, sf):
+    chosen = table(spark, sf, "contacts").select(F.col("project_id").alias("id"))
+    return flow.bulk_status_update(inputs.projects(spark, sf), chosen, "contacted")
+
+
+@query("flow03_sync_forward", with_tables("projects", then=f"SELECT id, CASE WHEN {NORMAL} IN ('not_started', 'ready') THEN 'contacted' ELSE {NORMAL} END AS sales_status FROM projects"))
+def flow03(spark, sf):
+    return inputs.projects(spark, sf).select("id", flow.sync_forward(F.col("sales_status"), "contacted", ("not_started", "ready")).alias("sales_status"))
+
+
+@query(
+    "flow04_crm_effects",
+    with_tables("status_events", then="""SELECT id, CASE WHEN s IN ('contacted', 'replied') THEN 'email' ELSE 'note' END AS activity_kind,
+      CASE WHEN s IN ('contacted', 'awaiting_reply', 'replied') THEN 'contacted' WHEN s = 'negotiating' THEN 'negotiating' WHEN s = 'rejected' THEN 'lost' ELSE 'won' END AS maker_status
+      FROM (SELECT id, CASE WHEN to_status = 'won' THEN 'contract_agreed' ELSE to_status END AS s FROM status_events) WHERE s NOT IN ('not_started', 'ready')"""),
+)
+def flow04(spark, sf):
+    return flow.crm_effects(table(spark, sf, "status_events")).select("id", "activity_kind", "maker_status")
+
+
+@query(
+    "flow05_execution_tasks",
+    with_tables("outreach", "projects", then=f"""WITH o AS (SELECT * FROM outreach WHERE sent_at IS NOT NULL AND project_id IN (SELECT id FROM projects WHERE archived_at IS NULL)),
+    r AS (SELECT *, outreach_status = 'sent' AND followup_count < 2 AND coalesce(followup_due_at <= {NOW}, false) AS due FROM o),
+    b AS (SELECT *, 'replied' AS bucket FROM r WHERE outreach_status IN ('replied', 'negotiating') UNION ALL SELECT *, 'follow_today' FROM r WHERE due
+      UNION ALL SELECT *, 'overdue' FROM r WHERE due AND followup_due_at < date_trunc('day', {NOW}) UNION ALL SELECT *, 'awaiting_reply' FROM r WHERE outreach_status = 'sent' AND NOT due)
+    SELECT bucket, id, CAST(greatest(0, date_diff('day', CAST(followup_due_at AS DATE), CAST({NOW} AS DATE))) AS INT) AS days_overdue, CAST(greatest(0, 2 - followup_count) AS INT) AS followups_remaining,
+      CAST(row_number() OVER (PARTITION BY bucket ORDER BY followup_due_at NULLS LAST, id) AS INT) AS position FROM b QUALIFY position <= 50""".replace("greatest(0, date_diff", "greatest(CASE WHEN followup_due_at IS NULL THEN 0 ELSE 0 END, date_diff")),
+)
+def flow05(spark, sf):
+    rows = flow.execution_tasks(table(spark, sf, "outreach"), inputs.projects(spark, sf), AS_OF, limit=50)
+    return rows.select("bucket", "id", "days_overdue", F.col("followups_remaining").cast("int").alias("followups_remaining"), "position")
+
+
+@query(
+    "flow06_workflow_progress",
+    with_tables(*HISTORIES, then=f"""WITH {PREP}, cd AS (SELECT * FROM contacts QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) = 1),
+    w AS (SELECT f.id, f.sales_status, research_done, contact_done, email_done, recommended_channel AS rc, coalesce(primary_contact_form_url, '') <> '' AS a, coalesce(instagram_url, '') <> '' AS b, coalesce(linkedin_url, '') <> '' AS c,
+      coalesce(facebook_url, '') <> '' AS d, coalesce(official_site_url, '') <> '' AS e, coalesce(primary_email, '') <> '' AS g FROM flags f LEFT JOIN cd ON cd.project_id = f.id)
+    SELECT id, concat_ws(',', CASE WHEN a THEN 'contact_form' END, CASE WHEN b THEN 'instagram' END, CASE WHEN c THEN 'linkedin' END, CASE WHEN d THEN 'facebook' END, CASE WHEN e THEN 'official_site' END, CASE WHEN g THEN 'gmail' END) AS channels,
+      CASE WHEN rc = 'email' AND g THEN 'gmail' WHEN rc = 'contact_form' AND a THEN rc WHEN rc = 'instagram' AND b THEN rc END AS recommended_open, a OR b OR c OR d AS dm_done,
+      research_done AND contact_done AND email_done AND sales_status IN ('not_started', 'ready') AS ready_to_sell FROM w"""),
+)
+def flow06(spark, sf):
+    rows = flow.workflow_progress(preparedness(*history_tables(spark, sf)), table(spark, sf, "contacts"))
+    return rows.select("id", joined("channels"), "recommended_open", "dm_done", "ready_to_sell")
+
+
+@query(
+    "flow07_recent_result",
+    with_tables("jobs", then="SELECT project_id, job_type, arg_max(id, (finished_at, id)) AS job_id FROM jobs WHERE status = 'completed' AND finished_at >= TIMESTAMP '1999-01-01 00:00:00' - INTERVAL 24000 HOUR GROUP BY 1, 2"),
+)
+def flow07(spark, sf):
+    return flow.recent_result(table(spark, sf, "jobs"), "1999-01-01 00:00:00", hours=24000)
+
+
+@query(
+    "strm03_stale_jobs",
+    with_tables("jobs", then=f"SELECT id, project_id, 'timed_out' AS status FROM jobs WHERE status = 'running' AND coalesce(heartbeat_at, started_at, created_at) < {NOW} - INTERVAL 90 SECOND"),
+)
+def strm03(spark, sf):
+    return flow.stale_jobs(table(spark, sf, "jobs"), AS_OF)
+
+

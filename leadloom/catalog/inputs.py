@@ -15,7 +15,12 @@ def projects(spark: SparkSession, sf: str) -> DataFrame:
 def contacts(spark, sf) -> DataFrame:
     rows = table(spark, sf, "contacts")
     one = F.array(F.struct(F.col("found_email").alias("email"), F.lit(70).alias("score")))
-    return rows.withColumn("discovered_emails", F.when(F.col("found_email").isNotNull(), one))
+    return rows.withColumns(
+        {
+            "discovered_emails": F.when(F.col("found_email").isNotNull(), one),
+            "discovered_forms": F.lit(None).cast("array<string>"),
+        }
+    )
 
 
 def japan_checks(spark, sf) -> DataFrame:

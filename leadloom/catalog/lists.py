@@ -251,7 +251,7 @@ SIMILAR = with_tables("projects", "success_cases", then=f"""
     WITH c AS (SELECT id AS case_id, category, {WORDS.format('title')} AS kw, raised_amount,
       CASE WHEN raised_amount <> 0 AND goal_amount <> 0 THEN round_even(CAST(raised_amount AS DOUBLE) / CAST(goal_amount AS DOUBLE) * 100, 0) END AS rate FROM success_cases),
     b AS (SELECT *, CASE WHEN rate >= 1000 THEN 25 WHEN rate >= 300 THEN 15 WHEN rate >= 100 THEN 8 ELSE 0 END AS bonus FROM c),
-    pairs AS (SELECT p.id AS project_id, case_id, bonus, raised_amount, coalesce(p.category = b.category AND p.category <> '', false) AS same,
+    pairs AS (SELECT p.id AS project_id, case_id, bonus, coalesce(p.category = b.category AND p.category <> '', false) AS same,
       len(list_intersect({WORDS.format('p.title')}, b.kw)) AS n FROM projects p CROSS JOIN b),
     scored AS (SELECT *, least(100, CASE WHEN same THEN 70 ELSE 0 END + least(15, 5 * n) + bonus) AS score FROM pairs WHERE same OR n > 0),
     ranked AS (SELECT project_id, case_id, score, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, case_id) AS rank FROM scored QUALIFY rank <= 3),
@@ -384,14 +384,14 @@ def agg03(spark, sf):
 
 
 HEALTH = f"""
-recent AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY started_at DESC, id DESC) AS rn, coalesce(finished_at, started_at) AS at,
+recent AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY started_at DESC, id DESC) AS rn, coalesce(finished_at, started_at) AS run_at,
     coalesce(error_kind, 'unknown') AS kind FROM scrape_runs WHERE status <> 'running' QUALIFY rn <= 20),
 st AS (SELECT site, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS success,
     count(*) FILTER (WHERE status <> 'success' AND kind = 'network') AS network_errors, count(*) FILTER (WHERE status <> 'success' AND kind = 'structure') AS structure_errors,
     count(*) FILTER (WHERE status <> 'success' AND kind NOT IN ('network', 'structure')) AS unknown_errors,
     count(*) FILTER (WHERE status <> 'success' AND error LIKE '%403%') AS http_403_count, arg_min(status, rn) AS last_status,
-    arg_min(at, rn) FILTER (WHERE status = 'success') AS ok_at, arg_min(at, rn) FILTER (WHERE status <> 'success') AS bad_at,
-    arg_min(at, rn) FILTER (WHERE status <> 'success' AND kind = 'structure') AS st_at FROM recent GROUP BY site),
+    arg_min(run_at, rn) FILTER (WHERE status = 'success') AS ok_at, arg_min(run_at, rn) FILTER (WHERE status <> 'success') AS bad_at,
+    arg_min(run_at, rn) FILTER (WHERE status <> 'success' AND kind = 'structure') AS st_at FROM recent GROUP BY site),
 sites AS (SELECT unnest([{q(vocab.MONITORED_SITES)}]) AS site),
 health AS (SELECT sites.site, coalesce(total, 0) AS total, coalesce(success, 0) AS success, coalesce(network_errors, 0) AS network_errors,
     coalesce(structure_errors, 0) AS structure_errors, coalesce(unknown_errors, 0) AS unknown_errors, coalesce(http_403_count, 0) AS http_403_count,

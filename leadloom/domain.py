@@ -121,7 +121,7 @@ SELECT id, CASE WHEN p_partkey % 2 = 0 THEN 'makuake' ELSE 'greenfunding' END AS
   title, category, goal_amount, raised_amount, backers_count, end_date, created_at, updated_at
 FROM {campaigns} WHERE p_size > 42"""
 
-_SCORED = "CAST(l_partkey AS BIGINT) AS project_id, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id, l_shipdate AS created_at"
+_SCORED = "CAST(l_partkey AS BIGINT) AS project_id, CAST((l_orderkey * 8 + l_linenumber) * 1000003 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 1000003 AS BIGINT) AS id, l_shipdate AS created_at"
 _HOST = "'brand' || CAST(1 + l_partkey % 25 AS VARCHAR(20))"
 DOMAIN["contacts"] = f"""
 SELECT {_SCORED},
@@ -144,7 +144,7 @@ SELECT {_SCORED}, CASE WHEN l_linestatus = 'O' THEN 'completed' ELSE 'failed' EN
 FROM {{lineitem}} WHERE l_returnflag = 'N' AND l_quantity >= 42"""
 DOMAIN["drafts"] = f"SELECT {_SCORED} FROM {{lineitem}} WHERE l_returnflag = 'R' AND l_quantity >= 46"
 DOMAIN["activities"] = """
-SELECT CAST(l_partkey AS BIGINT) AS project_id, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id, l_shipdate AS occurred_at
+SELECT CAST(l_partkey AS BIGINT) AS project_id, CAST((l_orderkey * 8 + l_linenumber) * 1000003 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 1000003 AS BIGINT) AS id, l_shipdate AS occurred_at
 FROM {lineitem} WHERE l_returnflag = 'A' AND l_quantity <= 4"""
 DOMAIN["assessments"] = f"""
 SELECT {_SCORED}, CAST((l_suppkey * 13) % 101 AS INT) AS japan_market_fit, CAST((l_suppkey * 29) % 101 AS INT) AS exclusivity,
@@ -177,7 +177,7 @@ SELECT {_SCORED}, {_pick('l_suppkey', ('draft', 'sent', 'sent', 'replied', 'nego
   CAST(l_suppkey % 4 AS INT) AS followup_count
 FROM {{lineitem}} WHERE l_returnflag = 'R' AND l_quantity BETWEEN 10 AND 13"""
 DOMAIN["opportunities"] = f"""
-SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id, l_shipdate AS created_at,
+SELECT CAST((l_orderkey * 8 + l_linenumber) * 1000003 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 1000003 AS BIGINT) AS id, l_shipdate AS created_at,
   {_pick('l_suppkey', ('not_started', 'in_progress', 'contacted', 'won', 'lost'))} AS status,
   {_pick('l_suppkey', ('high', 'medium', 'low'))} AS sales_priority, CAST((l_suppkey * 19) % 101 AS INT) AS sales_score,
   CASE WHEN l_suppkey % 4 = 2 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS next_action_due_date
@@ -212,7 +212,7 @@ SELECT event_id AS id, event_type AS kind, ts AS created_at, CAST({_EK} % 4000 A
 FROM {{events}}"""
 DOMAIN["availability_checks"] = "SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_custkey AS BIGINT) AS project_id, o_orderdate AS created_at FROM {orders}"
 DOMAIN["availability_hits"] = f"""
-SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id, CAST(l_orderkey AS BIGINT) AS check_id,
+SELECT CAST((l_orderkey * 8 + l_linenumber) * 1000003 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 1000003 AS BIGINT) AS id, CAST(l_orderkey AS BIGINT) AS check_id,
   {_pick('l_suppkey', ('amazon', 'rakuten', 'yahoo', 'makuake', 'greenfunding'))} AS site, CAST((l_partkey * 7) % 101 AS INT) AS match_score
 FROM {{lineitem}} WHERE l_returnflag <> 'N'"""
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,19 +13,25 @@ from pyspark.sql.window import Window
 log = logging.getLogger(__name__)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only a local session may fall back."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster shares for intermediate tables; only a local session
+    may fall back to one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="leadloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return folder
 
-        folder = tempfile.mkdtemp(prefix="leadloom-checkpoint-")
-    context.setCheckpointDir(folder)
+
+def cut_lineage(rows: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them back: a lost executor costs a
+    re-read, and the next round plans with real table sizes."""
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/leadloom-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
 
 
 def first_independent(keys: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -33,27 +41,23 @@ def first_independent(keys: DataFrame, max_rounds: int = 1000) -> DataFrame:
     ``keys(id, key)``. Each round keeps every id that is the smallest open one on
     all of its keys and drops the ids touching a kept key. Only per-key minima
     travel, never pairs, so a key held by a third of the ids costs one row per
-    task. Each round's state is checkpointed to keep the lineage short and to
-    survive lost executors.
+    task. Each round ends in a written table, which keeps the lineage short.
     """
-    spark = keys.sparkSession
-    ensure_checkpoint_dir(spark)
-    open_ = keys.select("id", "key").distinct().checkpoint()
+    open_ = cut_lineage(keys.select("id", "key").distinct())
     kept = None
     for step in range(1, max_rounds + 1):
         leaders = open_.groupBy("key").agg(F.min("id").alias("leader"))
-        winners = (
+        winners = cut_lineage(
             open_.join(leaders, "key")
             .groupBy("id")
             .agg(F.bool_and(F.col("leader") == F.col("id")).alias("wins"))
             .filter("wins")
             .select("id")
-            .checkpoint()
         )
         kept = winners if kept is None else kept.unionByName(winners)
         taken = open_.join(winners, "id", "left_semi").select("key").distinct()
         losers = open_.join(taken, "key", "left_semi").select("id").distinct()
-        open_ = open_.join(losers, "id", "left_anti").checkpoint()
+        open_ = cut_lineage(open_.join(losers, "id", "left_anti"))
         if open_.isEmpty():
             log.info("first_independent finished after %d rounds", step)
             return kept

@@ -15,7 +15,6 @@ from leadloom.functions.numbers import clamp
 from leadloom.functions.text import any_of, codes, contains_any, joined_lower, map_lookup, match_categories
 from leadloom.functions.urls import lit_array
 
-ZERO = F.lit(0)
 
 
 def truthy(c: Column) -> Column:
@@ -28,13 +27,13 @@ def sales_priority_score(
     *, latest_score, research_done, contact_available, email_done, raised, goal, backers, sales_status
 ) -> Column:
     rate = numbers.funding_ratio(raised, goal)
-    base = F.least(F.greatest(F.coalesce(latest_score, ZERO), ZERO), F.lit(100)) * 0.4
+    base = F.least(F.greatest(F.coalesce(latest_score, F.lit(0)), F.lit(0)), F.lit(100)) * 0.4
     score = (
         base
         + F.when(contact_available, 20).otherwise(0)
         + F.when(email_done, 15).otherwise(0)
         + F.when(research_done, 10).otherwise(0)
-        + F.when(rate >= 1.0, 5).when(F.coalesce(backers, ZERO) >= 300, 3).otherwise(0)
+        + F.when(rate >= 1.0, 5).when(F.coalesce(backers, F.lit(0)) >= 300, 3).otherwise(0)
         + 5
         - F.when(sales_status == "contacted", 40)
         .when(sales_status == "awaiting_reply", 20)
@@ -104,7 +103,7 @@ def assess_fit(signals: DataFrame) -> DataFrame:
     n_high, n_caution = F.size("_high"), F.size("_caution")
     heavy = F.arrays_overlap(c("_caution"), lit_array(vocab.HEAVY_LOGISTICS))
     stars = c("japan_stars")
-    conf = F.coalesce(c("japan_confidence"), ZERO)
+    conf = F.coalesce(c("japan_confidence"), F.lit(0))
     openness = (
         F.when(c("japan_result") == "sold_in_japan", 18)
         .when(c("japan_result") == "not_found_in_japan", clamp(52 + conf * 0.35))
@@ -134,7 +133,7 @@ def assess_fit(signals: DataFrame) -> DataFrame:
     checked_points = (
         F.when(
             (c("japan_state") == "completed") & c("japan_result").isin("sold_in_japan", "not_found_in_japan"),
-            F.least(F.lit(25), F.greatest(ZERO, 10 + numbers.whole(conf * 0.2))),
+            F.least(F.lit(25), F.greatest(F.lit(0), 10 + numbers.whole(conf * 0.2))),
         )
         .when(c("japan_result") == "inconclusive", 5)
         .when(c("japan_state").isNull() & truthy(c("japan_checked")), 25)
@@ -188,7 +187,7 @@ def assess_fit(signals: DataFrame) -> DataFrame:
 # --- outreach priority --------------------------------------------------------------------
 
 def outreach_priority(*, japan_market_fit, exclusivity, makuake_fit, has_email, has_maker, is_new) -> Column:
-    unit = lambda x: F.least(F.greatest(F.coalesce(x, ZERO), ZERO), F.lit(100))
+    unit = lambda x: F.least(F.greatest(F.coalesce(x, F.lit(0)), F.lit(0)), F.lit(100))
     return clamp(
         0.30 * unit(japan_market_fit)
         + 0.30 * unit(exclusivity)
@@ -377,7 +376,7 @@ def combined_decision(
 
 
 def assessment_state(japan_state, confidence, assessed_at, japan_checked_at, provisional, has_assessment) -> Column:
-    conf = F.coalesce(confidence, ZERO)
+    conf = F.coalesce(confidence, F.lit(0))
     return (
         F.when(~has_assessment, "not_evaluated")
         .when(japan_state.isin("queued", "running"), "checking_japan")
