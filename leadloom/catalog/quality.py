@@ -1 +1,214 @@
-"""Registered queries."""
+"""Gates, qualification, entity selection and evaluation metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from leadloom import vocab
+from leadloom.catalog import inputs, query
+from leadloom.catalog.boards import any_in, cats
+from leadloom.catalog.inputs import joined
+from leadloom.catalog.lists import NOW, q
+from leadloom.domain import AS_OF, table, with_tables
+from leadloom.functions import urls
+from leadloom.functions.text import joined_lower
+from leadloom.operators import gates
+
+HOST = "regexp_extract(lower(source_url), '^https?://([^/?#]*)', 1)"
+CAMPAIGN_SQL = (
+    "CASE WHEN " + " OR ".join(f"(source_site = '{s}' AND ({HOST} = '{d}' OR {HOST} LIKE '%.{d}'))" for s, d in vocab.CAMPAIGN_DOMAINS.items()) + " THEN source_url END"
+)
+
+
+def term(text: str, terms) -> str:
+    """SQL twin of the word-boundary match, without look-behind."""
+    latin = [t for t in terms if any("a" <= c <= "z" for c in t)]
+    other = [t for t in terms if t not in latin]
+    tests = []
+    if latin:
+        body = "|".join(t.replace("-", "[-]").replace("'", "''") for t in latin)
+        tests.append(f"regexp_matches({text}, '(^|[^a-z0-9])(?:{body})($|[^a-z0-9])')")
+    if other:
+        tests.append(any_in(text, other))
+    return "(" + " OR ".join(tests) + ")"
+
+
+@query(
+    "score11_regulatory_checks",
+    with_tables("projects", then="WITH t AS (SELECT id, lower(concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(category, ''))) AS txt FROM projects) SELECT id, concat_ws(',', "
+                + ", ".join(f"CASE WHEN {any_in('txt', w)} THEN '{k}' END" for k, w in vocab.REGULATORY_CHECKS.items()) + ") AS items FROM t"),
+)
+def score11(spark, sf):
+    rows = inputs.projects(spark, sf).select("id", joined_lower(F.col("title"), F.col("description"), F.col("category")).alias("t"))
+    return rows.select("id", F.array_join(F.transform(gates.regulatory_checks(F.col("t")), lambda x: x["item"]), ",").alias("items"))
+
+
+GATE_TEXT = f"""g0 AS (SELECT f.*, {CAMPAIGN_SQL} AS page, lower(concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(category, ''))) AS txt FROM lead_facts f),
+g1 AS (SELECT *, {cats('txt', vocab.CAUTION_CATEGORIES)} AS ca, {term('txt', vocab.NON_PHYSICAL_STRONG)} OR ({term('txt', vocab.NON_PHYSICAL_WEAK)} AND NOT {term('txt', vocab.PHYSICAL_HINTS)}) AS virtual_only FROM g0),
+g2 AS (SELECT *, page IS NULL AS no_page, length(japanese_summary) < 20 AS no_summary,
+  list_filter([CASE WHEN page IS NULL THEN 'no_campaign_url' END, CASE WHEN length(japanese_summary) < 20 THEN 'no_summary' END, CASE WHEN virtual_only THEN 'non_physical' END, CASE WHEN {any_in('txt', vocab.B2B_HINTS)} THEN 'b2b' END,
+    CASE WHEN {any_in('txt', vocab.BULKY_HINTS)} THEN 'bulky' END, CASE WHEN {any_in('txt', vocab.MEDICAL_CLAIM_HINTS)} THEN 'medical_claim' END, CASE WHEN {any_in('txt', vocab.DANGEROUS_HINTS)} THEN 'dangerous' END,
+    CASE WHEN list_has_any(ca, [{q(vocab.HEAVY_REGULATION)}]) THEN 'heavy_regulation' END,
+    CASE WHEN len({cats('txt', vocab.APPEAL_HINTS)}) = 0 AND len({cats('txt', vocab.HIGH_FIT_CATEGORIES)}) = 0 THEN 'no_appeal' END], lambda x: x IS NOT NULL) AS blockers FROM g1),
+g3 AS (SELECT *, CASE WHEN no_page OR no_summary THEN 'not_eligible' WHEN len(blockers) > 0 OR fit IS NULL THEN 'needs_review' WHEN fit >= 45 THEN 'eligible' WHEN fit >= 30 THEN 'needs_review' ELSE 'not_eligible' END AS gate_decision FROM g2)"""
+
+
+def lead_facts(spark, sf):
+    rows = table(spark, sf, "lead_facts")
+    return rows.withColumn("campaign_url", urls.campaign_url(F.col("source_url"), F.col("source_site")))
+
+
+@query("gate01_contact_gate", with_tables("lead_facts", then=f"WITH {GATE_TEXT} SELECT project_id, gate_decision, array_to_string(blockers, ',') AS gate_blockers FROM g3"))
+def gate01(spark, sf):
+    rows = gates.contact_search_gate(lead_facts(spark, sf).withColumn("makuake_fit", F.col("fit")))
+    return rows.select("project_id", "gate_decision", joined("gate_blockers"))
+
+
+def lead_signals(spark, sf):
+    """The nested signals row from flat facts."""
+    c = F.col
+    pages = lambda n, tag: F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(9)), lambda i: i <= n),
+        lambda i: F.struct(F.concat(F.lit(f"https://{tag}"), i.cast("string"), F.lit(".shop/p")).alias("url"), c("listing_checked").alias("checked_at"), F.lit("page_fetch").alias("method"), F.lit(None).cast("string").alias("excerpt")),
+    )
+    notice = lambda url, at, note: F.struct(url.alias("source_url"), at.alias("checked_at"), F.lit("page_fetch").alias("method"), F.lit(note).alias("excerpt"))
+    channel = F.struct(F.lit("amazon").alias("channel"), F.lit("Amazon").alias("label"), F.lit("found").alias("status"), c("japan_url").alias("search_url"), F.lit("").alias("note"))
+    return lead_facts(spark, sf).withColumns(
+        {
+            "official_site": F.struct(c("official_url").alias("url"), c("official_verified").alias("verified"), F.lit(None).cast("string").alias("source_url"), c("updated_at").alias("checked_at"), F.lit("page_fetch").alias("method")),
+            "maker_identity": F.struct(c("identity_verified").alias("verified"), c("official_url").alias("source_url"), c("updated_at").alias("checked_at"), F.lit("page_fetch").alias("method")),
+            "creator_domain": F.struct(c("creator_url").alias("url"), c("creator_class").alias("ownership_class"), c("creator_checked").alias("checked_at"), F.lit(None).cast("string").alias("method")),
+            "japan_sales": F.struct(c("japan_status").alias("status"), c("japan_result").alias("result"), F.array_compact(F.array(c("japan_url"))).alias("source_urls"), c("japan_checked").alias("checked_at"), F.array(channel).alias("channels")),
+            "japan_cf_listings": pages(c("n_cf"), "cf"),
+            "other_brand_listings": pages(c("n_other"), "other"),
+            "global_listings": pages(c("n_global"), "world"),
+            "oem_notice": notice(c("oem_url"), c("updated_at"), "OEM ready"),
+            "discontinued_notice": notice(c("gone_url"), c("gone_checked"), "discontinued"),
+            "business_emails": F.array(F.struct(c("email"), c("email_source").alias("source_url"), c("updated_at").alias("checked_at"), F.lit("mailto").alias("method"), F.lit("mid").alias("role"))),
+            "decision_makers": F.array(F.struct(c("person").alias("name"), c("official_url").alias("source_url"), c("updated_at").alias("checked_at"), F.lit("page_fetch").alias("method"))),
+        }
+    )
+
+
+
+
+def qualification_sql(stage: str) -> str:
+    e = stage == "pre_research"
+    sv = lambda a, b: f"'{a}'" if e else f"'{b}'"
+    fresh = lambda at, days: f"({at} >= {NOW} - INTERVAL {days} DAY)"
+    reg = {k: f"list_has_any(ca, [{q(v)}])" for k, v in vocab.QUALIFY_REGULATED.items()}
+    blocker = lambda cond, proof: f"CASE WHEN {cond} THEN CASE WHEN {proof} THEN 'blocker' ELSE 'review' END"
+    listing_ok = lambda code_days: f"({fresh('listing_checked', code_days)})"
+    sev = {
+        "A": f"CASE WHEN list_has_any(ca, [{q(vocab.HEAVY_REGULATION)}]) OR {term('txt', vocab.BULKY_HINTS)} THEN {sv('review', 'info')} ELSE 'info' END",
+        "B": (blocker("n_cf > 0", listing_ok(365)) if e else "CASE WHEN n_cf > 0 THEN 'info'") + f" WHEN {term('txt', vocab.QUALIFY_NON_PRODUCT)} THEN {sv('review', 'info')} ELSE 'info' END",
+        "C": "CASE WHEN oem_url IS NOT NULL OR n_other >= 2 THEN 'review' ELSE 'info' END",
+        "D": f"CASE WHEN creator_class IS NULL THEN {sv('info', 'review')} WHEN creator_class IN ('distributor', 'retailer', 'agency') THEN " + ("'review'" if e else f"CASE WHEN {fresh('creator_checked', 365)} THEN 'blocker' ELSE 'review' END") + " ELSE 'info' END",
+        "E": "CASE WHEN identity_verified THEN 'info' " + ("WHEN trim(coalesce(maker_name, '')) = '' THEN 'review' ELSE 'info' END" if e else "ELSE 'blocker' END"),
+        "F": f"CASE WHEN japan_result = 'sold_in_japan' AND japan_url IS NOT NULL AND {fresh('japan_checked', 90)} THEN 'blocker' WHEN japan_result = 'sold_in_japan' THEN 'review' ELSE 'info' END",
+        "G": "'info'",
+        **{k: f"CASE WHEN {reg[k]} THEN {sv('review', 'info')} ELSE 'info' END" for k in "HIJKL"},
+        "M": f"CASE WHEN {reg['K']} THEN {sv('review', 'info')} ELSE 'info' END",
+        **{k: f"CASE WHEN {term('txt', vocab.QUALIFY_STRONG[k])} THEN CASE WHEN page IS NOT NULL THEN 'blocker' ELSE 'review' END WHEN {term('txt', vocab.QUALIFY_WEAK[k])} AND NOT {term('txt', vocab.PHYSICAL_HINTS)} THEN 'review' ELSE 'info' END" for k in "NOP"},
+        "Q": (f"CASE WHEN gone_url IS NOT NULL THEN CASE WHEN {fresh('gone_checked', 7)} THEN 'blocker' ELSE 'review' END" if e else "CASE WHEN gone_url IS NOT NULL THEN 'review'")
+        + f" WHEN end_date < {NOW} AND official_url IS NULL THEN 'review' ELSE 'info' END",
+        "R": (blocker("n_global >= 3", listing_ok(90)) if e else "CASE WHEN n_global >= 3 THEN 'info'") + f" WHEN coalesce({term('lower(maker_name)', vocab.QUALIFY_MEGA_BRANDS)}, false) THEN {sv('review', 'info')} ELSE 'info' END",
+        "S": "CASE WHEN official_verified AND official_url IS NOT NULL THEN 'info' " + ("WHEN official_url IS NULL THEN 'info' ELSE 'review' END" if e else "ELSE 'review' END"),
+        "T": "CASE WHEN page IS NULL OR length(trim(japanese_summary)) < 20 THEN 'blocker' ELSE 'info' END",
+    }
+    pairs = ", ".join(f"{{'code': '{k}', 'sev': {v}}}" for k, v in sev.items())
+    pick = lambda s: f"array_to_string(list_transform(list_filter(fs, lambda f: f.sev = '{s}'), lambda f: f.code), ',')"
+    return f"""WITH {GATE_TEXT}, w AS (SELECT project_id, [{pairs}] AS fs FROM g1),
+    v AS (SELECT project_id, {pick('blocker')} AS blocker_codes, {pick('review')} AS review_codes FROM w)
+    SELECT project_id, CASE WHEN blocker_codes <> '' THEN 'blocked' WHEN review_codes <> '' THEN 'review' ELSE 'clear' END AS decision, blocker_codes, review_codes FROM v"""
+
+
+def _qualified(spark, sf, stage):
+    rows = gates.qualify(lead_signals(spark, sf), stage, AS_OF)
+    return rows.select("project_id", "decision", joined("blocker_codes"), joined("review_codes"))
+
+
+@query("gate03_qualify_pre_research", with_tables("lead_facts", then=qualification_sql("pre_research")))
+def gate03a(spark, sf):
+    return _qualified(spark, sf, "pre_research")
+
+
+@query("gate03_qualify_pre_outreach", with_tables("lead_facts", then=qualification_sql("pre_outreach")))
+def gate03b(spark, sf):
+    return _qualified(spark, sf, "pre_outreach")
+
+
+
+
+@query(
+    "gate05_positive_facts",
+    with_tables("lead_facts", then=f"""WITH {GATE_TEXT}
+    SELECT project_id, concat_ws(',', CASE WHEN page IS NOT NULL THEN 'campaign_url_verified' END,
+      CASE WHEN page IS NOT NULL AND {term('txt', vocab.PHYSICAL_HINTS)} AND NOT ({' OR '.join(term('txt', vocab.QUALIFY_STRONG[k]) for k in 'NOP')}) THEN 'physical_product_confirmed' END,
+      CASE WHEN trim(coalesce(maker_name, '')) <> '' THEN 'maker_name_present' END, CASE WHEN official_verified AND official_url IS NOT NULL THEN 'official_site_verified' END,
+      CASE WHEN identity_verified AND official_url IS NOT NULL THEN 'maker_identity_verified' END, CASE WHEN email IS NOT NULL AND email_source IS NOT NULL THEN 'business_contact_found' END,
+      CASE WHEN person IS NOT NULL AND official_url IS NOT NULL THEN 'decision_maker_found' END, CASE WHEN japan_status = 'completed' AND japan_url IS NOT NULL AND japan_checked IS NOT NULL THEN 'japan_sales_check_completed' END) AS facts FROM g1"""),
+)
+def gate05(spark, sf):
+    rows = gates.qualify(lead_signals(spark, sf), "pre_research", AS_OF)
+    return rows.select("project_id", F.array_join(F.transform("positive_facts", lambda f: f["key"]), ",").alias("facts"))
+
+
+@query("gate04_downgraded_findings")
+def gate04(spark, sf):
+    rows = gates.findings_table(gates.qualify(lead_signals(spark, sf), "pre_outreach", AS_OF))
+    return rows.filter(F.col("downgrade_reason").isNotNull()).select("project_id", "code", "verdict", "severity", "downgraded_from", "downgrade_reason")
+
+
+@query(
+    "gate02_merged_gate",
+    with_tables("lead_facts", then=f"""WITH {qualification_sql('pre_research').split('SELECT project_id, CASE WHEN')[0].strip().removeprefix('WITH ')},
+    qd AS (SELECT project_id, CASE WHEN blocker_codes <> '' THEN 'blocked' WHEN review_codes <> '' THEN 'review' ELSE 'clear' END AS decision FROM v)
+    SELECT g3.project_id, CASE WHEN decision = 'blocked' THEN 'not_eligible' ELSE gate_decision END AS gate_decision, decision <> 'blocked' AND gate_decision = 'eligible' AS eligible FROM g3 JOIN qd ON g3.project_id = qd.project_id"""),
+)
+def gate02(spark, sf):
+    rows = gates.qualify(gates.contact_search_gate(lead_signals(spark, sf).withColumn("makuake_fit", F.col("fit"))), "pre_research", AS_OF)
+    heavy = F.when(F.col("decision") == "blocked", F.col("blocker_codes")).otherwise(F.col("review_codes"))
+    merged = gates.merge_gate(F.col("gate_decision"), F.col("gate_reasons"), F.col("decision"), heavy)
+    return rows.select("project_id", merged["gate_decision"].alias("gate_decision"), merged["eligible"].alias("eligible"))
+
+
+@query(
+    "gate06_override_history",
+    with_tables("lead_facts", then=f"""{qualification_sql('pre_outreach').rstrip()}"""
+                .replace("SELECT project_id, CASE WHEN blocker_codes <> '' THEN 'blocked' WHEN review_codes <> '' THEN 'review' ELSE 'clear' END AS decision, blocker_codes, review_codes FROM v",
+                         "SELECT v.project_id, CASE WHEN official_verified THEN 'clear' WHEN blocker_codes <> '' THEN 'blocked' WHEN review_codes <> '' THEN 'review' ELSE 'clear' END AS decision, "
+                         "CASE WHEN blocker_codes <> '' THEN 'blocked' WHEN review_codes <> '' THEN 'review' ELSE 'clear' END AS machine_decision, blocker_codes FROM v JOIN g0 ON v.project_id = g0.project_id")),
+)
+def gate06(spark, sf):
+    signals = lead_signals(spark, sf)
+    machine = gates.history_rows(gates.qualify(signals, "pre_outreach", AS_OF))
+    ours = signals.filter("official_verified").select("project_id", F.lit("clear").alias("new_decision"), F.lit("checked by hand").alias("reason"), F.col("official_url").alias("evidence_url"))
+    kept = machine.join(ours.select("project_id"), "project_id", "left_anti")
+    rows = gates.override_rows(machine, ours).unionByName(kept)
+    return rows.select("project_id", "decision", "machine_decision", joined("blocker_codes"))
+
+
+@query(
+    "gate07_outreach_reuse",
+    with_tables("lead_facts", then="""
+    SELECT project_id, CASE WHEN project_id % 4 = 0 AND age <= 72 AND NOT (project_id % 5 = 0) AND project_id % 7 <> 0 THEN 'override' WHEN project_id % 7 <> 0 AND age <= 24 THEN 'reuse' ELSE 'evaluate' END AS action
+    FROM (SELECT project_id, project_id % 100 AS age FROM lead_facts)"""),
+)
+def gate07(spark, sf):
+    rows = lead_facts(spark, sf)
+    fields = {n: F.col(n) for n in ("title", "category", "maker_name", "campaign_url", "japan_result")}
+    digest = gates.signals_digest(fields, F.array(F.col("email")))
+    n = F.col("project_id")
+    current = rows.select("project_id", digest.alias("digest"))
+    latest = rows.select(
+        "project_id",
+        F.when(n % 7 == 0, F.lit("changed")).otherwise(digest).alias("digest"),
+        (n % 4 == 0).alias("overridden"),
+        F.lit("clear").alias("decision"),
+        F.lit("seen").alias("override_reason"),
+        F.lit("https://proof.io/1").alias("override_evidence_url"),
+        (F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(hours=(n % 100).cast("int"))).alias("created_at"),
+        (n % 5 == 0).alias("has_stale"),
+    )
+    return gates.outreach_reuse(latest, current, AS_OF).select("project_id", "action")

@@ -217,6 +217,29 @@ SELECT CAST((l_orderkey * 8 + l_linenumber) * 1000003 + CAST(floor(l_extendedpri
 FROM {{lineitem}} WHERE l_returnflag <> 'N'"""
 
 
+_NOW = f"TIMESTAMP '{AS_OF}'"
+_BRAND_SITE = "'https://www.brand' || CAST(1 + id % 25 AS VARCHAR(20)) || '.com/'"
+DOMAIN["lead_facts"] = f"""
+SELECT id AS project_id, title, description, category, maker_name, source_url, source_site, end_date, created_at, updated_at,
+  CASE WHEN id % 10 = 9 THEN 'short' ELSE title || ': summary of the product' END AS japanese_summary,
+  CASE WHEN id % 8 = 5 THEN NULL ELSE CAST((id * 23) % 101 AS INT) END AS fit,
+  CASE WHEN id % 4 = 1 THEN NULL ELSE {_BRAND_SITE} END AS official_url, id % 4 = 2 AS official_verified, id % 3 = 0 AS identity_verified,
+  {_pick('id', ('x', 'distributor', 'maker_official', 'unknown', 'retailer', 'agency', 'maker_official'), null_at=(0,))} AS creator_class,
+  'https://seller' || CAST(id % 40 AS VARCHAR(20)) || '.com/' AS creator_url,
+  CASE WHEN id % 2 = 0 THEN created_at ELSE updated_at END AS creator_checked,
+  CASE WHEN id % 17 = 3 THEN 'https://oem.page/' ELSE NULL END AS oem_url,
+  CASE WHEN id % 11 = 1 THEN 1 ELSE 0 END AS n_cf, CAST(id % 4 AS INT) AS n_other, CAST(id % 6 AS INT) AS n_global,
+  {_NOW} - INTERVAL '1' DAY * CAST(id % 500 AS INT) AS listing_checked,
+  CASE WHEN id % 23 = 7 THEN 'https://gone.page/' ELSE NULL END AS gone_url, {_NOW} - INTERVAL '1' DAY * CAST(id % 13 AS INT) AS gone_checked,
+  CASE WHEN id % 5 = 0 THEN 'not_checked' ELSE 'completed' END AS japan_status,
+  {_pick('id', ('x', 'sold_in_japan', 'not_found_in_japan', 'inconclusive', 'not_found_in_japan'), null_at=(0,))} AS japan_result,
+  CASE WHEN id % 2 = 0 THEN 'https://www.amazon.co.jp/s' ELSE NULL END AS japan_url, {_NOW} - INTERVAL '1' DAY * CAST(id % 200 AS INT) AS japan_checked,
+  CASE WHEN id % 3 = 1 THEN 'info@brand' || CAST(1 + id % 25 AS VARCHAR(20)) || '.com' ELSE NULL END AS email,
+  CASE WHEN id % 6 = 4 THEN NULL ELSE {_BRAND_SITE} END AS email_source,
+  CASE WHEN id % 5 = 2 THEN 'Jane Doe' ELSE NULL END AS person
+FROM {{projects}}"""
+
+
 def _references(text: str) -> list[str]:
     return list(dict.fromkeys(f for _, f, _, _ in string.Formatter().parse(text) if f))
 

@@ -43,8 +43,8 @@ def quote_regex(term: str) -> str:
 def has_term(text: Column, terms) -> Column:
     """Latin terms need a non-alphanumeric neighbour on both sides; other scripts
     match anywhere."""
-    latin = [t for t in terms if t.isascii()]
-    other = [t for t in terms if not t.isascii()]
+    latin = [t for t in terms if any("a" <= c <= "z" for c in t)]
+    other = [t for t in terms if t not in latin]
     tests = []
     if latin:
         body = "|".join(quote_regex(t) for t in latin)
