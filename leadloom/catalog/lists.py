@@ -289,11 +289,11 @@ def join09(spark, sf):
     "join10_capture_projects",
     with_tables("projects", then="""
     WITH cap AS (SELECT id AS capture_id, CASE id % 3 WHEN 0 THEN source_url WHEN 1 THEN source_url || '#story' ELSE upper(source_url) END AS url FROM projects WHERE source_url IS NOT NULL),
-    k AS (SELECT *, nullif(regexp_extract(url, '/(?:campaign|funding|project|store)/(?:detail/)?(\\d+)', 1), '') AS cid,
+    k AS (SELECT *, nullif(regexp_extract(url, '/campaign/(?:detail|example)/([A-Za-z0-9_\\-]+)', 1), '') AS cid,
       rtrim(lower(regexp_extract(trim(url), '^([^?#]*)', 1)), '/') AS canon FROM cap),
-    p AS (SELECT id, source_url, nullif(regexp_extract(source_url, '/(?:campaign|funding|project|store)/(?:detail/)?(\\d+)', 1), '') AS cid,
-      rtrim(lower(regexp_extract(trim(source_url), '^([^?#]*)', 1)), '/') AS canon FROM projects WHERE source_url IS NOT NULL),
-    hits AS (SELECT capture_id, p.id AS project_id, 1 AS tier FROM k JOIN p ON k.url = p.source_url
+    p AS (SELECT id, source_url, nullif(regexp_extract(source_url, '/campaign/(?:detail|example)/([A-Za-z0-9_\\-]+)', 1), '') AS cid,
+      rtrim(lower(regexp_extract(trim(source_url), '^([^?#]*)', 1)), '/') AS canon FROM projects WHERE source_site = 'wadiz' AND source_url IS NOT NULL),
+    hits AS (SELECT capture_id, p.id AS project_id, 1 AS tier FROM k JOIN projects p ON k.url = p.source_url
       UNION ALL SELECT capture_id, p.id, 2 FROM k JOIN p ON k.cid = p.cid UNION ALL SELECT capture_id, p.id, 3 FROM k JOIN p ON k.canon = p.canon)
     SELECT * FROM hits QUALIFY tier = min(tier) OVER (PARTITION BY capture_id)"""),
 )

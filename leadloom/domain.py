@@ -240,6 +240,73 @@ SELECT id AS project_id, title, description, category, maker_name, source_url, s
 FROM {{projects}}"""
 
 
+# --- pages of maker sites: the raw page plus a contact block; seven pages to a site ---
+_SITE_KEY = "CAST(floor(page_id / 7) AS BIGINT)"
+_BRAND = "'brand' || CAST(1 + project_id % 25 AS VARCHAR(20))"
+BLOCKS = (
+    "'<footer><a href=\"mailto:Sales@' || brand || '.com?subject=hi\">mail</a></footer>'",
+    "'<p>contact info@' || brand || '.com or support@kickstarter.com</p>'",
+    "'<p>partner [at] ' || brand || ' [dot] com</p>'",
+    "'<script>var e = \"hello\" + \"@\" + \"' || brand || '.com\";</script>'",
+    "'<a data-cfemail=\"4231232e2731022f232927306c212d2f\">x</a>'",
+    "'noreply@' || brand || '.com jane.doe@gmail.com <a href=\"https://www.instagram.com/' || brand || '/\">ig</a><a href=\"https://twitter.com/intent/tweet?u=1\">share</a>'",
+    "'<a href=\"../docs/Catalog-2024.pdf\">PDF</a> <a href=\"https://facebook.com/kickstarter\">fb</a> <a href=\"//shop.' || brand || '.com/a/./b/../c?x=1#top\">Visit our website</a>'",
+    "'Press and Influencers | ethan@' || brand || '.com | Reseller: sales@' || brand || '.com'",
+    "'<script type=\"application/ld+json\">{{\"@type\":\"Organization\",\"name\":\"Brand Works\",\"email\":\"ld@' || brand || '.com\",\"sameAs\":[\"https://www.linkedin.com/company/' || brand || '\"]}}</script>'",
+    "'<p>Jane Miller, CEO and Tom Hardy - Head of Sales</p><p>Contact Team, Manager</p> jane@' || brand || '.com'",
+    "'logo@2x.png hi@example.com 24c0ffee24c0ffee24c0ffee24@o1.ingest.sentry.io wholesale@' || brand || '.com'",
+)
+DOMAIN["crawl_pages"] = f"""
+SELECT project_id, page_id, position, variant,
+  'https://www.' || brand || '.com' || CASE position WHEN 0 THEN '/' WHEN 1 THEN '/pages/contact' WHEN 2 THEN '/about-us' WHEN 3 THEN '/privacy-policy' WHEN 4 THEN '/press/kit' WHEN 5 THEN '/wholesale' ELSE '/products/item' END AS url,
+  brand || '.com' AS site_host,
+  html || CASE variant {' '.join(f"WHEN {i} THEN {b}" for i, b in enumerate(BLOCKS))} ELSE '' END AS html
+FROM (SELECT {_SITE_KEY} AS project_id, page_id, CAST(page_id % 7 AS INT) AS position, CAST((page_id * 5 + {_SITE_KEY}) % 12 AS INT) AS variant,
+  'brand' || CAST(1 + {_SITE_KEY} % 25 AS VARCHAR(20)) AS brand, html FROM {{pages}}) t"""
+DOMAIN["crawl_projects"] = """
+SELECT project_id AS id, 'Brand Works ' || CAST(project_id AS VARCHAR(20)) AS title, CASE WHEN project_id % 3 = 0 THEN 'Brand Works' ELSE site_host END AS maker_name,
+  CASE project_id % 4 WHEN 0 THEN 'kickstarter' WHEN 1 THEN 'wadiz' WHEN 2 THEN 'zeczec' ELSE 'indiegogo' END AS source_site,
+  CASE WHEN project_id % 5 = 4 THEN NULL ELSE 'https://www.' || site_host || '/' END AS maker_url
+FROM (SELECT DISTINCT project_id, site_host FROM {crawl_pages}) t"""
+
+# --- candidate hosts and search results, one per event ---------------------------------
+HOSTS = (
+    "www.brandworks.com", "shopee.tw", "www.amazon.co.jp", "brandx.com", "x.com", "news.site.jp", "blog.naver.com",
+    "sub.brandworks.com", "lg.com", "brandworks.vercel.app", "brandworks.myshopify.com", "www.nih.gov", "reurl.cc", "ideafound.com",
+    "mail.makerz.co.kr", "shop.unionchen.com.tw", "test.io", "www.kickstarter.com", "instagram.com", "linkedin.com", "www.facebook.com",
+    "wholesale.brandworks.co.uk", "example.com", "gmail.com", "127.0.0.1",
+)
+PATHS = ("", "/", "/contact", "/pages/contact", "/about", "/brandworks/", "/company/brandworks", "/in/jane", "/p/abc", "/cart", "/projects/example", "/support/faq?x=1#a", "/press", "/wholesale")
+DOMAIN["results"] = f"""
+SELECT event_id AS id, user_id AS project_id, CAST(event_id % 20 AS INT) AS position,
+  CASE WHEN event_id % 41 = 0 THEN 'ftp' WHEN event_id % 43 = 0 THEN 'http' ELSE 'https' END || '://' || {_pick('event_id', HOSTS)} || {_pick('event_id + user_id', PATHS)} AS url,
+  {_pick('event_id + 2 * user_id', ('Brandworks official site', 'Review of the lamp', 'Buy now', 'Aurora lamp by Brandworks', 'Brandworks | Big Retailer', ''))} AS title,
+  {_pick('event_id', ('the aurora lamp', 'nothing here', 'brandworks makes lamps'))} AS snippet,
+  {_pick('user_id', ('Brandworks', 'Jane Wilson', 'Nova Labs', 'x', 'LG'), null_at=(3,))} AS maker_name,
+  CASE WHEN user_id % 4 = 0 THEN 'brandworks.com' ELSE NULL END AS official_domain
+FROM {{events}}"""
+LOCALS = (
+    "sales", "info", "support", "careers", "noreply", "jane.doe", "bd", "contact-us", "press", "privacy", "test", "hello2",
+    "postmaster", "24c0ffee24c0ffee24c0ffee24", "global", "career", "care", "abc123def456ghi789jkl0123456",
+)
+EMAIL_HOSTS = (
+    "brandworks.com", "mail.brandworks.com", "gmail.com", "kickstarter.com", "ideafound.com", "example.com", "www.brandworks.com",
+    "bit.ly", "lg.com", "makerz.co.kr", "logo.png", "novalabs.co", "sentry.io", "backerkit.com", "unknown-shop.net",
+)
+DOMAIN["addresses"] = f"""
+SELECT event_id AS id, user_id AS project_id, CAST(event_id % 11 AS INT) AS position, {_pick('event_id', LOCALS)} || '@' || {_pick('event_id + user_id', EMAIL_HOSTS)} AS email,
+  {_pick('user_id', ('Brandworks', 'Jane Wilson', 'Nova Labs', 'x', 'LG'), null_at=(3,))} AS maker_name,
+  CASE WHEN user_id % 4 = 0 THEN 'brandworks.com' ELSE NULL END AS official_domain,
+  CASE WHEN user_id % 3 = 0 THEN 'kickstarter.com' WHEN user_id % 3 = 1 THEN 'backerkit.com' ELSE NULL END AS site_domain,
+  {_pick('event_id', ('Press & Influencers', 'Reseller', 'x', 'Customer Service', 'General Inquiry', 'x', '채용'), null_at=(2, 5))} AS label,
+  CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(event_id % 100 AS INT) END AS score,
+  CASE WHEN event_id % 9 = 0 THEN '' ELSE 'https://www.brandworks.com/' || {_pick('event_id', ('contact', 'about-us', 'privacy', 'products', 'legal/terms'))} END AS source_url
+FROM {{events}}"""
+DOMAIN["replies"] = f"""
+SELECT conv_id, turn, text || ' ' || {_pick('conv_id * 3 + turn', ('We are interested, sounds great.', 'Not interested, thanks.', 'Please send more information and a sample.', 'What is the price and MOQ?', 'Let us schedule a call.', 'We already have a distributor.', 'OK.', '興味があります。', 'Unfortunately too high a problem.'))} AS body
+FROM {{conversations}} WHERE role = 'user'"""
+
+
 def _references(text: str) -> list[str]:
     return list(dict.fromkeys(f for _, f, _, _ in string.Formatter().parse(text) if f))
 

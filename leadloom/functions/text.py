@@ -102,3 +102,106 @@ def token_similarity(left: Column, right: Column) -> Column:
     shared, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     pct = F.bround(F.try_divide(shared, union) * 100, 0)
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(pct.cast("int"))
+
+
+# --- titles, brands, scripts, replies -----------------------------------------------
+
+_TITLE_CUT = r"\s[\-–—|｜:：]\s|[:：|｜–—]"
+
+
+def short_title(title: Column) -> Column:
+    """Title up to its first separator, without bracketed parts."""
+    head = F.get(F.split(F.coalesce(title, F.lit("")), _TITLE_CUT, 2), 0)
+    bare = F.regexp_replace(head, r"[\(（\[【].*?[\)）\]】]", "")
+    return F.trim(F.lit(" -–—|｜:："), squash(bare))
+
+
+def brand_phrases(text: Column, stop_words, limit: int = 4) -> Column:
+    """First title-case phrases; a single common word is no brand."""
+    pattern = r"\b([A-Z][A-Za-z0-9&']+(?:\s[A-Z][A-Za-z0-9&']+){0,2})\b"
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), squash)
+    kept = F.filter(
+        found,
+        lambda w: (F.length(w) >= 3) & (F.contains(w, F.lit(" ")) | ~F.lower(w).isin(*stop_words)),
+    )
+    folded = F.transform(kept, F.lower)
+    return F.slice(F.filter(kept, lambda w, i: F.array_position(folded, F.lower(w)) == i + 1), 1, limit)
+
+
+def name_script(name: Column) -> Column:
+    """latin when 60 % of the letters are Latin, non_latin, or no_maker_name."""
+    letters = F.length(F.regexp_replace(name, r"[^\p{L}]", ""))
+    latin = F.length(F.regexp_replace(name, r"[^\p{IsLatin}]", ""))
+    return (
+        F.when(F.coalesce(letters, F.lit(0)) == 0, "no_maker_name")
+        .when(latin / letters >= 0.6, "latin")
+        .otherwise("non_latin")
+    )
+
+
+_PUNCTUATION = ("“”„‟″‘’‚‛–—−  　", "\"\"\"\"\"''''---  ")
+
+
+def plain_punctuation(text: Column) -> Column:
+    """Smart quotes, dashes and odd spaces to ASCII, blanks collapsed; NFKC comes first."""
+    flat = F.replace(F.translate(text, *_PUNCTUATION), F.lit("…"), F.lit("..."))
+    return squash(flat)
+
+
+def reply_labels(text: Column, intents, positive, negative) -> dict[str, Column]:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    intent = None
+    for name, words in intents:
+        hit = contains_any(low, words)
+        intent = F.when(hit, F.lit(name)) if intent is None else intent.when(hit, F.lit(name))
+    intent = intent.otherwise("unclear")
+    hits = lambda words: sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
+    n_neg, n_pos = hits(negative), hits(positive)
+    sentiment = F.when(n_neg > n_pos, "negative").when(n_pos > 0, "positive").otherwise("neutral")
+    return {
+        "intent": intent,
+        "sentiment": sentiment,
+        "language": F.when(text.rlike(r"[぀-ヿ一-鿿]"), "ja").otherwise("en"),
+        "confidence": F.when(intent == "unclear", "low").when(sentiment == "neutral", "medium").otherwise("high"),
+    }
+
+
+def trim_at_word(text: Column, limit: int) -> Column:
+    """Cut at the last blank past 60 % of the limit, with an ellipsis."""
+    cut = F.substring(text, 1, limit)
+    blank_at = F.length(F.regexp_extract(cut, r"(?s)^(.*) ", 1))
+    body = F.when(F.contains(cut, F.lit(" ")) & (blank_at > limit * 0.6), F.substring(cut, 1, blank_at)).otherwise(cut)
+    clean = F.regexp_replace(body, r"[ .,、。\n]+$", "")
+    return F.when(F.length(text) > limit, F.concat(clean, F.lit("…"))).otherwise(text)
+
+
+_DROPPED = ("script", "style", "noscript", "template", "picture", "figure", "svg", "video", "iframe")
+_BLOCKS = (
+    "p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "h1",
+    "h2", "h3", "h4", "h5", "h6", "blockquote", "pre",
+)
+
+
+def strip_markup(html: Column) -> Column:
+    """Page text with entities still encoded: media and scripts dropped with their
+    content, block tags turned into line breaks."""
+    text = html
+    for tag in _DROPPED:
+        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+    text = F.regexp_replace(text, r"(?is)<!--.*?-->", "")
+    text = F.regexp_replace(text, r"(?i)</?(?:" + "|".join(_BLOCKS) + r")\b[^>]*>", "\n")
+    return F.regexp_replace(text, r"<[^>]+>", "")
+
+
+def tidy_lines(text: Column) -> Column:
+    """Blanks collapsed per line, empty lines dropped."""
+    one = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t ​]+", " ")
+    lines = F.filter(F.transform(F.split(one, "\n"), F.trim), lambda s: s != "")
+    return F.nullif(F.array_join(lines, "\n"), F.lit(""))
+
+
+def html_to_text(html: Column, max_len: int | None = None) -> Column:
+    from leadloom.functions.pandas_udfs import unescape_entities
+
+    text = tidy_lines(unescape_entities(strip_markup(html)))
+    return text if max_len is None else trim_at_word(text, max_len)

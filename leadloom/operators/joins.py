@@ -298,19 +298,21 @@ def canonical_url(url: Column) -> Column:
 
 
 def campaign_id(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, r"/(?:campaign|funding|project|store)/(?:detail/)?(\d+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, r"/campaign/(?:detail|example)/([A-Za-z0-9_\-]+)", 1), F.lit(""))
 
 
-def resolve_captures(captures: DataFrame, projects: DataFrame) -> DataFrame:
-    """All projects of the best tier: exact URL, campaign id, canonical URL."""
+def resolve_captures(captures: DataFrame, projects: DataFrame, site: str = "wadiz") -> DataFrame:
+    """All projects of the best tier: exact URL, campaign id, canonical URL. The last
+    two only look at projects of the captured site."""
     left = captures.select(
         "capture_id", "url", campaign_id(F.col("url")).alias("cid"), canonical_url(F.col("url")).alias("canon")
     )
+    own = F.col("source_site") == site
     right = projects.filter(F.col("source_url").isNotNull()).select(
         F.col("id").alias("project_id"),
         F.col("source_url"),
-        campaign_id(F.col("source_url")).alias("p_cid"),
-        canonical_url(F.col("source_url")).alias("p_canon"),
+        F.when(own, campaign_id(F.col("source_url"))).alias("p_cid"),
+        F.when(own, canonical_url(F.col("source_url"))).alias("p_canon"),
     )
     tiers = [("url", "source_url"), ("cid", "p_cid"), ("canon", "p_canon")]
     hits = None
