@@ -39,7 +39,7 @@ def official(url: str) -> str:
     return (
         f"coalesce({url} LIKE 'http%://%' AND NOT {under(f'regexp_replace({net}, ' + repr('^www[.]') + ', ' + repr('') + ')', vocab.NON_OFFICIAL_PLATFORMS)}"
         f" AND NOT {_rules(net, vocab.NON_OFFICIAL_HOSTS)} AND NOT {_rules(net, vocab.REJECTED_OFFICIAL_HOSTS)}"
-        f" AND {net} <> '' AND NOT list_has_any(string_split({net}, '.'), [{q(vocab.PLACEHOLDER_HOST_LABELS)}])"
+        f" AND {net} <> '' AND {net} NOT IN ('127.0.0.1', '0.0.0.0') AND NOT list_has_any(string_split({net}, '.'), [{q(vocab.PLACEHOLDER_HOST_LABELS)}])"
         f" AND NOT ({bad_path}), false)"
     )
 

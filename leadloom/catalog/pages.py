@@ -242,7 +242,7 @@ def ext24(spark, sf):
     rows = scored_results(spark, sf).filter("score >= 0")
     rows = rows.withColumn("terms", F.concat("project_terms", "maker_terms"))
     # several results share a rank here; the event id makes the order total
-    rows = rows.withColumn("position", F.col("position") * 1_000_000_000 + F.col("id"))
+    rows = rows.withColumn("position", F.col("position").cast("long") * 1_000_000_000 + F.col("id"))
     return sites.infer_official(rows)
 
 

@@ -113,7 +113,7 @@ def short_title(title: Column) -> Column:
     """Title up to its first separator, without bracketed parts."""
     head = F.get(F.split(F.coalesce(title, F.lit("")), _TITLE_CUT, 2), 0)
     bare = F.regexp_replace(head, r"[\(（\[【].*?[\)）\]】]", "")
-    return F.trim(F.lit(" -–—|｜:："), squash(bare))
+    return F.trim(squash(bare), F.lit(" -–—|｜:："))
 
 
 def brand_phrases(text: Column, stop_words, limit: int = 4) -> Column:

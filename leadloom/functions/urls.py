@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadloom import vocab
+from leadloom.functions.binding import let, let_all
 from leadloom.functions.text import any_of, contains_any
 
 
@@ -42,24 +43,26 @@ def domain_of(url: Column) -> Column:
 
 def host_of(url_host_or_email: Column) -> Column:
     """Lower-case host of a URL, bare host or address, without port and ``www.``."""
-    s = F.lower(F.trim(F.coalesce(url_host_or_email, F.lit(""))))
-    picked = (
-        F.when(F.contains(s, F.lit("://")), F.regexp_extract(s, r"^[a-z][a-z0-9+.\-]*://([^/?#]*)", 1))
-        .when(F.contains(s, F.lit("@")), F.regexp_extract(s, r"@(.*)$", 1))
-        .otherwise(s)
-    )
+
+    def pick(s):
+        return (
+            F.when(F.contains(s, F.lit("://")), F.regexp_extract(s, r"^[a-z][a-z0-9+.\-]*://([^/?#]*)", 1))
+            .when(F.contains(s, F.lit("@")), F.substring(s, F.locate("@", s) + F.lit(1), F.length(s)))
+            .otherwise(s)
+        )
+
+    picked = let(F.lower(F.trim(F.coalesce(url_host_or_email, F.lit("")))), pick)
     return strip_www(F.regexp_extract(picked, r"^([^:/]*)", 1))
 
 
-def _last_labels(host: Column, n: int) -> Column:
-    return F.substring_index(host, ".", -n)
+def registrable_of_host(host: Column) -> Column:
+    """eTLD+1 of a bare host with the two-level suffixes the domain knows."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*vocab.TWO_LEVEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def registrable_domain(url_host_or_email: Column) -> Column:
-    """eTLD+1 with the two-level suffixes the domain knows."""
-    host = host_of(url_host_or_email)
-    two = _last_labels(host, 2)
-    return F.when(two.isin(*vocab.TWO_LEVEL_SUFFIXES), _last_labels(host, 3)).otherwise(two)
+    return let(host_of(url_host_or_email), registrable_of_host)
 
 
 def domain_token(url_host_or_email: Column) -> Column:
@@ -74,10 +77,9 @@ def under_domain(host: Column, domain) -> Column:
 
 def host_suffixes(host: Column) -> Column:
     """``a.b.c`` -> [a.b.c, b.c, c]; lets domain rules become an equality test."""
-    labels = F.split(host, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    return let(
+        F.split(host, r"\."),
+        lambda labels: F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")),
     )
 
 
@@ -119,22 +121,24 @@ def first_host_rule(host: Column, rules) -> Column:
 
 def business_url_reason(url: Column) -> Column:
     """Why a URL cannot be used for business, NULL when it can."""
+
+    def judge(v):
+        raw, sch, host, p = v["raw"], v["scheme"], v["host"], v["path"]
+        bad_label = F.get(F.filter(F.split(host, r"\."), lambda x: x.isin(*vocab.PLACEHOLDER_HOST_LABELS)), 0)
+        out = (
+            F.when(raw == "", F.lit("empty"))
+            .when(~sch.isin("http", "https"), F.concat(F.lit("scheme:"), F.when(sch == "", "none").otherwise(sch)))
+            .when(host == "", F.lit("no_host"))
+            .when(host.isin(*vocab.LOCAL_HOSTS), F.concat(F.lit("dummy_host:"), host))
+            .when(bad_label.isNotNull(), F.concat(F.lit("dummy_host:"), bad_label))
+            .when(F.contains(host, F.lit("githubusercontent")), F.lit("blocked_host:githubusercontent"))
+        )
+        for token in vocab.PLACEHOLDER_PATHS:
+            out = out.when(F.contains(p, F.lit(token)), F.lit(f"placeholder_path:{token}"))
+        return out
+
     raw = F.trim(F.coalesce(url, F.lit("")))
-    sch, host, p = scheme(raw), hostname(raw), F.lower(path(raw))
-    bad_label = F.try_element_at(
-        F.filter(F.split(host, r"\."), lambda x: x.isin(*vocab.PLACEHOLDER_HOST_LABELS)), F.lit(1)
-    )
-    out = (
-        F.when(raw == "", F.lit("empty"))
-        .when(~sch.isin("http", "https"), F.concat(F.lit("scheme:"), F.when(sch == "", "none").otherwise(sch)))
-        .when(host == "", F.lit("no_host"))
-        .when(host.isin(*vocab.LOCAL_HOSTS), F.concat(F.lit("dummy_host:"), host))
-        .when(bad_label.isNotNull(), F.concat(F.lit("dummy_host:"), bad_label))
-        .when(F.contains(host, F.lit("githubusercontent")), F.lit("blocked_host:githubusercontent"))
-    )
-    for token in vocab.PLACEHOLDER_PATHS:
-        out = out.when(F.contains(p, F.lit(token)), F.lit(f"placeholder_path:{token}"))
-    return out
+    return let_all({"raw": raw, "scheme": scheme(raw), "host": hostname(raw), "path": F.lower(path(raw))}, judge)
 
 
 def is_business_url(url: Column) -> Column:
@@ -143,17 +147,18 @@ def is_business_url(url: Column) -> Column:
 
 def campaign_url_reason(url: Column, site: Column) -> Column:
     """Why a project's URL is not its campaign page, NULL when it is."""
-    fits = any_of(
-        [
-            (site == s) & under_domain(hostname(F.trim(url)), d)
-            for s, d in vocab.CAMPAIGN_DOMAINS.items()
-        ]
-    )
-    return (
-        F.when(site.isNull() | ~site.isin(*vocab.CAMPAIGN_DOMAINS), F.lit("unsupported_site"))
-        .when(url.isNull() | (F.trim(url) == ""), F.lit("no_source_url"))
-        .when(business_url_reason(url).isNotNull(), F.lit("invalid_url"))
-        .when(~fits, F.lit("not_campaign_domain"))
+
+    def judge(v):
+        fits = any_of([(v["site"] == s) & under_domain(v["host"], d) for s, d in vocab.CAMPAIGN_DOMAINS.items()])
+        return (
+            F.when(v["site"].isNull() | ~v["site"].isin(*vocab.CAMPAIGN_DOMAINS), F.lit("unsupported_site"))
+            .when(v["url"].isNull() | (F.trim(v["url"]) == ""), F.lit("no_source_url"))
+            .when(v["bad"].isNotNull(), F.lit("invalid_url"))
+            .when(~fits, F.lit("not_campaign_domain"))
+        )
+
+    return let_all(
+        {"url": url, "site": site, "host": hostname(F.trim(url)), "bad": business_url_reason(url)}, judge
     )
 
 
@@ -167,15 +172,13 @@ def is_platform_url(url: Column) -> Column:
 
 def official_site_or_none(url: Column) -> Column:
     """The URL when it may stand as a maker's own site, else NULL."""
-    host = F.substring_index(netloc(url), ":", 1)
-    ok = (
-        url.rlike(r"^https?://")
-        & ~is_platform_url(url)
+    ok = let(
+        F.substring_index(netloc(url), ":", 1),
+        lambda host: ~under_any(strip_www(host), vocab.NON_OFFICIAL_PLATFORMS)
         & ~matches_host_rules(host, vocab.NON_OFFICIAL_HOSTS)
-        & ~matches_host_rules(host, vocab.REJECTED_OFFICIAL_HOSTS)
-        & is_business_url(url)
+        & ~matches_host_rules(host, vocab.REJECTED_OFFICIAL_HOSTS),
     )
-    return F.when(ok, url)
+    return F.when(url.rlike(r"^https?://") & ok & is_business_url(url), url)
 
 
 def maker_site(url: Column) -> Column:

@@ -35,8 +35,8 @@ def title_priority(title: Column) -> tuple[Column, Column]:
 
 def looks_like_name(text: Column) -> Column:
     """Two to four capitalised words, none of them interface or job wording."""
-    name = F.trim(F.lit(" .,-"), F.regexp_replace(text, r"\s+", " "))
-    words = F.transform(F.split(name, " "), lambda w: F.trim(F.lit(".,'-"), F.lower(w)))
+    name = F.trim(F.regexp_replace(text, r"\s+", " "), F.lit(" .,-"))
+    words = F.transform(F.split(name, " "), lambda w: F.trim(F.lower(w), F.lit(".,'-")))
     banned = urls.lit_array(vocab.NON_NAME_WORDS + vocab.TITLE_WORDS)
     ok = name.rlike(vocab.PERSON_NAME_PATTERN) & (F.length(name) <= 60) & ~name.rlike(r"\d")
     return F.coalesce(ok & ~F.arrays_overlap(words, banned), F.lit(False))
@@ -273,7 +273,7 @@ def labelled_fields(text: Column) -> dict[str, Column]:
         raw = F.trim(F.regexp_extract(text, "(?m)" + pattern, 1))
         # the first character belongs to the value even when a stop word starts there
         cut = F.concat(F.substring(raw, 1, 1), F.element_at(F.split(F.substring(raw, 2, 200), stops), 1))
-        value = F.trim(F.lit(".,;:·・"), F.trim(cut))
+        value = F.trim(F.trim(cut), F.lit(".,;:·・"))
         out[name] = F.when(F.length(value) >= 2, F.substring(value, 1, 80))
     phones = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(vocab.CAPTURE_PHONE), F.lit(1))))
     out["phone"] = F.get(phones, 0)
@@ -317,7 +317,7 @@ def capture_records(captures: DataFrame) -> DataFrame:
     both = F.concat(em.candidates(F.col("content")), em.candidates(F.col("plain")))
     chrome = F.lower(F.array_join(F.regexp_extract_all("content", F.lit(CHROME), F.lit(0)), "\n"))
     rows = rows.withColumns({"found": em.distinct_ignoring_case(both), "chrome": unescape_entities(chrome)})
-    rows = rows.select("*", F.posexplode("found").alias("position", "email"))
+    rows = rows.select("*", F.posexplode_outer("found").alias("position", "email")).filter(F.col("email").isNotNull())
     rows = rows.withColumn("reason", em.exclusion_reason(F.col("email"), site))
     text, addr = F.col("content"), F.col("email")
     in_chrome = F.contains(F.col("chrome"), F.lower(addr))

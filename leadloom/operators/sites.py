@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from leadloom import vocab
 from leadloom.functions import urls
+from leadloom.functions.binding import let, let_all
 from leadloom.functions.pandas_udfs import jsonld_facts, unescape_entities
 from leadloom.functions.text import any_of, contains_any, quote_regex, significant_terms, squash
 from leadloom.functions.urls import lit_array
@@ -24,18 +25,21 @@ def _strings() -> Column:
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute URL of a link on a page, dot segments removed."""
-    root = urls.root_url(base)
-    base_path = urls.path(base)
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    relative = F.when(folder == "", F.concat(F.lit("/"), href)).otherwise(F.concat(folder, href))
-    joined = (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(urls.scheme(base), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
-        .when(F.startswith(href, F.lit("?")), F.concat(root, base_path, href))
-        .otherwise(F.concat(root, relative))
-    )
-    return F.when(urls.path(joined).rlike(r"/\.{1,2}(/|$)"), _without_dots(joined)).otherwise(joined)
+
+    def join(v):
+        base, href, root, path = v["base"], v["href"], v["root"], v["path"]
+        folder = F.regexp_replace(path, r"[^/]*$", "")
+        return (
+            F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
+            .when(F.startswith(href, F.lit("//")), F.concat(urls.scheme(base), F.lit(":"), href))
+            .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+            .when(F.startswith(href, F.lit("?")), F.concat(root, path, href))
+            .when(folder == "", F.concat(root, F.lit("/"), href))
+            .otherwise(F.concat(root, folder, href))
+        )
+
+    joined = let_all({"base": base, "href": href, "root": urls.root_url(base), "path": urls.path(base)}, join)
+    return let(joined, lambda u: F.when(urls.path(u).rlike(r"/\.{1,2}(/|$)"), _without_dots(u)).otherwise(u))
 
 
 def _without_dots(url: Column) -> Column:
@@ -71,7 +75,8 @@ def page_links_of(html: Column, base: Column) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """One row per page and link: ``…, position, link``."""
     kept = [c for c in pages.columns if c != "html"]
-    return pages.select(*kept, F.posexplode(page_links_of(F.col("html"), F.col("url"))).alias("position", "link"))
+    rows = pages.select(*kept, F.posexplode_outer(page_links_of(F.col("html"), F.col("url"))).alias("position", "link"))
+    return rows.filter(F.col("link").isNotNull())
 
 
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']+)["'][^>]*?>(.*?)</a>"""
@@ -80,7 +85,7 @@ ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']+)["'][^>]*?>(.*?)</a>"""
 def page_anchors(pages: DataFrame) -> DataFrame:
     """One row per anchor with its lower-cased text: ``…, position, link, text``."""
     kept = [c for c in pages.columns if c != "html"]
-    rows = pages.select(*kept, F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("position", "anchor"))
+    rows = pages.select(*kept, F.posexplode_outer(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("position", "anchor"))
     href = F.trim(F.regexp_extract("anchor", ANCHOR, 1))
     label = F.regexp_replace(F.regexp_extract("anchor", ANCHOR, 2), r"<[^>]+>", "")
     rows = rows.withColumns({"href": href, "text": F.lower(squash(label))}).filter(_usable(F.col("href")))
@@ -260,7 +265,7 @@ def official_link_candidates(anchors: DataFrame, terms: str = "terms") -> DataFr
     link, text = F.col("link"), F.col("text")
     dom = urls.domain_of(link)
     token = F.substring_index(dom, ".", 1)
-    bare = F.trim(F.lit("/"), F.trim(F.regexp_replace(text, r"https?://|www\.", "")))
+    bare = F.trim(F.trim(F.regexp_replace(text, r"https?://|www\.", "")), F.lit("/"))
     score = (
         F.when(contains_any(text, vocab.OFFICIAL_ANCHOR_WORDS), 50).otherwise(0)
         + F.when((token != "") & F.exists(F.col(terms), lambda t: F.contains(token, t) | F.contains(t, token)), 40).otherwise(0)
@@ -577,7 +582,7 @@ def official_candidate_score(url: Column, terms: Column) -> Column:
         F.lit(0),
         lambda acc, t: acc + F.when(t == token, 50).when(F.contains(token, t) | F.contains(t, token), 25).otherwise(0),
     )
-    root = F.when(F.trim(F.lit("/"), urls.path(url)) == "", 10).otherwise(0)
+    root = F.when(F.trim(urls.path(url), F.lit("/")) == "", 10).otherwise(0)
     return F.when(token == "", 0).otherwise(points + root)
 
 
@@ -595,37 +600,59 @@ def search_result_score(
     url: Column, title: Column, snippet: Column, *, project_terms: Column, maker_terms: Column, official_domain: Column
 ) -> tuple[Column, Column]:
     """Score and reason codes; -1 for results that must be left out."""
-    low = F.lower(url)
-    platform = F.get(
+    first = F.get(
         F.array_compact(F.array(*[F.when(url.rlike("(?i)" + p), F.lit(n)) for n, p in vocab.SOCIAL_HOSTS.items()])), 0
     )
-    platform = F.when(~url.rlike("(?i)" + vocab.SOCIAL_SHARE_PATTERN), platform)
-    address = F.concat_ws(" ", urls.netloc(url), F.translate(F.lower(urls.path(url)), "/-_", "   "))
-    words = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))))
-    inside = lambda terms, where: F.exists(terms, lambda t: F.contains(where, t))
-    p_text, m_text = inside(project_terms, words), inside(maker_terms, words)
-    ours = F.coalesce((official_domain != "") & F.endswith(urls.netloc(url), official_domain), F.lit(False))
-    profile = social_profile(platform, url).isNotNull()
-    parts = [
-        ("url_title", inside(project_terms, address), 30),
-        ("url_maker", inside(maker_terms, address), 25),
-        ("text_both", p_text & m_text, 25),
-        ("text_one", p_text != m_text, 10),
-        ("official_domain", ours, 30),
-        ("instagram", (platform == "instagram") & profile, 35),
-        ("facebook", (platform == "facebook") & profile, 30),
-        ("linkedin", (platform == "linkedin") & profile, 35),
-    ]
-    parts = [(n, F.coalesce(cond, F.lit(False)), p) for n, cond, p in parts]
-    score = sum((F.when(cond, p).otherwise(0) for _, cond, p in parts), F.lit(0))
-    own_account = platform.isNotNull() & F.coalesce(is_platform_profile(platform, url), F.lit(False))
-    excluded = (
-        F.when(low.rlike(vocab.SEARCH_EXCLUDED_PATTERN), "excluded_url")
-        .when(urls.is_platform_url(url), "excluded_platform")
-        .when(own_account, "excluded_own_account")
-    )
-    reasons = F.array_join(F.array_compact(F.array(*[F.when(cond, F.lit(n)) for n, cond, _ in parts])), ",")
-    return F.when(excluded.isNotNull(), -1).otherwise(score), F.coalesce(excluded, reasons)
+    inside = lambda terms, where: F.coalesce(F.exists(terms, lambda t: F.contains(where, t)), F.lit(False))
+
+    def judge(v):
+        u, platform, address, words = v["url"], v["platform"], v["address"], v["words"]
+        p_text, m_text = inside(v["project"], words), inside(v["maker"], words)
+        ours = (v["official"] != "") & F.endswith(v["net"], v["official"])
+        profile = social_profile(platform, u).isNotNull()
+        parts = [
+            ("url_title", inside(v["project"], address), 30),
+            ("url_maker", inside(v["maker"], address), 25),
+            ("text_both", p_text & m_text, 25),
+            ("text_one", p_text != m_text, 10),
+            ("official_domain", ours, 30),
+            ("instagram", (platform == "instagram") & profile, 35),
+            ("facebook", (platform == "facebook") & profile, 30),
+            ("linkedin", (platform == "linkedin") & profile, 35),
+        ]
+        hits = F.array_compact(
+            F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(n).alias("code"), F.lit(p).alias("points"))) for n, cond, p in parts])
+        )
+        own_account = platform.isNotNull() & F.coalesce(is_platform_profile(platform, u), F.lit(False))
+        excluded = (
+            F.when(F.lower(u).rlike(vocab.SEARCH_EXCLUDED_PATTERN), "excluded_url")
+            .when(urls.is_platform_url(u), "excluded_platform")
+            .when(own_account, "excluded_own_account")
+        )
+        return let_all(
+            {"hits": hits, "excluded": excluded},
+            lambda r: F.struct(
+                F.when(r["excluded"].isNotNull(), -1)
+                .otherwise(F.aggregate(r["hits"], F.lit(0), lambda n, h: n + h["points"]))
+                .alias("score"),
+                F.coalesce(r["excluded"], F.array_join(F.transform(r["hits"], lambda h: h["code"]), ",")).alias("reason"),
+            ),
+        )
+
+    judged = let_all(
+        {
+            "url": url,
+            "net": urls.netloc(url),
+            "platform": F.when(~url.rlike("(?i)" + vocab.SOCIAL_SHARE_PATTERN), first),
+            "address": F.concat_ws(" ", urls.netloc(url), F.translate(F.lower(urls.path(url)), "/-_", "   ")),
+            "words": F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")))),
+            "project": project_terms,
+            "maker": maker_terms,
+            "official": F.coalesce(official_domain, F.lit("")),
+        },
+        judge,
+    )
+    return judged["score"], judged["reason"]
 
 
 def maker_core(name: Column) -> Column:
