@@ -585,7 +585,7 @@ def win07(spark, sf):
     "win08_round_robin",
     with_tables("projects", then="""
     WITH g AS (SELECT id, coalesce(latest_recommendation, 'None') || '|' || coalesce(category, 'None') AS group_key, sha256(CAST(id AS VARCHAR)) AS h FROM projects)
-    SELECT id, group_key, CAST(row_number() OVER (PARTITION BY group_key ORDER BY h) AS INT) AS turn FROM g"""),
+    SELECT id, group_key, row_number() OVER (PARTITION BY group_key ORDER BY h) AS turn FROM g"""),
 )
 def win08(spark, sf):
     rows = inputs.projects(spark, sf).withColumn("h", F.sha2(F.col("id").cast("string"), 256))

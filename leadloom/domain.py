@@ -261,7 +261,7 @@ SELECT project_id, page_id, position, variant,
   'https://www.' || brand || '.com' || CASE position WHEN 0 THEN '/' WHEN 1 THEN '/pages/contact' WHEN 2 THEN '/about-us' WHEN 3 THEN '/privacy-policy' WHEN 4 THEN '/press/kit' WHEN 5 THEN '/wholesale' ELSE '/products/item' END AS url,
   brand || '.com' AS site_host,
   html || CASE variant {' '.join(f"WHEN {i} THEN {b}" for i, b in enumerate(BLOCKS))} ELSE '' END AS html
-FROM (SELECT {_SITE_KEY} AS project_id, page_id, CAST(page_id % 7 AS INT) AS position, CAST((page_id * 5 + {_SITE_KEY}) % 12 AS INT) AS variant,
+FROM (SELECT {_SITE_KEY} AS project_id, page_id, CAST(page_id % 7 AS INT) AS position, CAST((page_id * 5 + 2 * {_SITE_KEY}) % 12 AS INT) AS variant,
   'brand' || CAST(1 + {_SITE_KEY} % 25 AS VARCHAR(20)) AS brand, html FROM {{pages}}) t"""
 DOMAIN["crawl_projects"] = """
 SELECT project_id AS id, 'Brand Works ' || CAST(project_id AS VARCHAR(20)) AS title, CASE WHEN project_id % 3 = 0 THEN 'Brand Works' ELSE site_host END AS maker_name,
@@ -307,6 +307,33 @@ SELECT conv_id, turn, text || ' ' || {_pick('conv_id * 3 + turn', ('We are inter
 FROM {{conversations}} WHERE role = 'user'"""
 
 
+# --- labelled evaluation cases: predictions against expectations, one per project ---------
+DOMAIN["label_cases"] = f"""
+SELECT id AS project_id, source_site,
+  {_pick('id', ('verified', 'verified', 'partially_verified', 'blocked', 'unresolved'))} AS verification_status,
+  'info@brand' || CAST(id % 9 AS VARCHAR(20)) || '.com' AS expected_email, CASE WHEN id % 5 = 0 THEN 'hi@brand' || CAST(id % 9 AS VARCHAR(20)) || '.com' ELSE NULL END AS plausible_email,
+  CASE WHEN id % 6 = 0 THEN 'hi@ideafound.com' ELSE NULL END AS fallback_email,
+  CASE WHEN id % 4 = 0 THEN 'x@other.net' WHEN id % 4 = 1 THEN 'INFO@brand' || CAST(id % 9 AS VARCHAR(20)) || '.com' WHEN id % 4 = 2 THEN 'help@kickstarter.com' ELSE NULL END AS saved_email,
+  CASE WHEN id % 5 = 0 THEN 'hi@brand' || CAST(id % 9 AS VARCHAR(20)) || '.com' WHEN id % 5 = 1 THEN 'a@ideafound.com' ELSE NULL END AS saved_email2,
+  CASE WHEN id % 7 = 3 THEN NULL ELSE 'https://www.brand' || CAST(id % 9 AS VARCHAR(20)) || '.com/' END AS expected_site,
+  CASE WHEN id % 3 = 0 THEN 'https://shop.brand' || CAST(id % 9 AS VARCHAR(20)) || '.com/x' WHEN id % 3 = 1 THEN 'https://reseller.net' ELSE NULL END AS saved_site,
+  CASE WHEN id % 2 = 0 THEN 'Jane Miller' ELSE 'Tom Hardy' END AS expected_person, CASE WHEN id % 4 < 2 THEN 'CEO' ELSE 'Sales Director' END AS expected_role,
+  CASE WHEN id % 3 = 0 THEN 'jane  miller' WHEN id % 3 = 1 THEN 'Tom Hardy' ELSE NULL END AS saved_person, CASE WHEN id % 5 = 0 THEN '' WHEN id % 5 < 3 THEN 'President' ELSE 'sales' END AS saved_role,
+  CASE id % 4 WHEN 0 THEN 'blocked' WHEN 1 THEN 'review' ELSE 'clear' END AS expected_pre_research, CASE id % 3 WHEN 0 THEN 'blocked' ELSE 'review' END AS expected_pre_outreach,
+  CASE WHEN id % 5 = 0 THEN NULL ELSE id % 2 = 0 END AS should_research, CASE WHEN id % 7 = 0 THEN NULL ELSE id % 3 = 1 END AS should_allow_outreach, id % 4 <> 3 AS evidence_sufficient,
+  {_pick('id', ('confirmed', 'none', 'x', 'ambiguous', 'wrong', 'excluded'), null_at=(2,))} AS gt_status, {_pick('id', ('legal_company_page', 'x', 'magic'), null_at=(1,))} AS evidence_type,
+  CASE WHEN id % 8 = 1 THEN 'mail me at a@b.com' WHEN id % 8 = 2 THEN 'token: abc' WHEN id % 8 = 3 THEN 'call +81 90-1234-5678' WHEN id % 8 = 4 THEN '' ELSE 'checked page' END AS reviewer_note,
+  {_pick('id', ('high', 'x', 'sure'), null_at=(1,))} AS confidence, CASE WHEN id % 10 = 0 THEN 'http://192.168.1.1/' WHEN id % 10 = 1 THEN 'a@b.com' WHEN id % 10 = 2 THEN 'brand.co.jp/x' WHEN id % 10 = 3 THEN NULL ELSE 'https://www.brand.com' END AS gt_official_url,
+  CASE WHEN id % 4 = 0 THEN 'brand.com' ELSE NULL END AS gt_registered_domain
+FROM {{projects}}"""
+DOMAIN["contact_layers"] = f"""
+SELECT user_id AS project_id, CAST(event_id % 6 AS INT) AS layer_rank, {_pick('event_id', ('email', 'site', 'form', 'social', 'person', 'evidence', 'evidence'))} AS kind,
+  CASE WHEN event_id % 13 = 0 THEN ' ' WHEN event_id % 2 = 0 THEN 'Value' || CAST(event_id % 60 AS VARCHAR(20)) ELSE 'value' || CAST(event_id % 60 AS VARCHAR(20)) END AS value
+FROM {{events}}"""
+DOMAIN["key_edges"] = """
+SELECT CAST(l_orderkey AS BIGINT) AS id, 'p:' || CAST(l_partkey AS VARCHAR(20)) AS k FROM {lineitem}"""
+
+
 def _references(text: str) -> list[str]:
     return list(dict.fromkeys(f for _, f, _, _ in string.Formatter().parse(text) if f))
 

@@ -135,7 +135,7 @@ def crawl_outcome_codes(f: dict[str, Column]) -> Column:
         ("no_results", f["no_results"]),
         ("official_site_not_registered", f["site_not_registered"]),
         ("crawl_blocked", f["blocked"]),
-        ("email_not_public", no_email & f["crawled"]),
+        ("email_not_public", no_email),
         ("mx_exists_no_email", no_email & f["has_mx"]),
         ("form_only", no_email & (f["n_forms"] > 0)),
         ("social_only", no_email & (f["n_forms"] == 0) & (f["n_socials"] > 0)),

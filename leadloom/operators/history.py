@@ -102,6 +102,7 @@ def round_robin(rows: DataFrame, group, within) -> DataFrame:
     ``turn`` is the round and ``group_key`` the group; ordering by both gives the
     interleaved sequence.
     """
+    from leadloom.operators.entities import rank_within
+
     key = F.concat_ws("|", *[F.coalesce(F.col(g).cast("string"), F.lit("None")) for g in group])
-    w = Window.partitionBy("group_key").orderBy(*within)
-    return rows.withColumn("group_key", key).withColumn("turn", F.row_number().over(w))
+    return rank_within(rows.withColumn("group_key", key), ["group_key"], within, "turn")

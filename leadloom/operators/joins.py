@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from leadloom.functions import numbers, urls
 from leadloom.functions.text import title_keywords
-from leadloom.operators.entities import first_independent
+from leadloom.operators.entities import first_independent, rank_within
 from leadloom.operators.projections import target_projects
 
 REACHABLE = ("primary_email", "primary_contact_form_url", "instagram_url", "linkedin_url", "facebook_url")
@@ -259,7 +259,7 @@ def match_makers(projects: DataFrame, makers: DataFrame) -> DataFrame:
         ).alias("key"),
     )
     founders = first_independent(keys)
-    numbered = number_rows(founders.join(new, "id"), "id", "n")
+    numbered = rank_within(founders.join(new, "id"), [], ["id"], "n")
     top = makers.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     numbered = numbered.join(F.broadcast(top), F.lit(True)).withColumn("new_maker", F.col("top") + F.col("n"))
     new_site = numbered.filter(F.col("site").isNotNull()).groupBy("site").agg(F.min("new_maker").alias("s"))
@@ -272,24 +272,6 @@ def match_makers(projects: DataFrame, makers: DataFrame) -> DataFrame:
     return known.unionByName(created)
 
 
-def number_rows(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Dense 1..n in the given order without a single-partition window.
-
-    Rows are range-partitioned, numbered inside each partition, and shifted by the
-    row counts of the partitions before. The counts are one row per partition.
-    """
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    inner = parts.withColumn(name, F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    sizes = inner.groupBy("part").agg(F.max(name).alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
-    return (
-        inner.join(F.broadcast(shifts), "part")
-        .withColumn(name, F.col(name) + F.col("shift"))
-        .drop("part", "shift")
-    )
-
-
 # --- captures ------------------------------------------------------------------------
 
 def canonical_url(url: Column) -> Column:
