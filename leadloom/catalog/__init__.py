@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from leadloom.catalog import boards, contacts, lists, pages, quality, streams  # noqa: F401
+    from leadloom.catalog import boards, feeds, lists, pages, quality, streams  # noqa: F401
