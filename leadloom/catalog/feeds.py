@@ -380,8 +380,8 @@ def txt09(spark, sf):
 
 @query(
     "txt10_snippets",
-    """WITH b AS (SELECT doc_id, text || ' contact us at info@acmeworks.com today' AS t FROM documents), p AS (SELECT *, position('info@acmeworks.com' IN lower(t)) AS at FROM b)
-    SELECT doc_id, substr(trim(regexp_replace(substr(t, greatest(at - 40, 1), at + 18 + 40 - greatest(at - 40, 1)), '\\s+', ' ', 'g')), 1, 120) AS snippet, 'plain_text' AS method, 'contact' AS context FROM p""",
+    """WITH b AS (SELECT doc_id, text || ' contact us at info@acmeworks.com today' AS t FROM documents), p AS (SELECT *, position('info@acmeworks.com' IN lower(t)) AS pos FROM b)
+    SELECT doc_id, substr(trim(regexp_replace(substr(t, greatest(pos - 40, 1), pos + 18 + 40 - greatest(pos - 40, 1)), '\\s+', ' ', 'g')), 1, 120) AS snippet, 'plain_text' AS method, 'contact' AS context FROM p""",
 )
 def txt10(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(" contact us at info@acmeworks.com today")).alias("t"))
@@ -441,7 +441,8 @@ def arr02(spark, sf):
 
     n = F.col("page_id") % 3
     tail = F.when(n == 0, "{&quot;websites&quot;:[{&quot;url&quot;:&quot;https://js.stripe.com/v3&quot;},{&quot;url&quot;:&quot;https://brand.io/shop&quot;}]}").when(n == 1, '{"websites": []}').otherwise("")
-    rows = table(spark, sf, "pages").select("page_id", sites.embedded_websites(unescape_entities(F.concat("html", tail))).alias("w"))
+    decoded = table(spark, sf, "pages").select("page_id", unescape_entities(F.concat("html", tail)).alias("html"))
+    rows = decoded.select("page_id", sites.embedded_websites(F.col("html")).alias("w"))
     return rows.select("page_id", F.col("w").isNotNull().alias("present"), F.when(F.col("w").isNotNull(), F.size("w")).alias("n"), sites.official_from_websites(F.col("w")).alias("official"))
 
 

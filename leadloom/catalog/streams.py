@@ -1 +1,41 @@
-"""Registered queries."""
+"""Streaming operators on the static tables: the same processors, one batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from leadloom.catalog import query
+from leadloom.domain import table, with_tables
+from leadloom.streaming import state
+
+
+@query("strm01_status_changes")
+def strm01(spark, sf):
+    events = table(spark, sf, "status_events").select("id", "project_id", "to_status", "created_at")
+    return state.status_history(events).select("project_id", "event_id", "from_status", "to_status", "accepted")
+
+
+@query(
+    "strm02_live_health",
+    with_tables("scrape_runs", then="""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY started_at DESC, id DESC) AS rn, coalesce(error_kind, 'unknown') AS kind FROM scrape_runs WHERE status <> 'running' QUALIFY rn <= 20)
+    SELECT site, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status <> 'success' AND kind = 'network') AS network_errors,
+      count(*) FILTER (WHERE status <> 'success' AND kind = 'structure') AS structure_errors, arg_min(id, rn) AS last_run_id FROM r GROUP BY 1"""),
+)
+def strm02(spark, sf):
+    rows = state.live_health(table(spark, sf, "scrape_runs"), 20)
+    return rows.select("site", "total", "success", "network_errors", "structure_errors", "last_run_id")
+
+
+@query(
+    "strm04_unique_captures",
+    "SELECT DISTINCT page_id % 5 AS project_id, sha256(trim(regexp_replace(html, '\\s+', ' ', 'g'))) AS content_hash FROM pages",
+)
+def strm04(spark, sf):
+    from leadloom.sources.store import content_hash
+
+    pages = table(spark, sf, "pages")
+    captures = pages.select((F.col("page_id") % 5).alias("project_id"), content_hash(F.col("html")).alias("content_hash"), F.current_timestamp().alias("captured_at"))
+    return captures.dropDuplicates(["project_id", "content_hash"]).drop("captured_at")
+
+

@@ -1,0 +1 @@
+"""Structured Streaming over the append-only tables."""
