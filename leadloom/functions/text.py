@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadloom.functions.binding import let
+
 
 def blank(value: Column) -> Column:
     return value.isNull() | (F.trim(value) == "")
@@ -104,6 +106,14 @@ def token_similarity(left: Column, right: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(pct.cast("int"))
 
 
+def unique_ignoring_case(values: Column) -> Column:
+    """First spelling of every value, in order. Bind ``values`` when it is costly."""
+    return let(
+        F.transform(values, F.lower),
+        lambda folded: F.filter(values, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1),
+    )
+
+
 # --- titles, brands, scripts, replies -----------------------------------------------
 
 _TITLE_CUT = r"\s[\-–—|｜:：]\s|[:：|｜–—]"
@@ -124,8 +134,7 @@ def brand_phrases(text: Column, stop_words, limit: int = 4) -> Column:
         found,
         lambda w: (F.length(w) >= 3) & (F.contains(w, F.lit(" ")) | ~F.lower(w).isin(*stop_words)),
     )
-    folded = F.transform(kept, F.lower)
-    return F.slice(F.filter(kept, lambda w, i: F.array_position(folded, F.lower(w)) == i + 1), 1, limit)
+    return F.slice(let(kept, unique_ignoring_case), 1, limit)
 
 
 def name_script(name: Column) -> Column:

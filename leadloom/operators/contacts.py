@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from leadloom import vocab
 from leadloom.functions import urls
 from leadloom.functions.pandas_udfs import unescape_entities
-from leadloom.functions.text import any_of, contains_any, map_lookup, significant_terms
+from leadloom.functions.binding import let, let_all
+from leadloom.functions.text import any_of, contains_any, map_lookup, significant_terms, unique_ignoring_case
 from leadloom.operators import emails as em
 from leadloom.operators import sites
 from leadloom.operators.emails import deny_class
@@ -64,12 +65,13 @@ def owned_person_source(url: Column, official_domain: Column) -> Column:
 def people_on_pages(texts: DataFrame, per_page: int = 8) -> DataFrame:
     """``(project_id, url, text, official_domain)`` to people with title, department and
     priority; the first ``per_page`` names of a page."""
-    found = F.regexp_extract_all("text", F.lit(vocab.PERSON_PATTERN), F.lit(0))
-    names = F.transform(found, lambda m: F.lower(F.regexp_extract(m, vocab.PERSON_PATTERN, 1)))
-    first = F.slice(
-        F.filter(found, lambda m, i: F.array_position(names, F.lower(F.regexp_extract(m, vocab.PERSON_PATTERN, 1))) == i + 1),
-        1,
-        per_page,
+    name_of = lambda m: F.lower(F.regexp_extract(m, vocab.PERSON_PATTERN, 1))
+    first = let(
+        F.regexp_extract_all("text", F.lit(vocab.PERSON_PATTERN), F.lit(0)),
+        lambda found: let(
+            F.transform(found, name_of),
+            lambda names: F.slice(F.filter(found, lambda m, i: F.array_position(names, name_of(m)) == i + 1), 1, per_page),
+        ),
     )
     rows = texts.select("project_id", "url", "official_domain", F.posexplode(first).alias("position", "hit"))
     rows = rows.withColumns(
@@ -282,28 +284,33 @@ def labelled_fields(text: Column) -> dict[str, Column]:
 
 
 def found_method(text: Column, email: Column) -> Column:
-    low, addr = F.lower(text), F.lower(email)
-    return (
-        F.when(F.contains(low, F.concat(F.lit("mailto:"), addr)), "mailto")
-        .when(F.contains(low, addr), "plain_text")
-        .otherwise("deobfuscated")
+    return let_all(
+        {"low": F.lower(text), "addr": F.lower(email)},
+        lambda v: F.when(F.contains(v["low"], F.concat(F.lit("mailto:"), v["addr"])), "mailto")
+        .when(F.contains(v["low"], v["addr"]), "plain_text")
+        .otherwise("deobfuscated"),
     )
 
 
+def around_hit(text: Column, email: Column, around: int, body) -> Column:
+    """``body(window)`` of the text around the first hit, NULL without one."""
+
+    def cut(at):
+        start = F.greatest(at - around, F.lit(1))
+        return F.when(at > 0, F.substring(text, start, at + F.length(email) + around - start))
+
+    return let(F.position(F.lower(email), F.lower(text)), lambda at: let(cut(at), body))
+
+
 def snippet(text: Column, email: Column, around: int = 40, cap: int = 120) -> Column:
-    at = F.position(F.lower(email), F.lower(text))
-    start = F.greatest(at - around, F.lit(1))
-    piece = F.substring(text, start, at + F.length(email) + around - start)
-    return F.when(at > 0, F.substring(F.trim(F.regexp_replace(piece, r"\s+", " ")), 1, cap))
+    return around_hit(text, email, around, lambda w: F.substring(F.trim(F.regexp_replace(w, r"\s+", " ")), 1, cap))
 
 
 def contact_context(text: Column, email: Column, around: int = 60) -> Column:
     """First contact word near the address."""
-    at = F.position(F.lower(email), F.lower(text))
-    start = F.greatest(at - around, F.lit(1))
-    window = F.substring(text, start, at + F.length(email) + around - start)
-    first = F.get(F.filter(urls.lit_array(vocab.CAPTURE_CONTEXT), lambda w: F.contains(window, w)), 0)
-    return F.when(at > 0, first)
+    return around_hit(
+        text, email, around, lambda w: F.get(F.filter(urls.lit_array(vocab.CAPTURE_CONTEXT), lambda word: F.contains(w, word)), 0)
+    )
 
 
 CHROME = r"(?is)<(footer|nav|header)[^>]*>.*?</\1>"
@@ -316,7 +323,7 @@ def capture_records(captures: DataFrame) -> DataFrame:
     rows = captures.withColumn("plain", unescape_entities(F.col("content")))
     both = F.concat(em.candidates(F.col("content")), em.candidates(F.col("plain")))
     chrome = F.lower(F.array_join(F.regexp_extract_all("content", F.lit(CHROME), F.lit(0)), "\n"))
-    rows = rows.withColumns({"found": em.distinct_ignoring_case(both), "chrome": unescape_entities(chrome)})
+    rows = rows.withColumns({"found": let(both, unique_ignoring_case), "chrome": unescape_entities(chrome)})
     rows = rows.select("*", F.posexplode_outer("found").alias("position", "email")).filter(F.col("email").isNotNull())
     rows = rows.withColumn("reason", em.exclusion_reason(F.col("email"), site))
     text, addr = F.col("content"), F.col("email")

@@ -10,7 +10,7 @@ from leadloom import vocab
 from leadloom.functions import urls
 from leadloom.functions.binding import let, let_all
 from leadloom.functions.pandas_udfs import jsonld_facts, unescape_entities
-from leadloom.functions.text import any_of, contains_any, quote_regex, significant_terms, squash
+from leadloom.functions.text import any_of, contains_any, quote_regex, significant_terms, squash, unique_ignoring_case
 from leadloom.functions.urls import lit_array
 from leadloom.operators.emails import deny_class, name_matches_domain
 
@@ -245,8 +245,7 @@ def embedded_websites(html: Column) -> Column:
     arrays = F.regexp_extract_all(html, F.lit(r'(?s)"websites"\s*:\s*\[(.*?)\]'), F.lit(1))
     found = F.flatten(F.transform(arrays, lambda a: F.regexp_extract_all(a, F.lit(r"""https?://[^\s"'\\<>]+"""), F.lit(0))))
     cleaned = F.transform(found, lambda u: F.trim(F.regexp_replace(u, r'[",\\]+$', "")))
-    folded = F.transform(cleaned, F.lower)
-    first = F.filter(cleaned, lambda u, i: (u != "") & (F.array_position(folded, F.lower(u)) == i + 1))
+    first = let(F.filter(cleaned, lambda u: u != ""), unique_ignoring_case)
     return F.when(F.size(arrays) > 0, first)
 
 
