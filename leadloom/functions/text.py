@@ -205,7 +205,7 @@ def strip_markup(html: Column) -> Column:
 def tidy_lines(text: Column) -> Column:
     """Blanks collapsed per line, empty lines dropped."""
     one = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t ​]+", " ")
-    lines = F.filter(F.transform(F.split(one, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(one, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     return F.nullif(F.array_join(lines, "\n"), F.lit(""))
 
 

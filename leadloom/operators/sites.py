@@ -64,7 +64,7 @@ def _usable(href: Column) -> Column:
 def page_links_of(html: Column, base: Column) -> Column:
     """Distinct absolute http(s) links of a page in order, without fragments."""
     hrefs = F.transform(
-        F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), F.lit(1)), F.trim
+        F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), F.lit(1)), lambda h: F.trim(h)
     )
     absolute = F.transform(
         F.filter(hrefs, _usable), lambda h: F.substring_index(resolve_url(base, h), "#", 1)
