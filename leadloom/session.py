@@ -27,6 +27,8 @@ def local_session(cores: str | int = "*", app: str = "leadloom", **extra: str) -
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", os.environ.get("LEADLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        # small test tables still get one task per core after a shuffle
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
