@@ -120,4 +120,4 @@ def _facts(blocks) -> dict:
 def jsonld_facts(blocks: pd.Series) -> pd.DataFrame:
     """Facts of all JSON-LD blocks of a page, at any depth; broken blocks are ignored."""
     rows = [_facts(b) for b in blocks]
-    return pd.DataFrame({c: [r[c] for r in rows] for c in JSONLD_SCHEMA.names})
+    return pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in JSONLD_SCHEMA.names})
