@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, fingerprint, langid, quality, rollup, warc
+from leadloom.llm import bpe, fingerprint, langid, lines, quality, rollup, warc
 from leadloom.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,6 +84,14 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", (quality.fold() == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines and dropped lines of every document, and the digest of what is left."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))
+    rows = lines.without_recurring_lines(docs, counted_as="n_dropped")
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf, "documents"))
 
@@ -96,6 +104,6 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe, op3_warc, op5_token_counts, op6_quality, op8_fingerprints, op10_language)
+    f.__name__: f for f in (op2_bpe, op3_warc, op5_token_counts, op6_quality, op7_line_dedup, op8_fingerprints, op10_language)
 }
-ORACLE: dict[str, str] = {"op3_warc": OP3, "op5_token_counts": OP5, "op8_fingerprints": fingerprint.ORACLE}
+ORACLE: dict[str, str] = {"op3_warc": OP3, "op5_token_counts": OP5, "op7_line_dedup": lines.ORACLE, "op8_fingerprints": fingerprint.ORACLE}
