@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, fingerprint, langid, lines, quality, rollup, warc
+from leadloom.llm import bpe, decontaminate, fingerprint, langid, lines, quality, rollup, warc
 from leadloom.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +42,11 @@ FROM m
 """
 
 
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and its distance."""
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def token_changes(docs: DataFrame, version: str) -> DataFrame:
     """Inserts of all documents under a tokenizer version: white-space words, or UTF-8 bytes."""
     text = F.coalesce("text", F.lit(""))
@@ -104,6 +109,6 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe, op3_warc, op5_token_counts, op6_quality, op7_line_dedup, op8_fingerprints, op10_language)
+    f.__name__: f for f in (op2_bpe, op3_warc, op4_decontaminate, op5_token_counts, op6_quality, op7_line_dedup, op8_fingerprints, op10_language)
 }
 ORACLE: dict[str, str] = {"op3_warc": OP3, "op5_token_counts": OP5, "op7_line_dedup": lines.ORACLE, "op8_fingerprints": fingerprint.ORACLE}
