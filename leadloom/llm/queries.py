@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, decontaminate, fingerprint, langid, lines, quality, rollup, warc
+from leadloom.llm import bpe, decontaminate, fingerprint, langid, lines, ngram_join, quality, rollup, warc
 from leadloom.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -101,6 +101,10 @@ def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.linked_groups(table(spark, sf, "documents"))
+
+
 def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     held = langid.fold("doc_id", 4) == 2
@@ -109,6 +113,6 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe, op3_warc, op4_decontaminate, op5_token_counts, op6_quality, op7_line_dedup, op8_fingerprints, op10_language)
+    f.__name__: f for f in (op2_bpe, op3_warc, op4_decontaminate, op5_token_counts, op6_quality, op7_line_dedup, op8_fingerprints, op9_ngram_join, op10_language)
 }
 ORACLE: dict[str, str] = {"op3_warc": OP3, "op5_token_counts": OP5, "op7_line_dedup": lines.ORACLE, "op8_fingerprints": fingerprint.ORACLE}
