@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, decontaminate, fingerprint, langid, lines, ngram_join, quality, rollup, warc
+from leadloom.llm import bpe, decontaminate, fingerprint, langid, lines, ngram_join, quality, rollup, suffix_dedup, warc
 from leadloom.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = suffix_dedup.without_repeats(table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids and round trip of every document."""
     tables = bpe.tokenizer(spark, TOKENIZER)
@@ -113,6 +118,6 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe, op3_warc, op4_decontaminate, op5_token_counts, op6_quality, op7_line_dedup, op8_fingerprints, op9_ngram_join, op10_language)
+    f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_warc, op4_decontaminate, op5_token_counts, op6_quality, op7_line_dedup, op8_fingerprints, op9_ngram_join, op10_language)
 }
 ORACLE: dict[str, str] = {"op3_warc": OP3, "op5_token_counts": OP5, "op7_line_dedup": lines.ORACLE, "op8_fingerprints": fingerprint.ORACLE}
