@@ -76,7 +76,8 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counted_a
     kept = F.filter(F.split(docs["text"], "\n"), lambda x: ~F.array_contains(gone["_gone"], digest(x)))
     text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     n_gone = F.when(gone["_gone"].isNull(), F.lit(0)).otherwise(F.size(F.split(docs["text"], "\n")) - F.size(kept)).cast("long")
-    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], *[n_gone.alias(counted_as)] * bool(counted_as))
+    counted = [n_gone.alias(counted_as)] if counted_as else []
+    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], *counted)
 
 
 ORACLE = rf"""

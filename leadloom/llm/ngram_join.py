@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from leadloom.llm.common import RollingHash, mixed, pieces, string_bytes, written
 from leadloom.llm.components import components
@@ -102,7 +103,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, ids), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int32()), pa.array(range(SLICES), pa.int32()), pa.array(blobs)], names=["doc_id", "set", "n", "slice", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    ids = to_arrow_type(docs.schema["doc_id"].dataType)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, set long, n int, slice int, counts binary")
 
