@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 # Fixed value: the split of words, numbers, signs and white space that the byte-level vocabulary was made with.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CACHED = 1 << 19
-NEVER = (1 << 60, -1)
+CACHED = 1 << 20
+# A merge is one number: its rank above the id it makes.
+IDS, NEVER = (1 << 24) - 1, 1 << 62
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -57,7 +59,7 @@ class Codec:
         self.single = [ids.get(bytes([b]), -1) for b in range(256)]
         self.ranks = {}
         for rank, (a, b) in enumerate(tables["merges"]):
-            self.ranks.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.ranks.setdefault((ids[a], ids[b]), rank << 24 | ids[a + b])
         self.special = tables["special"]
         self.bytes_of = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
         joined = np.zeros(1 << 16, bool)
@@ -69,7 +71,7 @@ class Codec:
         self.joined = joined
         self.split = regex.compile(SPLIT)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def fragments(self, word: bytes) -> list[bytes]:
         """``word`` cut at every pair of bytes that no vocabulary entry holds."""
@@ -89,59 +91,62 @@ class Codec:
         parts = [self.single[b] for b in fragment]
         if len(parts) > 48:
             return self._merge_long(parts)
-        get, never = self.ranks.get, NEVER
-        hits = [get(pair, never) for pair in zip(parts, parts[1:])]
-        while hits and (best := min(hits)) is not never:
+        get = self.ranks.get
+        hits = [get(pair, NEVER) for pair in zip(parts, parts[1:])]
+        while hits and (best := min(hits)) != NEVER:
             i = hits.index(best)
-            parts[i] = best[1]
+            parts[i] = best & IDS
             del parts[i + 1], hits[i]
             if i:
-                hits[i - 1] = get((parts[i - 1], parts[i]), never)
+                hits[i - 1] = get((parts[i - 1], parts[i]), NEVER)
             if i < len(hits):
-                hits[i] = get((parts[i], parts[i + 1]), never)
+                hits[i] = get((parts[i], parts[i + 1]), NEVER)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
         n = len(parts)
         left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        heap = [(*hit, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (hit := self.ranks.get((a, b)))]
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        heap = [(hit, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (hit := self.ranks.get((a, b)))]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            hit, i, a, b = heapq.heappop(heap)
             j = right[i]
             if not alive[i] or parts[i] != a or j >= n or parts[j] != b:
                 continue
-            parts[i], alive[j] = new, False
+            parts[i], alive[j] = hit & IDS, False
             right[i] = right[j]
             if right[i] < n:
                 left[right[i]] = i
             for x, y in ((left[i], i), (i, right[i])):
                 if x >= 0 and y < n and (hit := self.ranks.get((parts[x], parts[y]))):
-                    heapq.heappush(heap, (hit[0], x, hit[1], parts[x], parts[y]))
+                    heapq.heappush(heap, (hit, x, parts[x], parts[y]))
         return [p for p, kept in zip(parts, alive) if kept]
 
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(map(self.merge, self.fragments(word.encode()))))
+    def word(self, word: str) -> bytes:
+        ids = array("i", chain.from_iterable(map(self.merge, self.fragments(word.encode())))).tobytes()
         if len(word) <= 64:
             if len(self.cache) >= CACHED:
                 self.cache.clear()
             self.cache[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """The ids, four bytes each in this machine's order."""
+        out: list[bytes] = []
         for part in self.marks.split(text) if self.marks and any(s in text for s in self.special) else (text,):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(array("i", [self.special[part]]).tobytes())
                 continue
             words = self.split.findall(part)
             known = list(map(self.cache.get, words))
             if None in known:
                 cache, own = self.cache, self.word
                 known = [cache.get(w) or own(w) if k is None else k for w, k in zip(words, known)]
-            out.extend(chain.from_iterable(known))
-        return out
+            out += known
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -169,8 +174,10 @@ def encode(docs: DataFrame, tables: Broadcast, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [own.encode(t) if t else [] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+                ids = [own.packed(t) if t else b"" for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_col, "ids"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -182,8 +189,13 @@ def decode(encoded: DataFrame, tables: Broadcast, id_col: str = "doc_id") -> Dat
     def run(batches):
         own = codec(tables)
         for batch in batches:
-            texts = [own.decode(x) if x else "" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column(1)
+                ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+                ids = lists.flatten().to_numpy().tolist()
+                texts = [own.decode(ids[a:b]) for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind}, ids array<int>, text string")
@@ -195,7 +207,7 @@ def digests(decoded: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
-            values, at = np.asarray(lists.values, dtype="<u4"), lists.offsets.to_numpy()
+            values, at = np.asarray(lists.flatten(), dtype="<u4"), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()])
             ids = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(ids), batch.column(2)],
