@@ -643,6 +643,6 @@ def txt11(spark, sf):
 
 @query("txt01_page_text")
 def txt01(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html"), 1000).alias("text"))
+    return table(spark, sf, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 

@@ -62,26 +62,22 @@ def owned_person_source(url: Column, official_domain: Column) -> Column:
     return (F.coalesce(url, F.lit("")) != "") & ~F.coalesce(third, F.lit(False)) & ((official == "") | same)
 
 
-def people_on_pages(texts: DataFrame, per_page: int = 8) -> DataFrame:
+def people_on_pages(texts: DataFrame) -> DataFrame:
     """``(project_id, url, text, official_domain)`` to people with title, department and
-    priority; the first ``per_page`` names of a page."""
-    name_of = lambda m: F.lower(F.regexp_extract(m, vocab.PERSON_PATTERN, 1))
-    first = let(
-        F.regexp_extract_all("text", F.lit(vocab.PERSON_PATTERN), F.lit(0)),
-        lambda found: let(
-            F.transform(found, name_of),
-            lambda names: F.slice(F.filter(found, lambda m, i: F.array_position(names, name_of(m)) == i + 1), 1, per_page),
-        ),
-    )
-    rows = texts.select("project_id", "url", "official_domain", F.posexplode(first).alias("position", "hit"))
+    priority: every name of a page, where it stands first."""
+    found = F.regexp_extract_all("text", F.lit(vocab.PERSON_PATTERN), F.lit(0))
+    rows = texts.select("project_id", "url", "official_domain", F.posexplode(found).alias("position", "hit"))
     rows = rows.withColumns(
         {
             "name": F.trim(F.regexp_extract("hit", vocab.PERSON_PATTERN, 1)),
             "title": F.trim(F.regexp_extract("hit", vocab.PERSON_PATTERN, 2)),
         }
-    )
-    dept, prio = title_priority(F.col("title"))
+    ).drop("hit")
     rows = rows.filter(looks_like_name(F.col("name")) & owned_person_source(F.col("url"), F.col("official_domain")))
+    first = F.min(F.struct("position", "name", "title")).alias("first")
+    rows = rows.groupBy("project_id", "url", "official_domain", F.lower("name").alias("_key")).agg(first)
+    rows = rows.select("project_id", "url", "official_domain", "first.*")
+    dept, prio = title_priority(F.col("title"))
     known = dept.isNotNull() & (dept != "Other")
     return rows.withColumns(
         {
@@ -89,7 +85,7 @@ def people_on_pages(texts: DataFrame, per_page: int = 8) -> DataFrame:
             "priority": prio,
             "confidence": person_confidence(F.lit(True), F.lit(False), F.lit(False), known),
         }
-    ).drop("hit")
+    )
 
 
 # --- channels ---------------------------------------------------------------------------

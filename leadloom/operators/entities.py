@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import logging
 import tempfile
 import uuid
@@ -15,25 +16,37 @@ from leadloom.functions import urls
 log = logging.getLogger(__name__)
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster shares for intermediate tables; only a local session
-    may fall back to one of its own."""
+    without one gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="leadloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if folder is None and spark.sparkContext.master.startswith("local["):
+        app = spark.sparkContext.applicationId
+        folder = _own_folders.setdefault(app, _own_folders.get(app) or tempfile.mkdtemp(prefix="leadloom-"))
     if folder is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return folder
 
 
-def cut_lineage(rows: DataFrame) -> DataFrame:
+def new_table(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/leadloom-{uuid.uuid4().hex}"
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cut_lineage(rows: DataFrame, path: str | None = None) -> DataFrame:
     """Write the rows to the shared folder and read them back: a lost executor costs a
     re-read, and the next round plans with real table sizes."""
     spark = rows.sparkSession
-    folder = f"{shared_folder(spark).rstrip('/')}/leadloom-{uuid.uuid4().hex}"
-    rows.write.parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder)
+    path = path or new_table(spark)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def rank_within(rows: DataFrame, keys, order, name: str) -> DataFrame:
@@ -59,34 +72,38 @@ def rank_within(rows: DataFrame, keys, order, name: str) -> DataFrame:
     )
 
 
-def first_independent(keys: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def first_independent(keys: DataFrame) -> DataFrame:
     """Ids kept when walking in id order and skipping any id that shares a key with
     an id kept before. A skipped id's keys block nobody.
 
     ``keys(id, key)``. Each round keeps every id that is the smallest open one on
     all of its keys and drops the ids touching a kept key. Only per-key minima
     travel, never pairs, so a key held by a third of the ids costs one row per
-    task. Each round ends in a written table, which keeps the lineage short.
+    task. Rounds go on until no id is open; the open rows of a round replace those
+    of the round before, and all kept ids are one table.
     """
-    open_ = cut_lineage(keys.select("id", "key").distinct())
-    kept = None
-    for step in range(1, max_rounds + 1):
+    spark = keys.sparkSession
+    kept, at = new_table(spark), new_table(spark)
+    open_ = cut_lineage(keys.select("id", "key").distinct(), at)
+    for step in itertools.count(1):
         leaders = open_.groupBy("key").agg(F.min("id").alias("leader"))
         winners = cut_lineage(
             open_.join(leaders, "key")
             .groupBy("id")
             .agg(F.bool_and(F.col("leader") == F.col("id")).alias("wins"))
             .filter("wins")
-            .select("id")
+            .select("id"),
+            f"{kept}/round={step}",
         )
-        kept = winners if kept is None else kept.unionByName(winners)
         taken = open_.join(winners, "id", "left_semi").select("key").distinct()
         losers = open_.join(taken, "key", "left_semi").select("id").distinct()
-        open_ = cut_lineage(open_.join(losers, "id", "left_anti"))
+        before, at = at, new_table(spark)
+        open_ = cut_lineage(open_.join(losers, "id", "left_anti"), at)
+        drop_table(spark, before)
         if open_.isEmpty():
             log.info("first_independent finished after %d rounds", step)
-            return kept
-    raise RuntimeError(f"not finished after {max_rounds} rounds; raise max_rounds")
+            drop_table(spark, at)
+            return spark.read.schema(winners.schema).option("recursiveFileLookup", True).parquet(kept)
 
 
 # --- maker keys ---------------------------------------------------------------------------

@@ -161,9 +161,9 @@ def is_fresh(e: Column, code: Column, now: Column) -> Column:
     return (e["method"] == "db_state") | (e["checked_at"] >= limit)
 
 
-def _listings(items: Column, claim: str, kind: str, limit: int = 5) -> Column:
-    """Listing pages as evidence. Items without a URL prove nothing."""
-    some = F.filter(F.slice(F.coalesce(items, F.array().cast(_LISTINGS)), 1, limit), lambda x: F.coalesce(x["url"], F.lit("")) != "")
+def _listings(items: Column, claim: str, kind: str) -> Column:
+    """All listing pages as evidence. Items without a URL prove nothing."""
+    some = F.filter(F.coalesce(items, F.array().cast(_LISTINGS)), lambda x: F.coalesce(x["url"], F.lit("")) != "")
     return F.transform(some, lambda x: evidence(claim, x["url"], kind, x["method"], x["checked_at"], x["excerpt"]))
 
 
@@ -285,7 +285,7 @@ def _rules(stage: str, now: Column) -> list[Column]:
     )
     sold_ev = F.transform(sold_on, lambda ch: evidence("sold_in_japan", ch["search_url"], "shop", "japan_sales_check", japan["checked_at"], ch["channel"]))
     urls_of = lambda claim: F.transform(
-        F.filter(F.slice(F.coalesce(japan["source_urls"], F.array().cast("array<string>")), 1, 5), lambda u: u != ""),
+        F.filter(F.coalesce(japan["source_urls"], F.array().cast("array<string>")), lambda u: u != ""),
         lambda u: evidence(claim, u, "shop", "japan_sales_check", japan["checked_at"]),
     )
     rule_f = (
@@ -306,7 +306,7 @@ def _rules(stage: str, now: Column) -> list[Column]:
     rule_m = F.when(radio, finding("M", "hit", sev("review", "info"), "low", on_page("regulated_terms"))).otherwise(_no_hit("M"))
     hits = [reg[k][0] for k in "HIJKL"] + [radio]
     rolled = F.flatten(F.array(*[F.when(h, on_page("regulated_terms")).otherwise(none()) for h in hits]))
-    rule_g = F.when(any_of(hits), finding("G", "hit", "info", "low", F.slice(rolled, 1, 5))).otherwise(_no_hit("G"))
+    rule_g = F.when(any_of(hits), finding("G", "hit", "info", "low", rolled)).otherwise(_no_hit("G"))
 
     def non_physical(code):
         strong, weak = c(f"_strong_{code}"), c(f"_weak_{code}")
@@ -326,7 +326,7 @@ def _rules(stage: str, now: Column) -> list[Column]:
         .otherwise(_no_hit("Q"))
     )
 
-    sold_at = _listings(c("global_listings"), "widely_sold", "shop", limit=8)
+    sold_at = _listings(c("global_listings"), "widely_sold", "shop")
     rule_r = (
         F.when(F.size(complete(sold_at)) >= 3, finding("R", "hit", sev("blocker", "info"), "high", sold_at))
         .when(c("_mega"), finding("R", "hit", sev("review", "info"), "low", F.array(state("mega_brand_name", "maker_name"))))

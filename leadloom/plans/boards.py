@@ -34,11 +34,10 @@ def ranking(
     contact_only: bool = False,
     status_filter: str = "not_started",
     sort: str = "score",
-    compat_scan_cap: int | None = None,
     **sources,
 ) -> DataFrame:
     """Ranked projects. Every candidate is scored before the cut, so no project with
-    a high summary score can be lost; ``compat_scan_cap`` restores an early cut."""
+    a high summary score can be lost."""
     rows = target_projects(projects)
     if site:
         rows = rows.filter(F.col("source_site") == site)
@@ -47,9 +46,6 @@ def ranking(
         rows = rows.filter(F.col("sales_status").isin(*statuses))
     if contact_only:
         rows = rows.join(reachable_ids(sources["contacts"]), "id", "left_semi")
-    if compat_scan_cap is not None:
-        early = F.col("created_at").desc() if sort == "created_at" else F.col("latest_score").desc_nulls_last()
-        rows = rows.orderBy(early, "id").limit(compat_scan_cap)
     summary = executive_summaries(rows, **sources)
     unsold = F.col("japan_sales_status") == "unsold"
     if unsold_only:

@@ -56,7 +56,7 @@ def upsert_by_url(projects: DataFrame, batch: DataFrame, order: str = "position"
     out = merged.unionByName(quiet, allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
     touched = F.col("change").isin("created", "updated")
     if "description_clean" in projects.columns:
-        out = out.withColumn("description_clean", F.when(touched, html_to_text(F.when(touched, F.col("description")), 1000)).otherwise(F.col("description_clean")))
+        out = out.withColumn("description_clean", F.when(touched, html_to_text(F.when(touched, F.col("description")))).otherwise(F.col("description_clean")))
     return out
 
 
@@ -65,7 +65,7 @@ def change_counts(snapshot: DataFrame) -> DataFrame:
 
 
 def rebuild_descriptions(projects: DataFrame) -> DataFrame:
-    return projects.withColumn("description_clean", html_to_text(F.col("description"), 1000))
+    return projects.withColumn("description_clean", html_to_text(F.col("description")))
 
 
 def merge_enrichment(projects: DataFrame, details: DataFrame, fields=("maker_name", "category", "end_date", "maker_url")) -> DataFrame:
@@ -156,7 +156,8 @@ def misplaced(projects: DataFrame) -> tuple[DataFrame, DataFrame]:
     return projects.filter(wrong).groupBy("source_site").agg(F.count(F.lit(1)).alias("n")), projects.filter(~wrong)
 
 
-EMAIL_IN_TEXT = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,253}\.[A-Za-z]{2,24}"
+# the local part is taken whole, however long, so that no front of it is left standing
+EMAIL_IN_TEXT = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}"
 
 
 def redacted(rows: DataFrame, columns, free_text) -> DataFrame:
