@@ -1,4 +1,4 @@
-"""Streaming operators on the static tables: the same processors, one batch."""
+"""Streaming operators on the static tables: the same processors in one batch, the intake as a file stream."""
 
 from __future__ import annotations
 
@@ -20,11 +20,13 @@ def strm01(spark, sf):
     with_tables("scrape_runs", then="""
     WITH r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY started_at DESC, id DESC) AS rn, coalesce(error_kind, 'unknown') AS kind FROM scrape_runs WHERE status <> 'running' QUALIFY rn <= 20)
     SELECT site, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status <> 'success' AND kind = 'network') AS network_errors,
-      count(*) FILTER (WHERE status <> 'success' AND kind = 'structure') AS structure_errors, arg_min(id, rn) AS last_run_id FROM r GROUP BY 1"""),
+      count(*) FILTER (WHERE status <> 'success' AND kind = 'structure') AS structure_errors, arg_min(id, rn) AS last_run_id,
+      bool_or(status <> 'success' AND kind = 'structure') AND NOT coalesce(arg_min(coalesce(finished_at, started_at), rn) FILTER (WHERE status = 'success')
+        > arg_min(coalesce(finished_at, started_at), rn) FILTER (WHERE status <> 'success' AND kind = 'structure'), false) AS structure_change_suspected FROM r GROUP BY 1"""),
 )
 def strm02(spark, sf):
     rows = state.live_health(table(spark, sf, "scrape_runs"), 20)
-    return rows.select("site", "total", "success", "network_errors", "structure_errors", "last_run_id")
+    return rows.select("site", "total", "success", "network_errors", "structure_errors", "last_run_id", "structure_change_suspected")
 
 
 @query(
@@ -32,10 +34,13 @@ def strm02(spark, sf):
     "SELECT DISTINCT page_id % 5 AS project_id, sha256(trim(regexp_replace(html, '\\s+', ' ', 'g'))) AS content_hash FROM pages",
 )
 def strm04(spark, sf):
+    from leadloom.operators.entities import new_table
     from leadloom.sources.store import content_hash
 
-    pages = table(spark, sf, "pages")
-    captures = pages.select((F.col("page_id") % 5).alias("project_id"), content_hash(F.col("html")).alias("content_hash"), F.current_timestamp().alias("captured_at"))
-    return captures.dropDuplicates(["project_id", "content_hash"]).drop("captured_at")
-
-
+    schema = spark.read.parquet(f"{sf}/pages.parquet").schema
+    pages = spark.readStream.schema(schema).parquet(f"{sf}/pages.parque[t]")  # a file stream wants a pattern or a folder
+    captured_at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    captures = pages.select((F.col("page_id") % 5).alias("project_id"), content_hash(F.col("html")).alias("content_hash"), captured_at.alias("captured_at"))
+    folder = new_table(spark)
+    state.intake(captures, f"{folder}/store", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/store").select("project_id", "content_hash")
