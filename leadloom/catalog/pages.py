@@ -138,17 +138,17 @@ def url07(spark, sf):
     t AS (SELECT id, url, host AS domain, CASE WHEN {has('u', vocab.CRAWL_TIERS[0])} THEN 0 WHEN {has('u', vocab.CRAWL_TIERS[1])} THEN 1 WHEN {has('u', vocab.CRAWL_TIERS[2])} THEN 2 ELSE 3 END AS tier,
       {' + '.join(f"CASE WHEN contains(u, '{w}') THEN 1 ELSE 0 END" for w in vocab.CRAWL_LINK_WORDS)} AS words FROM l
       WHERE NOT {has('u', vocab.CRAWL_SKIP_WORDS)} AND NOT regexp_matches(u, '{vocab.PAGINATION_PATTERN}') AND NOT {has('u', vocab.PAGINATION_PATHS)})
-    SELECT domain, url, tier, CAST(row_number() OVER (PARTITION BY domain ORDER BY tier, words DESC, url) AS INT) AS position FROM (SELECT DISTINCT domain, url, tier, words FROM t) QUALIFY position <= 100"""),
+    SELECT domain, url, tier, CAST(row_number() OVER (PARTITION BY domain ORDER BY tier, words DESC, url) AS INT) AS position FROM (SELECT DISTINCT domain, url, tier, words FROM t)"""),
 )
 def sort09(spark, sf):
     frontier = results(spark, sf).select("url").distinct()
-    return sites.crawl_frontier(frontier, 100).select("domain", "url", "tier", "position")
+    return sites.crawl_frontier(frontier).select("domain", "url", "tier", "position")
 
 
 @query(
     "sort10_sitemap_urls",
     with_tables("results", then=f"""WITH {RESULTS}, s AS (SELECT host AS domain, url, min(id) AS pos FROM h WHERE net <> '' AND url LIKE 'http%' GROUP BY ALL)
-    SELECT domain, url, CAST(row_number() OVER (PARTITION BY domain ORDER BY {has('lower(url)', vocab.SITEMAP_WORDS)} DESC, pos, url) AS INT) AS position FROM s QUALIFY position <= 60"""),
+    SELECT domain, url, CAST(row_number() OVER (PARTITION BY domain ORDER BY {has('lower(url)', vocab.SITEMAP_WORDS)} DESC, pos, url) AS INT) AS position FROM s"""),
 )
 def sort10(spark, sf):
     rows = results(spark, sf).filter(F.col("url").rlike("^http")).withColumn("domain", urls.domain_of(F.col("url")))
@@ -157,7 +157,7 @@ def sort10(spark, sf):
     xml = listed.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("id", "url"))).alias("entries"))
     xml = xml.select("domain", F.explode("entries").alias("e")).select("domain", "e.id", entry.alias("line"))
     xml = xml.groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("xml"))
-    return sites.sitemap_urls(xml, 60).select("domain", "url", "position")
+    return sites.sitemap_urls(xml).select("domain", "url", "position")
 
 
 # --- search results -----------------------------------------------------------------------------
@@ -478,7 +478,7 @@ def ext13(spark, sf):
       CASE WHEN ours THEN 0 ELSE 1 END AS o, CASE p {' '.join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(vocab.FORM_PATH_ORDER))} ELSE {len(vocab.FORM_PATH_ORDER)} END AS pr FROM d
       WHERE NOT {under('host', vocab.NON_OFFICIAL_PLATFORMS)} AND NOT {has('lpath', vocab.UTILITY_FORM_PATHS)} AND deny IS NULL),
     b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY project_id, reg, intent ORDER BY o, pr, length(url), url) = 1)
-    SELECT project_id, url AS form_url, intent, CAST(row_number() OVER (PARTITION BY project_id ORDER BY o, pr, length(url), url) AS INT) AS position FROM b QUALIFY position <= 4"""),
+    SELECT project_id, url AS form_url, intent, CAST(row_number() OVER (PARTITION BY project_id ORDER BY o, pr, length(url), url) AS INT) AS position FROM b"""),
 )
 def ext14(spark, sf):
     return sites.maker_forms(results(spark, sf).select("project_id", F.col("url").alias("form_url"), "official_domain"))

@@ -270,12 +270,12 @@ def labelled_fields(text: Column) -> dict[str, Column]:
     for name, pattern in vocab.CAPTURE_LABELS.items():
         raw = F.trim(F.regexp_extract(text, "(?m)" + pattern, 1))
         # the first character belongs to the value even when a stop word starts there
-        cut = F.concat(F.substring(raw, 1, 1), F.element_at(F.split(F.substring(raw, 2, 200), stops), 1))
+        cut = F.concat(F.substring(raw, 1, 1), F.element_at(F.split(F.substring(raw, F.lit(2), F.length(raw)), stops), 1))
         value = F.trim(F.trim(cut), F.lit(".,;:·・"))
-        out[name] = F.when(F.length(value) >= 2, F.substring(value, 1, 80))
+        out[name] = F.when(F.length(value) >= 2, value)
     phones = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(vocab.CAPTURE_PHONE), F.lit(1))))
     out["phone"] = F.get(phones, 0)
-    out["phones"] = F.slice(phones, 1, 5)
+    out["phones"] = phones
     return out
 
 

@@ -197,9 +197,14 @@ def page_type(url: Column, official_domain: Column) -> Column:
 
 # --- forms and documents -------------------------------------------------------------------------
 
-def maker_forms(forms: DataFrame, limit: int = 4) -> DataFrame:
-    """``forms(project_id, form_url, official_domain)`` to the maker's own forms: one
-    per domain and intent, then the best ``limit`` per project."""
+def at_most(rows: DataFrame, limit: int | None) -> DataFrame:
+    """Rows up to a position, all of them without a limit."""
+    return rows if limit is None else rows.filter(F.col("position") <= limit)
+
+
+def maker_forms(forms: DataFrame, limit: int | None = None) -> DataFrame:
+    """``forms(project_id, form_url, official_domain)`` to the maker's own forms, best
+    first: one per domain and intent, at most ``limit`` per project."""
     f = F.col("form_url")
     ok = (
         ~F.contains(f, F.lit("@"))
@@ -221,11 +226,8 @@ def maker_forms(forms: DataFrame, limit: int = 4) -> DataFrame:
         .agg(F.min("form_rank").alias("form_rank"))
     )
     w = Window.partitionBy("project_id").orderBy("form_rank")
-    return (
-        best.withColumn("position", F.row_number().over(w))
-        .filter(F.col("position") <= limit)
-        .select("project_id", F.col("form_rank.url").alias("form_url"), "intent", "position")
-    )
+    rows = at_most(best.withColumn("position", F.row_number().over(w)), limit)
+    return rows.select("project_id", F.col("form_rank.url").alias("form_url"), "intent", "position")
 
 
 def document_links(links: DataFrame) -> DataFrame:
@@ -708,17 +710,17 @@ def crawl_tier(url: Column) -> Column:
     return out.otherwise(len(vocab.CRAWL_TIERS))
 
 
-def crawl_frontier(frontier: DataFrame, per_domain: int = 100) -> DataFrame:
+def crawl_frontier(frontier: DataFrame, per_domain: int | None = None) -> DataFrame:
     """URLs worth a visit, contact pages first, at most ``per_domain`` per domain."""
     low = F.lower(F.col("url"))
     ok = ~contains_any(low, vocab.CRAWL_SKIP_WORDS) & ~low.rlike(vocab.PAGINATION_PATTERN) & ~contains_any(low, vocab.PAGINATION_PATHS)
     words = sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in vocab.CRAWL_LINK_WORDS), F.lit(0))
     rows = frontier.filter(ok).withColumns({"domain": urls.domain_of(F.col("url")), "tier": crawl_tier(F.col("url")), "words": words})
     w = Window.partitionBy("domain").orderBy("tier", F.col("words").desc(), "url")
-    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= per_domain)
+    return at_most(rows.withColumn("position", F.row_number().over(w)), per_domain)
 
 
-def sitemap_urls(sitemaps: DataFrame, cap: int = 60) -> DataFrame:
+def sitemap_urls(sitemaps: DataFrame, cap: int | None = None) -> DataFrame:
     """``(domain, xml)`` to the listed URLs of the same domain, useful ones first."""
     loc = F.regexp_extract_all("xml", F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))
     rows = sitemaps.select("domain", F.posexplode(loc).alias("pos", "url"))
@@ -726,6 +728,6 @@ def sitemap_urls(sitemaps: DataFrame, cap: int = 60) -> DataFrame:
     rows = rows.groupBy("domain", "url").agg(F.min("pos").alias("pos"))
     useful = contains_any(F.lower(F.col("url")), vocab.SITEMAP_WORDS)
     w = Window.partitionBy("domain").orderBy(useful.desc(), "pos", "url")
-    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= cap).drop("pos")
+    return at_most(rows.withColumn("position", F.row_number().over(w)), cap).drop("pos")
 
 
