@@ -165,3 +165,51 @@ def test_collisions(spark):
     pages = spark.createDataFrame(rows, "url string, html string, maker_name string, terms array<string>, want string")
     checked = sites.collision_check(sites.site_identity(pages))
     assert all(r["collision_reason"] == r["want"] for r in checked.collect())
+
+
+def test_long_local_parts_are_redacted_whole(spark):
+    from leadloom.sources.store import redacted
+
+    rows = spark.createDataFrame([(f"write to {'a' * 100}.b@brand.com, or x@y.co.jp now",)], "note string")
+    assert redacted(rows, ["note"], {"note"}).first()["note"] == "write to [redacted-email], or [redacted-email] now"
+
+
+def test_more_people_than_eight_are_found(spark):
+    from leadloom.operators.contacts import people_on_pages
+
+    firsts, lasts = ["Anna", "Boris", "Clara", "David", "Elena", "Frank", "Greta", "Henry", "Irene", "Jacob"], "Miller"
+    text = ". ".join(f"{f} {lasts}, Manager" for f in firsts)
+    rows = people_on_pages(spark.createDataFrame([(1, "https://www.brand1.com/team", text, "brand1.com")], "project_id long, url string, text string, official_domain string"))
+    assert {r["name"] for r in rows.collect()} == {f"{f} {lasts}" for f in firsts}
+
+
+def test_listings_without_an_address_hide_none(spark):
+    one = "struct<url:string,checked_at:timestamp,method:string,excerpt:string>"
+    items = [(None, None, "m", None)] * 6 + [("https://shop.com/", None, "m", None)]
+    rows = spark.createDataFrame([(items,)], f"items array<{one}>")
+    assert len(rows.select(gates._listings(F.col("items"), "sold", "shop").alias("e")).first()["e"]) == 1
+
+
+def test_challenge_behind_a_long_page(spark):
+    from leadloom.sources.html_cards import campaign_details
+
+    html = "<title>x</title>" + "<p>filler</p>" * 1000
+    pages = spark.createDataFrame([(1, html + "<title>Just a moment...</title>", "t"), (2, html, "已於 2024/3/5 募資結束")], "page_id long, html string, text string")
+    rows = {r["page_id"]: r for r in campaign_details(pages).collect()}
+    assert rows[1]["challenged"] and rows[1]["status"] is None
+    assert not rows[2]["challenged"] and rows[2]["status"] == "finished" and str(rows[2]["end_date"]) == "2024-03-05"
+
+
+@pytest.mark.parametrize("piece", ["QUJD", "<br> ", "a.", "\"x\" + ", "[at] ", " at", "@ "])
+def test_address_search_takes_linear_time(spark, piece):
+    import time
+
+    took = []
+    for n in (40_000, 160_000):
+        pages = spark.createDataFrame([(1, piece * (n // len(piece)) + " tail info@brand.co")], "page_id long, html string").cache()
+        pages.count()
+        em.page_emails(pages).collect()
+        start = time.time()
+        assert "info@brand.co" in [r["email"] for r in em.page_emails(pages).collect()]
+        took.append(time.time() - start)
+    assert took[1] < 9 * took[0] + 2
