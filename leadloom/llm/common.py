@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -41,11 +42,15 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, removed when the driver ends: cuts the lineage, and any executor can read it again."""
+    """``df`` as a Parquet table in the shared folder, removed when the driver ends: cuts the lineage, and any executor can read it again.
+
+    The shuffle files behind it are of no use then; Spark deletes them once the driver has collected its garbage, so it is asked to."""
     spark = df.sparkSession
     path = path or shared_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove_at_exit, spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,9 +9,10 @@ Equal sets are one class from the start. For different sets:
    classes, are indexed by pairs of one class: a prefix of ``p + c`` shingles, ``c`` of its classes holding frequent ones, shares a rare
    shingle or two frequent ones of a class with that of each partner. The number of classes follows the size of the sets, in bands of a
    factor 4/3, so the pairs stay in proportion to the shingles. Small sets index single shingles only.
-3. Sets under one index key are candidates: in short lists all pairs, in long ones each with its neighbours by size and the first. The candidate that
-   shares most keys with a set is verified first; what that leaves in different groups is verified then, for long lists by all pairs of
-   members of different groups. So copies do not meet in all pairs, and no link between groups is lost.
+3. Sets under one index key are candidates: in short lists all pairs, in long ones each with its neighbours by size and the first. Pairs that share too few
+   keys to be linked are left out. A set's candidate that shares most keys with it, and its smallest one, are verified first, by the whole sets;
+   candidates that this leaves in different groups come next, and last the pairs of members of different groups in long lists. So copies do
+   not meet in all pairs, and no link between groups is lost.
 
 Words are runs of anything but blanks, in lower case for A-Z. A text with fewer than five words is one shingle; a null or blank text has none and is linked
 with nothing, its component is its own id. Each row is judged by its own text, also where ids repeat. Extra columns are not read.
@@ -23,7 +24,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -36,6 +36,8 @@ CELLS, SLICES = 1 << 20, 16
 SMALL = 64
 CLASSES = 8
 SHORT = 8
+# Keys of frequent shingles are odd, those of rare ones even.
+ODD = np.uint64(1)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -136,17 +138,24 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     p = n - -(-3 * n // 4) + 1
     often = frequent[(tokens >> np.uint64(44)).astype(np.int64)]
     rare, common = tokens[~often], tokens[often]
-    keys = [rare[:p]]
+    keys = [rare[:p] & ~ODD]
     if len(rare) < p:
         if n <= SMALL:
-            keys.append(mixed(common[: p - len(rare)] ^ np.uint64(0xA5A5A5A5)))
+            keys.append(mixed(common[: p - len(rare)] ^ np.uint64(0xA5A5A5A5)) | ODD)
         if 4 * n > 3 * SMALL:
             band = int(math.log(n) / math.log(4 / 3) + 1e-9)
             for b in (band, band + 1):
-                keys.append(_pairs(common, p - len(rare), b))
+                keys.append(_pairs(common, p - len(rare), b) | ODD)
     return np.concatenate(keys)
 
 
+def sized(tokens: np.ndarray, frequent: np.ndarray) -> int:
+    """The set's size, above 32 bits that hold one more than the number of its frequent shingles if its prefix reaches into them, else 0."""
+    often = int(frequent[(tokens >> np.uint64(44)).astype(np.int64)].sum())
+    n = len(tokens)
+    return n << 32 | (often + 1 if n - often < n - -(-3 * n // 4) + 1 else 0)
+
+
 def _pairs(common: np.ndarray, need: int, band: int) -> np.ndarray:
     classes = max(CLASSES, int((4 / 3) ** band / 16))
     kind = (mixed(common) % np.uint64(classes)).astype(np.int64)
@@ -171,7 +180,7 @@ def _pairs(common: np.ndarray, need: int, band: int) -> np.ndarray:
 
 
 def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, n, set) of every document that has shingles."""
+    """(key, size, set) of every document that has shingles; size as in ``sized``."""
     flags = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
     def run(batches):
@@ -184,74 +193,90 @@ def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     continue
                 sizes = [len(k) for k in keys]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), sizes)), pa.array(np.repeat(np.array([set_id(s) for s in sets], np.int64), sizes))],
-                    names=["key", "n", "set"],
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array([sized(s, often) for s in sets], np.int64), sizes)), pa.array(np.repeat(np.array([set_id(s) for s in sets], np.int64), sizes))],
+                    names=["key", "size", "set"],
                 )
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, n int, set long")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, size long, set long")
 
 
 def listed(keys: DataFrame) -> DataFrame:
-    """(a, b, keys) candidate pairs, and (key, set, n) members of long lists: of the kinds ``pair`` and ``long``.
+    """Of kind ``pair``: candidates (a, b), their sizes, the keys they were met under, and how many of those are of rare shingles. Of kind ``long``: a member b of the long list of key a, and its size.
 
     A key's sets arrive together, in order of size; only the last sets of a list are held, however long it is."""
-    names = ["kind", "a", "b", "n"]
+    names = ["kind", "a", "b", "size_a", "size_b", "met", "keys"]
 
-    def emit(kind, a, b, n):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], names=names)
+    def emit(kind, *columns):
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(columns[0]), pa.string()), *[pa.array(c.astype(np.int64)) for c in columns]], names=names)
 
     def run(batches):
-        # of the list that reaches into the next batch: its last SHORT - 1 rows, its first set, its length so far
-        tail = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+        # of the list that reaches into the next batch: its last SHORT rows, its first set, its length so far
+        tail = [np.zeros(0, np.int64)] * 3
         head, length = None, 0
         for batch in batches:
             columns = [batch.column(i).to_numpy() for i in range(3)]
             if not len(columns[0]):
                 continue
             old = len(tail[0])
-            key, n, sets = (np.concatenate([t, c]) for t, c in zip(tail, columns))
+            key, size, sets = (np.concatenate([t, c]) for t, c in zip(tail, columns))
             fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (sets[1:] != sets[:-1])])
             fresh[:old] = True
-            key, n, sets = key[fresh], n[fresh], sets[fresh]
+            key, size, sets = key[fresh], size[fresh], sets[fresh]
             begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             run_of = np.repeat(np.arange(len(begins)), np.diff([*begins, len(key)]))
-            firsts_set, firsts_n, place = sets[begins], n[begins], np.arange(len(key)) - begins[run_of]
+            first_set, first_size, place = sets[begins], size[begins], np.arange(len(key)) - begins[run_of]
+            lengths = np.bincount(run_of)
             if old:
-                firsts_set[0], firsts_n[0] = head
+                first_set[0], first_size[0] = head
                 place[run_of == 0] += length - old
-            sizes = np.bincount(run_of)
-            sizes[0] += length - old if old else 0
-            long = sizes[run_of] > SHORT
-            # rows of a list that turns out long later are sent on when it does
-            became = long & (np.arange(len(key)) < old) & (length <= SHORT)
+                lengths[0] += length - old
+            long = lengths[run_of] > SHORT
             new = np.arange(len(key)) >= old
+            # rows of a list that turned out short so far are sent on when it turns out long
+            out = long & (new | (length <= SHORT))
             found = []
             for step in range(1, SHORT):
                 same = (key[step:] == key[:-step]) & new[step:]
-                found.append(np.stack([sets[:-step][same], sets[step:][same], n[:-step][same], n[step:][same]]))
+                found.append(np.stack([sets[:-step][same], sets[step:][same], size[:-step][same], size[step:][same], 1 - (key[step:][same] & 1)]))
             far = new & (place >= SHORT)
-            found.append(np.stack([firsts_set[run_of][far], sets[far], firsts_n[run_of][far], n[far]]))
-            a, b, na, nb = np.concatenate(found, axis=1)
-            fits = (4 * na >= 3 * nb) & (a != b)
-            a, b = np.minimum(a[fits], b[fits]), np.maximum(a[fits], b[fits])
+            found.append(np.stack([first_set[run_of][far], sets[far], first_size[run_of][far], size[far], 1 - (key[far] & 1)]))
+            a, b, size_a, size_b, rare = np.concatenate(found, axis=1)
+            fits = (4 * (size_a >> 32) >= 3 * (size_b >> 32)) & (a != b)
+            a, b, size_a, size_b, rare = (c[fits] for c in (a, b, size_a, size_b, rare))
             if len(a):
-                pairs, counts = np.unique(np.stack([a, b]), axis=1, return_counts=True)
-                yield emit("pair", pairs[0], pairs[1], counts)
-            if (long & new).any() or became.any():
-                out = (long & new) | became
-                yield emit("long", key[out], sets[out], n[out])
-            last = run_of == run_of[-1]
-            head = (firsts_set[-1], firsts_n[-1])
-            length = int(sizes[-1])
-            keep = np.flatnonzero(last)[-SHORT:]
-            tail = [key[keep], n[keep], sets[keep]]
-
-    ordered = keys.repartition("key").sortWithinPartitions("key", "n", "set")
-    return ordered.mapInArrow(run, "kind string, a long, b long, n int")
+                turned = a > b
+                a, b, size_a, size_b = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, size_b, size_a), np.where(turned, size_a, size_b)
+                order = np.lexsort((b, a))
+                a, b, size_a, size_b, rare = (c[order] for c in (a, b, size_a, size_b, rare))
+                begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                yield emit("pair", *(c[begin] for c in (a, b, size_a, size_b)), np.diff([*begin, len(a)]), np.add.reduceat(rare, begin))
+            if out.any():
+                none = np.zeros(int(out.sum()))
+                yield emit("long", key[out], sets[out], none, size[out], none, none)
+            head, length = (first_set[-1], first_size[-1]), int(lengths[-1])
+            keep = np.flatnonzero(run_of == run_of[-1])[-SHORT:]
+            tail = [key[keep], size[keep], sets[keep]]
+
+    ordered = keys.repartition("key").sortWithinPartitions("key", "size", "set")
+    return ordered.mapInArrow(run, "kind string, a long, b long, size_a long, size_b long, met long, keys long")
+
+
+def possible(keys, size_a: str, size_b: str, long_a: str, long_b: str):
+    """Whether sets that share ``keys`` keys of rare shingles in short lists can be linked. In long lists they share at most as many as each has there.
+
+    A prefix that reaches into frequent shingles holds all rare ones of its set: what two such sets share beside common keys is frequent. Else what
+    they share beside common keys lies behind the end of a prefix of rare shingles."""
+    n = lambda size: F.shiftright(F.col(size), 32)
+    often = lambda size: F.col(size).bitwiseAND(F.lit((1 << 32) - 1)) - 1
+    behind = lambda size: F.when(often(size) < 0, F.ceil(n(size) * 3 / 4) - 1)
+    both = (often(size_a) >= 0) & (often(size_b) >= 0)
+    beside = F.when(both, F.least(often(size_a), often(size_b))).otherwise(F.greatest(behind(size_a), behind(size_b)))
+    in_long = F.least(F.coalesce(F.col(long_a), F.lit(0)), F.coalesce(F.col(long_b), F.lit(0)))
+    return keys + in_long >= F.ceil((n(size_a) + n(size_b)) * 3 / 7 - 1e-9) - beside
 
 
 def contents(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame:
-    """(set, n, tokens) of the sets in ``wanted`` (set), each taken from one document that has it."""
+    """(set, tokens) of the sets in ``wanted`` (set), each taken from one document that has it."""
     sources = members.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id")).withColumnRenamed("set", "wanted")
 
     def run(batches):
@@ -264,7 +289,7 @@ def contents(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["set", "tokens"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sources, "doc_id").select("wanted", "text")
-    return rows.mapInArrow(run, "set long, tokens array<long>").dropDuplicates(["set"])
+    return rows.mapInArrow(run, "set long, tokens array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,7 +297,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     joined = pairs.select("a", "b").join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     rows = joined.select("a", "b", shared.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return rows.filter("100L * both >= 75L * (sum - both)").select("a", "b")
+    return rows.filter("100L * both >= 75L * (sum - both)").select("a", "b").distinct()
 
 
 def linked_groups(docs: DataFrame) -> DataFrame:
@@ -280,29 +305,39 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     passed = written(measured(docs))
     members = passed.filter("slice is null").select("doc_id", "set", "n")
     found = written(listed(indexed(docs, frequent_cells(passed))))
-    candidates = found.filter("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("keys")).persist(StorageLevel.DISK_ONLY)
-    long = found.filter("kind = 'long'").select(F.col("a").alias("key"), F.col("b").alias("set"), "n")
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("set")).union(long.select("set")).distinct()
-    sets = written(contents(docs, wanted, members))
-
-    # what shares most with a set comes first: enough to put most groups together
-    ends = candidates.select("a", "b", "keys", F.explode(F.array("a", "b")).alias("end"))
-    best = ends.groupBy("end").agg(F.max(F.struct("keys", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    first = written(verified(best, sets))
-    groups = components(first)
-
-    def grouped(df, column, name):
+    long = found.filter("kind = 'long'").select(F.col("a").alias("key"), F.col("b").alias("set"), F.col("size_b").alias("size"))
+    in_long = long.filter("key % 2 = 0").groupBy("set").agg(F.count("*").alias("long"))
+    pairs = found.filter("kind = 'pair'").groupBy("a", "b", "size_a", "size_b").agg(F.sum("met").alias("met"), F.sum("keys").alias("keys"))
+    for end in ("a", "b"):
+        pairs = pairs.join(in_long.select(F.col("set").alias(end), F.col("long").alias(f"long_{end}")), end, "left")
+    candidates = written(pairs.filter(possible(F.col("keys"), "size_a", "size_b", "long_a", "long_b")).select("a", "b", "size_a", "size_b", "met"))
+
+    # for each set the candidate that shares most with it, and the smallest: the first of a long list is the same for most of its members
+    ends = candidates.select("a", "b", "met", F.explode(F.array(F.struct(F.col("a").alias("end"), F.col("size_b").alias("size"), F.col("b").alias("other")), F.struct(F.col("b").alias("end"), F.col("size_a").alias("size"), F.col("a").alias("other")))).alias("x"))
+    best = ends.groupBy("x.end").agg(F.max(F.struct("met", "a", "b")).alias("most"), F.min(F.struct("x.size", "x.other", "a", "b")).alias("least"))
+    best = written(best.select(F.explode(F.array(F.struct("most.a", "most.b"), F.struct("least.a", "least.b"))).alias("x")).select("x.*").distinct())
+    contents_of = lambda pairs: written(contents(docs, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), members))
+
+    def grouped(df, groups, column, name):
         got = groups.select(F.col("node").alias(column), F.col("component").alias(f"{name}_"))
         return df.join(got, column, "left").withColumn(name, F.coalesce(f"{name}_", column)).drop(f"{name}_")
 
-    rest = grouped(grouped(candidates.select("a", "b"), "a", "ga"), "b", "gb").filter("ga != gb").select("a", "b")
-    members_of = grouped(long, "set", "g")
-    mixed_keys = members_of.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi").select("key")
-    open_ = members_of.join(mixed_keys, "key", "left_semi")
-    left, right = open_.select("key", F.col("set").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga")), open_.select("key", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"))
-    across = left.join(right, "key").filter("ga != gb and a < b and 4L * na >= 3L * nb and 4L * nb >= 3L * na").select("a", "b")
-    second = verified(rest.unionByName(across).distinct().join(best, ["a", "b"], "left_anti"), sets)
-    links = written(first.unionByName(second))
+    links = written(verified(best, contents_of(best)))
+    groups = components(links)
+    rest = grouped(grouped(candidates.select("a", "b"), groups, "a", "ga"), groups, "b", "gb").filter("ga != gb").select("a", "b")
+    rest = written(rest.join(best, ["a", "b"], "left_anti"))
+    links = written(links.unionByName(verified(rest, contents_of(rest))))
+    groups = components(links)
+
+    members_of = grouped(long.join(in_long, "set", "left"), groups, "set", "g")
+    open_keys = members_of.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi").select("key")
+    open_ = members_of.join(open_keys, "key", "left_semi")
+    left, right = (open_.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("set", "size", "long", "g")]) for end in "ab")
+    n_a, n_b = F.shiftright("size_a", 32), F.shiftright("size_b", 32)
+    fits = (F.col("set_a") < F.col("set_b")) & (F.col("g_a") != F.col("g_b")) & (n_a * 4 >= n_b * 3) & (n_b * 4 >= n_a * 3)
+    across = left.join(right, "key").filter(fits & possible(F.lit(0), "size_a", "size_b", "long_a", "long_b")).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
+    across = written(across.join(best.unionByName(rest), ["a", "b"], "left_anti"))
+    links = written(links.unionByName(verified(across, contents_of(across))))
     groups = components(links)
 
     # the least document of a set, then of a group
