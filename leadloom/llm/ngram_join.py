@@ -11,8 +11,8 @@ Equal sets are one class from the start. For different sets:
    factor 4/3, so the pairs stay in proportion to the shingles. Small sets index single shingles only.
 3. Sets under one index key are candidates: in short lists all pairs, in long ones each with its neighbours by size and the first. Pairs that share too few
    keys to be linked are left out. A set's candidate that shares most keys with it, and its smallest one, are verified first, by the whole sets;
-   candidates that this leaves in different groups come next, and last the pairs of members of different groups in long lists. So copies do
-   not meet in all pairs, and no link between groups is lost.
+   candidates that this leaves in different groups come next, with a few members of other groups from each long list, and last all pairs of members of
+   long lists whose groups still differ. So copies do not meet in all pairs, and no link between groups is lost.
 
 Words are runs of anything but blanks, in lower case for A-Z. A text with fewer than five words is one shingle; a null or blank text has none and is linked
 with nothing, its component is its own id. Each row is judged by its own text, also where ids repeat. Extra columns are not read.
@@ -324,20 +324,25 @@ def linked_groups(docs: DataFrame) -> DataFrame:
 
     links = written(verified(best, contents_of(best)))
     groups = components(links)
+    n_a, n_b = F.shiftright("size_a", 32), F.shiftright("size_b", 32)
+    fits = (F.col("set_a") < F.col("set_b")) & (F.col("g_a") != F.col("g_b")) & (n_a * 4 >= n_b * 3) & (n_b * 4 >= n_a * 3)
+
+    def across(groups, share: int | None = None):
+        """Pairs of members of one long list that are in different groups: all of them, or those that meet in one of many parts with about ``share`` members each."""
+        rows = grouped(long.join(in_long, "set", "left"), groups, "set", "g")
+        keys = rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("members")).filter("lo != hi")
+        part = F.pmod(F.xxhash64("set", "key"), F.greatest(F.lit(1), F.col("members") / share).cast("long")) if share else F.lit(0).cast("long")
+        rows = rows.join(keys.select("key", "members"), "key").withColumn("part", part)
+        left, right = (rows.select("key", "part", *[F.col(c).alias(f"{c}_{end}") for c in ("set", "size", "long", "g")]) for end in "ab")
+        met = left.join(right, ["key", "part"]).filter(fits & possible(F.lit(0), "size_a", "size_b", "long_a", "long_b"))
+        return met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
+
     rest = grouped(grouped(candidates.select("a", "b"), groups, "a", "ga"), groups, "b", "gb").filter("ga != gb").select("a", "b")
-    rest = written(rest.join(best, ["a", "b"], "left_anti"))
+    rest = written(rest.unionByName(across(groups, 3)).distinct().join(best, ["a", "b"], "left_anti"))
     links = written(links.unionByName(verified(rest, contents_of(rest))))
     groups = components(links)
-
-    members_of = grouped(long.join(in_long, "set", "left"), groups, "set", "g")
-    open_keys = members_of.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi").select("key")
-    open_ = members_of.join(open_keys, "key", "left_semi")
-    left, right = (open_.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("set", "size", "long", "g")]) for end in "ab")
-    n_a, n_b = F.shiftright("size_a", 32), F.shiftright("size_b", 32)
-    fits = (F.col("set_a") < F.col("set_b")) & (F.col("g_a") != F.col("g_b")) & (n_a * 4 >= n_b * 3) & (n_b * 4 >= n_a * 3)
-    across = left.join(right, "key").filter(fits & possible(F.lit(0), "size_a", "size_b", "long_a", "long_b")).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
-    across = written(across.join(best.unionByName(rest), ["a", "b"], "left_anti"))
-    links = written(links.unionByName(verified(across, contents_of(across))))
+    last = written(across(groups).join(best.unionByName(rest), ["a", "b"], "left_anti"))
+    links = written(links.unionByName(verified(last, contents_of(last))))
     groups = components(links)
 
     # the least document of a set, then of a group
