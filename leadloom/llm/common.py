@@ -102,7 +102,7 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Slices of a batch with about ``most`` bytes in ``column``, at least a row each."""
     _, offsets = string_bytes(batch.column(column))
     at = 0

@@ -8,8 +8,7 @@ equal windows are always filed under the same hash, so each hash can be worked o
   stack visits the tree of common-prefix intervals; an interval of at least ``least`` bytes whose occurrences are preceded by different
   bytes is a maximal repeat. Each occurrence is put out once, under the longest maximal repeat in which it is not the earliest,
   together with the repeat's length, its number of occurrences and its earliest one: with the tree's nesting these are all occurrences of all.
-* Hashes with more than ``SPLIT`` different pieces, or a piece of more than ``LONG`` windows, are not sorted in one task: their windows are grouped by
-  content in Spark.
+* Hashes with more than ``SPLIT`` windows in different pieces are not sorted in one task: their windows are grouped by content in Spark.
 
 Windows are 64-bit hashes when they are compared across tasks. The order of strings is (doc_id, start); a null id comes first. Rows with the same id are
 compared like any others, but strings at the same start of the same id count as one. Null texts are empty. Texts shorter than ``least`` lose nothing.
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import RollingHash, mixed, pieces, string_bytes, written
 
 LEAST, GRAM = 100, 36
-SPLIT, LONG = 1000, 20_000
-BLOCK = 4000
+# windows under one hash, and in one suffix array, at most
+SPLIT, BLOCK = 250_000, 60_000
 NULL_ID = -(2**63)
 
 
@@ -76,15 +75,24 @@ def cut(column: pa.Array, least: int) -> tuple[np.ndarray, ...]:
 
 
 def pieces_of(docs: DataFrame, least: int) -> DataFrame:
+    """(place, piece, doc_id, at) of every piece; ``at`` holds its start, then n in 31 bits, then twice, so that it is in order of start."""
+
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text"):
                 row, start, n, place, piece, twice = cut(part.column(1), least)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(place.view(np.int64)), pa.array(piece.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(start), pa.array(n), pa.array(twice)], names=["place", "piece", "doc_id", "start", "n", "twice"]
-                )
+                at = start << 32 | n << 1 | twice
+                yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(piece.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(at)], names=["place", "piece", "doc_id", "at"])
+
+    return docs.mapInArrow(run, "place long, piece long, doc_id long, at long")
+
 
-    return docs.mapInArrow(run, "place long, piece long, doc_id long, start long, n long, twice boolean")
+def start_of(at: Column) -> Column:
+    return F.shiftright(at, 32)
+
+
+def windows_of(at: Column) -> Column:
+    return F.shiftright(at.bitwiseAND(F.lit((1 << 32) - 1)), 1)
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -111,10 +119,17 @@ def cut_out(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
 
 
 def suffix_array(strings: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all starts with at least ``least`` bytes after them, in the order of what follows (up to ``2 * least`` bytes): string, offset, and bytes shared with the one before."""
+    """Of all starts whose next ``least`` bytes stand more than once, in the order of what follows (up to ``2 * least`` bytes): string, offset, and bytes shared with the one before."""
     depth = 2 * least
+    if not any(len(s) >= least for s in strings):
+        return (np.zeros(0, np.int64),) * 3
     which = np.repeat(np.arange(len(strings)), [max(0, len(s) - least + 1) for s in strings])
     offset = np.concatenate([np.zeros(0, np.int64), *[np.arange(max(0, len(s) - least + 1)) for s in strings]])
+    # a start whose first ``least`` bytes stand nowhere else is in no interval; equal bytes have equal hashes
+    begins = np.cumsum([0, *map(len, strings)])[:-1]
+    hashes = RollingHash(np.frombuffer(b"".join(strings), np.uint8)).windows(least)[begins[which] + offset]
+    _, kind, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    which, offset = which[counts[kind] > 1], offset[counts[kind] > 1]
     suffixes = [strings[i][o : o + depth] for i, o in zip(which.tolist(), offset.tolist())]
     order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
     shared = np.zeros(len(order), np.int64)
@@ -160,7 +175,10 @@ def maximal_repeats(strings: list[bytes], rank: list, least: int) -> list[tuple[
 
 def _join(a: list, b: list, shared: int) -> list:
     early, late = (a, b) if a[2] <= b[2] else (b, a)
-    return [shared, a[1] + b[1], early[2], a[3] if a[3] == b[3] else -1, a[4] + b[4] + [late[2]]]
+    pending, fewer = (a[4], b[4]) if len(a[4]) >= len(b[4]) else (b[4], a[4])
+    pending.extend(fewer)
+    pending.append(late[2])
+    return [shared, a[1] + b[1], early[2], a[3] if a[3] == b[3] else -1, pending]
 
 
 def _close(node: list, least: int, depth: int, out: list) -> None:
@@ -175,7 +193,7 @@ REPEATS = "doc_id long, start long, length long, occurrences long, first_doc lon
 
 
 def sorted_repeats(strings: DataFrame, least: int) -> DataFrame:
-    """Maximal repeats of (place, doc_id, start, bytes), where no place has more than ``SPLIT`` rows: several places share a suffix array, as they share no window."""
+    """Maximal repeats of (place, doc_id, start, bytes), where no place has more than ``SPLIT`` windows: several places share a suffix array, as they share no window."""
 
     def found(rows):
         if len(rows) < 2:
@@ -186,14 +204,15 @@ def sorted_repeats(strings: DataFrame, least: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "length", "occurrences", "first_doc", "first_start"]) if out else None
 
     def run(batches):
-        held: list[tuple] = []
+        held, windows = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(held) >= BLOCK - SPLIT and held[-1][0] != row[0]:
+                if windows >= BLOCK and held[-1][0] != row[0]:
                     if (out := found(held)) is not None:
                         yield out
-                    held = []
+                    held, windows = [], 0
                 held.append(row)
+                windows += len(row[3]) - least + 1
         if (out := found(held)) is not None:
             yield out
 
@@ -206,9 +225,12 @@ def counted_repeats(strings: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for doc_id, start, content in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes = RollingHash(np.frombuffer(content, np.uint8)).windows(least).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([doc_id] * len(hashes), pa.int64()), pa.array(start + np.arange(len(hashes)))], names=["window", "doc_id", "start"])
+            for at in range(0, batch.num_rows, 256):
+                ids, starts, contents = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                hashes = [RollingHash(np.frombuffer(c, np.uint8)).windows(least).view(np.int64) for c in contents]
+                sizes = [len(h) for h in hashes]
+                place = np.concatenate([s + np.arange(n) for s, n in zip(starts, sizes)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(place)], names=["window", "doc_id", "start"])
 
     windows = strings.select("doc_id", "start", "bytes").mapInArrow(run, "window long, doc_id long, start long")
     firsts = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("occurrences")).filter("occurrences > 1")
@@ -224,14 +246,17 @@ def repeats(docs: DataFrame, least: int = LEAST, split: int = SPLIT) -> DataFram
     """(doc_id, start, length, occurrences, first_doc, first_start): every string of at least ``least`` bytes that occurs earlier, and where."""
     texts = _keyed(docs)
     found = pieces_of(texts, least)
-    shared = found.groupBy("place").agg(F.count("*").alias("rows"), F.max("twice").alias("twice")).filter("rows > 1 or twice").select("place")
+    twice = F.max(F.col("at").bitwiseAND(F.lit(1)))
+    shared = found.groupBy("place").agg(F.count("*").alias("rows"), twice.alias("twice")).filter("rows > 1 or twice = 1").select("place")
     found = written(found.join(shared, "place", "left_semi"))
-    kinds = written(found.groupBy("place", "piece").agg(F.min(F.struct("doc_id", "start", "n")).alias("first"), F.max("twice").alias("twice"), F.count("*").alias("occurrences")))
-    copies = found.join(kinds.filter("occurrences > 1"), ["place", "piece"]).filter("first.doc_id != doc_id or first.start != start")
-    copies = copies.select("doc_id", "start", (F.col("n") + (least - 1)).alias("length"), "occurrences", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
-    varied = kinds.groupBy("place").agg(F.count("*").alias("kinds"), F.max("twice").alias("twice"), F.max("first.n").alias("n")).filter("kinds > 1 or twice")
-    varied = varied.select("place", ((F.col("kinds") > split) | (F.col("n") > LONG)).alias("split"))
-    wanted = kinds.select("first.*", "place", "piece").join(varied, "place")
+    kinds = written(found.groupBy("place", "piece").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("occurrences")))
+    copies = found.join(kinds.filter("occurrences > 1"), ["place", "piece"]).filter("first.doc_id != doc_id or first.at != at")
+    length = (windows_of(F.col("at")) + (least - 1)).alias("length")
+    copies = copies.select("doc_id", start_of(F.col("at")).alias("start"), length, "occurrences", F.col("first.doc_id").alias("first_doc"), start_of(F.col("first.at")).alias("first_start"))
+    firsts = kinds.select("place", "piece", "first.doc_id", "first.at")
+    varied = firsts.groupBy("place").agg(F.count("*").alias("kinds"), twice.alias("twice"), F.sum(windows_of(F.col("at"))).alias("windows")).filter("kinds > 1 or twice = 1")
+    varied = varied.select("place", (F.col("windows") > split).alias("split"))
+    wanted = firsts.join(varied, "place").select("doc_id", start_of(F.col("at")).alias("start"), windows_of(F.col("at")).alias("n"), "place", "piece", "split")
     strings = written(cut_out(texts, wanted, least))
     return copies.unionByName(sorted_repeats(strings.filter("not split"), least)).unionByName(counted_repeats(strings.filter("split"), least))
 

@@ -46,7 +46,7 @@ def test_all_are_registered():
 
 def test_byte_strings(spark):
     rng = random.Random(1)
-    for least, letters, split in ((12, "ab", 5), (12, "abcd", 1000), (40, "ab", 1000)):
+    for least, letters, split in ((12, "ab", 20), (12, "abcd", 40_000), (40, "ab", 40_000)):
         passages = ["".join(rng.choice(letters) for _ in range(least + 15)) for _ in range(4)]
         docs = []
         for i in range(60):
