@@ -264,8 +264,9 @@ def repeats(docs: DataFrame, least: int = LEAST, split: int = SPLIT) -> DataFram
 def without_repeats(docs: DataFrame, least: int = LEAST, split: int = SPLIT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary): each text without the bytes of strings that occur earlier; one row per row of ``docs``."""
     texts = _keyed(docs)
-    spans = repeats(docs, least, split).select("doc_id", "start", "length", "first_doc", "first_start")
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    spans = repeats(docs, least, split)
+    # written, so that the shuffles of the search are gone when the texts are shuffled
+    spans = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans")))
 
     def run(batches):
         for batch in batches:
