@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import written
+from leadloom.llm.fingerprint import bound
 
 DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 4, 0.75, 3, 3
 TOKEN, BLANK = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
@@ -35,25 +36,42 @@ def masked(column: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi, line, n, leaf) for every line that is long enough to be judged; lo and hi tell documents apart."""
-    rows = docs.select("doc_id", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
-    hashes = F.transform("lines", digest)
-    rows = rows.select("doc_id", F.array_min(hashes).alias("lo"), F.array_max(hashes).alias("hi"), F.explode("lines").alias("line"))
-    rows = rows.withColumn("n", F.regexp_count("line", F.lit(f"({TOKEN})"))).filter(F.col("n") >= MIN_TOKENS)
-    first = F.regexp_replace(masked(F.regexp_extract("line", FIRST, 1)), BLANK, " ")
-    return rows.withColumn("leaf", digest(F.concat(F.col("n").cast("string"), F.lit(":"), first)))
+    """(doc_id, lo, hi, line_hash, leaf) for every line that is long enough to be judged, without the line itself; lo and hi tell documents apart."""
+
+    def of(line):
+        n = F.regexp_count(line, F.lit(f"({TOKEN})"))
+        first = bound(F.regexp_extract(line, FIRST, 1), masked)
+        leaf = lambda n: digest(F.concat(n.cast("string"), F.lit(":"), F.regexp_replace(first, BLANK, " ")))
+        return bound(n, lambda n: F.struct(digest(line).alias("line_hash"), F.when(n >= MIN_TOKENS, leaf(n)).alias("leaf")))
+
+    def summed(lines):
+        hashes = F.transform(lines, lambda x: x["line_hash"])
+        return F.struct(F.array_min(hashes).alias("lo"), F.array_max(hashes).alias("hi"), F.filter(lines, lambda x: x["leaf"].isNotNull()).alias("lines"))
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", bound(F.transform(F.split(text, "\n"), of), summed).alias("s"))
+    return rows.select("doc_id", "s.lo", "s.hi", F.explode("s.lines").alias("x")).select("doc_id", "lo", "hi", "x.*")
+
+
+def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line_hash, tokens) of the lines in ``wanted`` (doc_id, line_hash), read from those documents."""
+    wanted = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_hash").alias("_lines"))
+    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    lines = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.array_contains("_lines", digest(x))))
+    tokens = F.regexp_extract_all(masked(F.col("line")), F.lit(f"({TOKEN})"))
+    return rows.select(F.explode(lines).alias("line")).select(digest(F.col("line")).alias("line_hash"), tokens.alias("tokens")).dropDuplicates(["line_hash"])
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, line_hash): the distinct lines of each document that go."""
-    rows = lines_of(docs)
+    rows = written(lines_of(docs))
     reached = rows.groupBy("leaf").agg(F.min("lo").alias("a"), F.max("lo").alias("b"), F.min("hi").alias("c"), F.max("hi").alias("d"))
     reached = reached.filter("a != b or c != d").select("leaf")  # copies of one document alone make no template
-    tokens = F.regexp_extract_all(masked(F.col("line")), F.lit(f"({TOKEN})"))
-    shared = written(rows.join(reached, "leaf", "left_semi").select("doc_id", "lo", "hi", "leaf", digest(F.col("line")).alias("line_hash"), tokens.alias("tokens")))
+    shared = written(rows.join(reached, "leaf", "left_semi"))
 
-    # a line counts once for each text of the leaf's lines, weighed by how often it stands there
-    kinds = shared.groupBy("leaf", "line_hash").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    # each different line once, weighed by how often it stands in its leaf
+    counted = written(shared.groupBy("leaf", "line_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")))
+    kinds = written(counted.join(tokens_of(docs, counted), "line_hash").select("leaf", "line_hash", "n", "tokens"))
     at = kinds.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
     most = at.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.sum("n").alias("all"))
     fixed = F.when(F.col("most.n") * 2 >= F.col("all"), F.col("most.token")).otherwise(F.lit("<*>"))
@@ -66,7 +84,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     docs_of = found.groupBy("template").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("lo").alias("lows"), F.countDistinct("hi").alias("highs"))
     unrelated = F.greatest("lows", "highs")
     going = docs_of.filter((unrelated >= min_docs) & (unrelated * 2 >= F.col("docs"))).select("template")
-    return found.join(going, "template", "left_semi").select("doc_id", "line_hash").distinct()
+    return written(found.join(going, "template", "left_semi").select("doc_id", "line_hash").distinct())
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counted_as: str | None = None) -> DataFrame:
