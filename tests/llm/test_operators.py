@@ -133,6 +133,19 @@ def test_items_within_an_edit_distance(spark):
     assert all(found[p] >= want[p] for p in found)
 
 
+@pytest.mark.parametrize("edits", [decontaminate.EDITS, 0.5])
+@pytest.mark.parametrize("n", [1, 2, 5, 40, 80, 150, 300])
+def test_long_items_with_deletions_at_the_limit(spark, n, edits):
+    rng = random.Random(n)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(n))) for i in range(20)]
+    docs = []
+    for i, item in items:
+        gone = set(rng.sample(range(n), decontaminate.allowed(n, edits)))
+        docs.append((i, f"{brute.prose(rng, 60)} {' '.join(w for at, w in enumerate(item.split()) if at not in gone)} {brute.prose(rng, 60)}"))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), edits)
+    assert {(i, i) for i, _ in items} <= {(r["doc_id"], r["item_id"]) for r in found.collect()}
+
+
 def test_exact_items_are_always_found(spark, con):
     items, docs = texts(con, "benchmark", "item_id"), texts(con)
     want = {(d, i) for d, t in docs for i, x in items if t and x in t}
