@@ -297,7 +297,7 @@ def txt04b(spark, sf):
     SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i)[1:4], ',') AS brands FROM f"""),
 )
 def txt05b(spark, sf):
-    return table(spark, sf, "projects").select("id", F.array_join(tx.brand_phrases(F.col("description"), vocab.SEARCH_STOP_WORDS), ",").alias("brands"))
+    return table(spark, sf, "projects").select("id", F.array_join(tx.brand_phrases(F.col("description"), vocab.SEARCH_STOP_WORDS, 4), ",").alias("brands"))
 
 
 @query(

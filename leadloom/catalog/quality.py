@@ -365,7 +365,7 @@ def agg18(spark, sf):
 def er09(spark, sf):
     from leadloom.operators.entities import prediction_snapshot
 
-    rows = prediction_snapshot(table(spark, sf, "contact_layers"))
+    rows = prediction_snapshot(table(spark, sf, "contact_layers"), 20)
     return rows.select("project_id", *[joined(c) for c in ("emails", "sites", "forms", "socials", "people", "evidence_urls")])
 
 

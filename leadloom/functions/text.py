@@ -126,15 +126,16 @@ def short_title(title: Column) -> Column:
     return F.trim(squash(bare), F.lit(" -–—|｜:："))
 
 
-def brand_phrases(text: Column, stop_words, limit: int = 4) -> Column:
-    """First title-case phrases; a single common word is no brand."""
+def brand_phrases(text: Column, stop_words, limit: int | None = None) -> Column:
+    """Title-case phrases, at most the first ``limit``; a single common word is no brand."""
     pattern = r"\b([A-Z][A-Za-z0-9&']+(?:\s[A-Z][A-Za-z0-9&']+){0,2})\b"
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), squash)
     kept = F.filter(
         found,
         lambda w: (F.length(w) >= 3) & (F.contains(w, F.lit(" ")) | ~F.lower(w).isin(*stop_words)),
     )
-    return F.slice(let(kept, unique_ignoring_case), 1, limit)
+    phrases = let(kept, unique_ignoring_case)
+    return phrases if limit is None else F.slice(phrases, 1, limit)
 
 
 def name_script(name: Column) -> Column:

@@ -229,14 +229,14 @@ def interpret_japan(
         F.transform(F.filter(channels, lambda c: st(c).isin("found", "limited", "not_found")), lambda c: F.nullif(c["search_url"], F.lit("")))
     )
     label = lambda c: F.coalesce(F.nullif(c["label"], F.lit("")), key(c))
-    evidence = F.slice(F.transform(found, lambda c: F.concat(label(c), F.lit(": "), st(c))), 1, 8)
+    evidence = F.transform(found, lambda c: F.concat(label(c), F.lit(": "), st(c)))
     empty = F.array().cast("array<string>")
     return {
         "japan_state": state,
         "japan_result": result,
         "japan_confidence": confidence.cast("int"),
         "japan_evidence": F.when(done, evidence).otherwise(empty),
-        "japan_source_urls": F.when(done, F.slice(F.array_sort(F.array_distinct(links)), 1, 8)).otherwise(empty),
+        "japan_source_urls": F.when(done, F.array_sort(F.array_distinct(links))).otherwise(empty),
         **({"japan_checked_at": F.when(~active, checked_at)} if checked_at is not None else {}),
     }
 

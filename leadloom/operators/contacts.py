@@ -389,7 +389,7 @@ def contact_summary(pages: DataFrame, projects: DataFrame) -> DataFrame:
         .groupBy("project_id", "link")
         .agg(F.first("relevant").alias("relevant"), F.min(F.struct("page_position", "position")).alias("seen"))
         .groupBy("project_id")
-        .agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("seen", "link", "relevant"))), lambda d: F.struct(d["link"].alias("link"), d["relevant"].alias("relevant"))), 1, 6).alias("documents"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "link", "relevant"))), lambda d: F.struct(d["link"].alias("link"), d["relevant"].alias("relevant"))).alias("documents"))
     )
 
     own = F.coalesce((F.col("official_domain") != "") & F.endswith(urls.netloc(F.col("url")), F.col("official_domain")), F.lit(False))

@@ -267,10 +267,10 @@ def requeue_candidates(outreach: DataFrame, projects: DataFrame, contacts: DataF
 
 # --- predictions ------------------------------------------------------------------------------
 
-def prediction_snapshot(layers: DataFrame, evidence_cap: int = 20) -> DataFrame:
+def prediction_snapshot(layers: DataFrame, evidence_cap: int | None = None) -> DataFrame:
     """``contact_layer(project_id, layer_rank, kind, value)`` to one row per project with
-    unique values per kind in layer order; evidence URLs are capped, projects without
-    any signal drop out."""
+    unique values per kind in layer order, at most ``evidence_cap`` evidence URLs; projects
+    without any signal drop out."""
     first = (
         layers.filter(F.trim(F.coalesce("value", F.lit(""))) != "")
         .groupBy("project_id", "kind", F.lower(F.trim("value")).alias("folded"))
@@ -279,7 +279,7 @@ def prediction_snapshot(layers: DataFrame, evidence_cap: int = 20) -> DataFrame:
     listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("f")))), lambda x: x["value"])
     out = first.groupBy("project_id").agg(
         listed("email").alias("emails"), listed("site").alias("sites"), listed("form").alias("forms"), listed("social").alias("socials"),
-        listed("person").alias("people"), F.slice(listed("evidence"), 1, evidence_cap).alias("evidence_urls"),
+        listed("person").alias("people"), (listed("evidence") if evidence_cap is None else F.slice(listed("evidence"), 1, evidence_cap)).alias("evidence_urls"),
     )
     signals = [F.size(c) for c in ("emails", "sites", "forms", "socials", "people")]
     return out.filter(sum(signals, F.lit(0)) > 0)

@@ -515,7 +515,7 @@ def regulatory_checks(text: Column) -> Column:
             contains_any(text, words),
             F.struct(
                 F.lit(item).alias("item"),
-                F.slice(F.array_sort(codes(*[(w, F.contains(text, F.lit(w))) for w in words])), 1, 5).alias("terms"),
+                F.array_sort(codes(*[(w, F.contains(text, F.lit(w))) for w in words])).alias("terms"),
             ),
         )
         for item, words in vocab.REGULATORY_CHECKS.items()

@@ -225,7 +225,7 @@ def match_makers(projects: DataFrame, makers: DataFrame) -> DataFrame:
     maker's id follows the largest existing one.
     """
     site = F.when(urls.is_business_url(F.col("maker_url")), F.trim(F.col("maker_url")))
-    label = F.coalesce(F.nullif(F.col("maker_name"), F.lit("")), F.substring(F.col("title"), 1, 255))
+    label = F.coalesce(F.nullif(F.col("maker_name"), F.lit("")), F.col("title"))
     rows = projects.select(
         "id",
         "maker_id",

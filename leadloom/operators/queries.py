@@ -148,8 +148,8 @@ def slugs(source_url: Column, maker_url: Column) -> Column:
     return let_all({"a": _slugs_of(source_url), "b": _slugs_of(maker_url)}, pick)
 
 
-def guessed_domains(brand: Column, slug: Column, project_slug: Column, cap: int = 18) -> Column:
-    """Likely site roots from slugs and the brand, in order."""
+def guessed_domains(brand: Column, slug: Column, project_slug: Column, cap: int | None = None) -> Column:
+    """Likely site roots from slugs and the brand, in order, at most ``cap``."""
     bare = F.transform(F.array(slug, project_slug, brand), lambda n: F.regexp_replace(F.lower(F.coalesce(n, F.lit(""))), r"[^a-z0-9]", ""))
     names = F.array_distinct(F.filter(bare, lambda n: F.length(n) >= 3))
     hosts = F.flatten(
@@ -161,7 +161,8 @@ def guessed_domains(brand: Column, slug: Column, project_slug: Column, cap: int
             ),
         )
     )
-    return F.slice(F.array_distinct(F.transform(hosts, lambda h: F.concat(F.lit("https://"), h))), 1, cap)
+    roots = F.array_distinct(F.transform(hosts, lambda h: F.concat(F.lit("https://"), h)))
+    return roots if cap is None else F.slice(roots, 1, cap)
 
 
 # --- web queries -------------------------------------------------------------------------------
