@@ -283,13 +283,19 @@ def contents(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFram
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = shingle_sets(part.column(1))
-                keep = [i for i, s in enumerate(sets) if set_id(s) == part.column(0)[i].as_py()]  # an id may stand on several rows
+                numbers = [set_id(s) if len(s) else None for s in sets]
+                # an id may stand on several rows; without one, any set may be wanted
+                keep = [i for i, n in enumerate(numbers) if n is not None and part.column(0)[i].as_py() in (n, None)]
                 at = np.cumsum([0, *[len(sets[i]) for i in keep]])
                 flat = np.concatenate([np.zeros(0, np.uint64), *[sets[i] for i in keep]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["set", "tokens"])
-
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sources, "doc_id").select("wanted", "text")
-    return rows.mapInArrow(run, "set long, tokens array<long>")
+                yield pa.RecordBatch.from_arrays([pa.array([numbers[i] for i in keep], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["set", "tokens"])
+
+    schema = "set long, tokens array<long>"
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    named = texts.join(sources, "doc_id").select("wanted", "text").mapInArrow(run, schema)
+    # sets that stand on rows without an id only are found by their number
+    nameless = texts.filter("doc_id is null").select(F.lit(None).cast("long").alias("wanted"), "text").mapInArrow(run, schema).dropDuplicates(["set"])
+    return named.unionByName(nameless.join(sources.filter("doc_id is null").select(F.col("wanted").alias("set")), "set", "left_semi"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

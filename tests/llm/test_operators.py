@@ -240,6 +240,14 @@ def test_linked_groups(spark, monkeypatch, short):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.groups(rows)
 
 
+def test_rows_without_an_id_link_others(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(7, " ".join(words[:86])), (None, " ".join(words)), (9, " ".join(words[14:])), (None, "a text of its own that is near no other")]
+    rows += [(20, brute.prose(random.Random(12), 60))]
+    got = ngram_join.linked_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["n_shingles"] > 60) == [(82, 7), (82, 7), (96, 7)]
+
+
 def test_frequent_shingles_are_indexed_in_pairs():
     import numpy as np
 
