@@ -1,7 +1,7 @@
 """Language of a text: known words by per-language log frequency, unseen words by ever shorter character n-grams.
 
-``learn`` counts words of labelled texts in Spark and keeps a table of bounded size: for each language the most frequent words, and the
-most frequent n-grams of each length. ``predict`` is one narrow pass: a known word adds its log probability in each language; an unseen
+``learn`` counts words of labelled texts in Spark and keeps a table of bounded size: the most frequent words of each language, and the
+most frequent n-grams of each length, with their counts in every language. ``predict`` is one narrow pass: a known word adds its log probability in each language; an unseen
 word adds the mean, over its positions, of the longest known n-gram there (lengths ``LONGEST`` down to 1).
 
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the language first in order. Rows are judged one by one, so repeated
@@ -42,7 +42,7 @@ def learn(labelled: DataFrame, docs_per_language: int = 4000, words_per_language
         .groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
     )
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = words.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= words_per_language)
+    top = words.withColumn("at", F.row_number().over(best)).withColumn("at", F.min("at").over(Window.partitionBy("word"))).filter(F.col("at") <= words_per_language)
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     starts = F.sequence(F.lit(1), F.length("padded"))
     grams = words.withColumn("padded", padded).select(
@@ -50,7 +50,7 @@ def learn(labelled: DataFrame, docs_per_language: int = 4000, words_per_language
     )
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("k", F.length("gram"))
     best = Window.partitionBy("lang", "k").orderBy(F.desc("n"), "gram")
-    short = grams.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= grams_per_length)
+    short = grams.withColumn("at", F.row_number().over(best)).withColumn("at", F.min("at").over(Window.partitionBy("gram"))).filter(F.col("at") <= grams_per_length)
     languages = sorted(sizes)
     at = {lang: i for i, lang in enumerate(languages)}
 

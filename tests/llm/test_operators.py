@@ -1,5 +1,6 @@
 """The operators against plain restatements on random rows, and their queries against SQL."""
 
+import math
 import random
 from collections import Counter
 
@@ -306,6 +307,13 @@ def test_languages(spark):
     assert scorer.judge("12 34 !")[0] == "und" and len(scorer.backoff("abab")) > 0
 
 
+def test_kept_words_have_their_counts_in_every_language(spark):
+    docs = [(i, "common rare" if i else "common", "aa") for i in range(10)] + [(10 + i, "rare", "bb") for i in range(10)]
+    tables = langid.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"), words_per_language=1, grams_per_length=1)
+    assert abs(float(tables["words"]["rare"][0]) - math.log(9.5 / 20)) < 1e-6  # 9 of 19, and a half for each of two words
+    assert abs(float(tables["grams"]["^rare"][0]) - math.log(9.5 / 20)) < 1e-6
+
+
 def test_language_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op10_language(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
