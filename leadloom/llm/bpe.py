@@ -23,6 +23,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadloom.llm.common import built
+
 # Fixed value: the split of words, numbers, signs and white space that the byte-level vocabulary was made with.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 CACHED = 1 << 20
@@ -152,14 +154,11 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[int, tuple[dict, Codec]] = {}
 
 
 def codec(tables: Broadcast) -> Codec:
-    if id(tables.value) not in _codecs:
-        _codecs.clear()
-        _codecs[id(tables.value)] = Codec(tables.value)
-    return _codecs[id(tables.value)]
+    return built(_codecs, tables.value, Codec)
 
 
 def tokenizer(spark: SparkSession, path: str) -> Broadcast:

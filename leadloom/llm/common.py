@@ -58,6 +58,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def built(held: dict, value, build):
+    """``build(value)``, made once for a broadcast value in a Python worker. The value is held beside it, or a later one could get its id."""
+    if id(value) not in held:
+        held.clear()
+        held[id(value)] = value, build(value)
+    return held[id(value)][1]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, so that all its bits depend on all bits of ``x``."""
     with np.errstate(over="ignore"):

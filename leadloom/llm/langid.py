@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leadloom.llm.common import built
+
 LONGEST = 5
 CACHED = 1 << 18
 
@@ -116,7 +118,7 @@ class Scorer:
         return self.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[int, tuple[dict, Scorer]] = {}
 
 
 def predict(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,11 +126,7 @@ def predict(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches):
-        key = id(shared.value)
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        own = _scorers[key]
+        own = built(_scorers, shared.value, Scorer)
         for batch in batches:
             judged = [own.judge(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(

@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from leadloom.domain import BASE_TABLES
 from leadloom.llm import bpe, components, decontaminate, fingerprint, langid, lines, ngram_join, quality, queries, rollup, suffix_dedup, warc
-from leadloom.llm.common import shared_folder, table, written
+from leadloom.llm.common import built, shared_folder, table, written
 from tests.llm import brute
 from tools.compare import rows_of
 
@@ -295,6 +295,11 @@ def test_copied_documents_keep_their_lines_and_templates_go(spark):
         assert got[d] == (text if d >= 100 else text.split("\n")[0])
 
 
+def test_worker_caches_answer_for_their_own_value():
+    held = {}
+    assert [built(held, [i], lambda v: v[0]) for i in range(1000)] == [*range(1000)]
+
+
 def test_languages(spark):
     rng = random.Random(11)
     kinds = {"aa": "abcde", "bb": "defgh", "cc": "hijkl"}
