@@ -7,7 +7,8 @@ equal windows are always filed under the same hash, so each hash can be worked o
 * Of the pieces that differ but share their hash, those of all windows' starts are sorted into a suffix array with common prefix lengths. One scan with a
   stack visits the tree of common-prefix intervals; an interval of at least ``least`` bytes whose occurrences are preceded by different
   bytes is a maximal repeat. Each occurrence is put out once, under the longest maximal repeat in which it is not the earliest,
-  together with the repeat's length, its number of occurrences and its earliest one: with the tree's nesting these are all occurrences of all.
+  together with the repeat's length, its number of occurrences and its earliest one. Only the first
+  of equal pieces is in the array, so occurrences counts different pieces, and a repeat that spans several pieces comes out in parts.
 * Hashes with more than ``SPLIT`` windows in different pieces are not sorted in one task: their windows are grouped by content in Spark.
 
 Windows are 64-bit hashes when they are compared across tasks. The order of strings is (doc_id, start); a null id comes first. Rows with the same id are
