@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, decontaminate, fingerprint, langid, lines, ngram_join, quality, rollup, suffix_dedup, warc
+from leadloom.llm import bpe, decontaminate, fim, fingerprint, langid, licenses, lines, ngram_join, periodic, quality, rollup, suffix_dedup, warc
 from leadloom.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -117,7 +117,41 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return langid.predict(docs, tables).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text cut at line ends, and the text rebuilt from the output."""
+    rows = fim.fill_in_middle(table(spark, sf, "documents"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of every document, a tenth of which get words that repeat."""
+    rows = periodic.periodic_runs(periodic.with_planted_repeats(table(spark, sf, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = rows.withColumn("best", periodic.strongest(F.col("runs")))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases and licence notices of every document."""
+    rows = licenses.scan(table(spark, sf, "documents"))
+    joined = lambda *labels: F.array_join(F.array_sort(F.array_distinct(F.concat(*labels))), ",")
+    starts, base, spans = F.col("phrases.start"), F.col("phrases.label"), F.col("spans.label")
+    return rows.select(
+        "doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"), joined(base, spans).alias("labels"), "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_warc, op4_decontaminate, op5_token_counts, op6_quality, op7_line_dedup, op8_fingerprints, op9_ngram_join, op10_language)
+    f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_warc, op4_decontaminate, op5_token_counts, op6_quality, op7_line_dedup, op8_fingerprints, op9_ngram_join, op10_language,
+                              op11_fill_in_middle, op12_periodic_runs, op13_license_scan)
 }
-ORACLE: dict[str, str] = {"op3_warc": OP3, "op5_token_counts": OP5, "op7_line_dedup": lines.ORACLE, "op8_fingerprints": fingerprint.ORACLE}
+ORACLE: dict[str, str] = {"op3_warc": OP3, "op5_token_counts": OP5, "op7_line_dedup": lines.ORACLE, "op8_fingerprints": fingerprint.ORACLE, "op11_fill_in_middle": fim.ORACLE}

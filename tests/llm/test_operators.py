@@ -42,7 +42,7 @@ def texts(con, name="documents", key="doc_id", column="text"):
 def test_all_are_registered():
     names = set(entry.queries())
     assert {*queries.QUERIES, "pipeline"} <= names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_byte_strings(spark):
