@@ -171,6 +171,11 @@ SELECT {_owner(5)}, {_SCORED}, {_pick('l_suppkey', ('queued', 'running', 'comple
   l_shipdate AS started_at, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_shipdate END AS heartbeat_at,
   CASE WHEN l_suppkey % 5 IN (2, 3, 4) THEN l_shipdate ELSE NULL END AS finished_at
 FROM {{lineitem}}"""
+# signs of life of jobs: the start, and the newest one some time after it
+DOMAIN["beats"] = """
+SELECT id AS job_id, project_id, 'running' AS status, created_at AS seen_at FROM {jobs} WHERE status <> 'queued'
+UNION ALL
+SELECT id AS job_id, project_id, status, coalesce(heartbeat_at, started_at, created_at) + (INTERVAL '40' SECOND) * CAST(id % 5 AS INT) AS seen_at FROM {jobs} WHERE status <> 'queued'"""
 DOMAIN["people"] = f"""
 SELECT {_owner(6)}, {_SCORED}, s_name AS name, {_pick('l_suppkey', ('CEO', 'Head of Partnerships', 'Customer Support', 'Marketing Manager'))} AS title,
   CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE CAST((l_suppkey * 11) % 101 AS INT) END AS priority, CAST((l_suppkey * 3) % 101 AS INT) AS confidence

@@ -1,22 +1,23 @@
 """Stateful processing: current status, source health, capture intake, stale jobs.
 
 State is keyed (project, site, job), so it is spread like the keys. A micro-batch
-hands a key its new rows as Arrow batches; a processor never holds more than its own
-bounded state plus one batch.
+hands a key its new rows as Arrow batches, which a processor reads one after the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leadloom import vocab
 from leadloom.functions.text import any_of
-from leadloom.operators.entities import rank_within
+from leadloom.operators.entities import cut_lineage
 from leadloom.operators.history import last_n
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,93 +33,194 @@ def use_row_state(spark) -> None:
 
 # --- current status ------------------------------------------------------------------------
 
-STATUS_OUTPUT = "project_id long, event_id long, from_status string, to_status string, accepted boolean, at timestamp"
+STATUS_OUTPUT = "project_id long, event_id long, from_status string, to_status string, accepted boolean, at long, late boolean"
+FIRST_STATE = "not_started"
+
+
+def step(state: str, to_status: str) -> tuple[str, bool] | None:
+    """Target and legality of an event, None for one that repeats the state."""
+    target = "contract_agreed" if to_status == "won" else to_status
+    return None if target == state else (target, target in vocab.STATUS_TRANSITIONS.get(state, ()))
+
+
+def project_of(key: tuple):
+    """A null in a group key would turn the keys beside it into floats, so it is a flag of its own."""
+    return None if key[0] else key[1]
 
 
 class StatusTracker(StatefulProcessor):
-    """Applies status events of one project in time order; an illegal transition is
-    reported and changes nothing, a repeated state says nothing."""
+    """Applies status events of one project in the order of (created_at, id).
+
+    Events wait until the watermark has passed them, so neither the order of arrival nor the cut into micro-batches
+    decides what follows. An illegal transition is reported and changes nothing, a repeated state says nothing. An event
+    that comes after a later one was applied is reported as ``late`` and changes nothing.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "status string")
+        self.handle = handle
+        self.current = handle.getValueState("current", "status string, at long, id long")
+        self.waiting = handle.getListState("waiting", "at long, id long, to_status string")
+        self.armed = handle.getValueState("armed", "at long")
+
+    def _state(self) -> tuple:
+        return self.current.get() if self.current.exists() else (FIRST_STATE, None, None)
+
+    def _arm(self, at: int) -> None:
+        """One timer per project: at its earliest event that waits, in whole milliseconds after it."""
+        if self.armed.exists():
+            if self.armed.get()[0] <= at:
+                return
+            self.handle.deleteTimer(self.armed.get()[0])
+        self.armed.update((at,))
+        self.handle.registerTimer(at)
+
+    @staticmethod
+    def _out(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["project_id", "event_id", "from_status", "to_status", "accepted", "at", "late"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.current.get()[0] if self.current.exists() else "not_started"
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["created_at", "id"], kind="stable")
+        state, done_at, done_id = self._state()
+        for batch in rows:  # one Arrow batch of the project at a time
+            events = list(zip(batch["at"].tolist(), batch["id"].tolist(), batch["to_status"].tolist()))
+            late = [e for e in events if done_at is not None and (e[0], e[1]) <= (done_at, done_id)]
+            waiting = [e for e in events if done_at is None or (e[0], e[1]) > (done_at, done_id)]
+            if waiting:
+                self.waiting.appendList(waiting)
+                self._arm(-(-min(e[0] for e in waiting) // 1000))
+            yield self._out([(project_of(key), id, state, to_status, False, at, True) for at, id, to_status in late])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.armed.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        for event in self.waiting.get():
+            (due if event[0] <= passed else later).append(tuple(event))
+        state, at, id = self._state()
         out = []
-        for event in events.itertuples(index=False):
-            target = "contract_agreed" if event.to_status == "won" else event.to_status
-            if target == state:
-                continue
-            legal = target in vocab.STATUS_TRANSITIONS.get(state, ())
-            out.append((key[0], event.id, state, target, legal, event.created_at))
-            state = target if legal else state
-        self.current.update((state,))
-        yield pd.DataFrame(out, columns=["project_id", "event_id", "from_status", "to_status", "accepted", "at"])
+        for at, id, to_status in sorted(due, key=lambda e: (e[0], e[1])):
+            taken = step(state, to_status)
+            if taken:
+                target, legal = taken
+                out.append((project_of(key), id, state, target, legal, at, False))
+                state = target if legal else state
+        self.current.update((state, at, id))
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+            self._arm(-(-min(e[0] for e in later) // 1000))
+        yield self._out(out)
 
     def close(self) -> None:
         pass
 
 
 def status_changes(events: DataFrame) -> DataFrame:
-    """Stream of ``events(id, project_id, to_status, created_at)`` to accepted and rejected
-    changes."""
+    """Stream of ``events(id, project_id, to_status, created_at)``, with a watermark on ``created_at``, to accepted and
+    rejected changes."""
     use_row_state(events.sparkSession)
-    return events.groupBy("project_id").transformWithStateInPandas(
-        statefulProcessor=StatusTracker(), outputStructType=STATUS_OUTPUT, outputMode="Append", timeMode="None"
+    key = [F.col("project_id").isNull().alias("none"), F.coalesce("project_id", F.lit(0)).cast("long").alias("project")]
+    rows = events.select(*key, "id", "to_status", F.unix_micros("created_at").alias("at"), "created_at")
+    found = rows.groupBy("none", "project").transformWithStateInPandas(
+        statefulProcessor=StatusTracker(), outputStructType=STATUS_OUTPUT, outputMode="Append", timeMode="EventTime"
     )
-
-
-def _next_state(state, target):
-    allowed = any_of([(state == src) & target.isin(*to) for src, to in vocab.STATUS_TRANSITIONS.items()])
-    return F.when(allowed, target).otherwise(state)
-
-
-def status_history(events: DataFrame, chunk: int = 4096) -> DataFrame:
-    """The same changes for a whole table of events, however many a project has.
-
-    Which state follows depends on all events before, but a run of events is a
-    function from start state to end state, and such functions compose. Events are
-    numbered per project without gathering it, cut into chunks, each chunk is reduced
-    to its function, the functions of a project are chained, and every chunk is then
-    replayed from its own start state.
+    return found.withColumn("at", F.timestamp_micros("at"))
+
+
+STATES = vocab.SALES_STATUSES
+_STEP_ROWS = "project_id long, event_id long, at long, to_status string, before binary, part int, kind string"
+_STEP_KIND = pa.schema([("project_id", pa.int64()), ("event_id", pa.int64()), ("at", pa.int64()), ("to_status", pa.string()), ("before", pa.binary()), ("part", pa.int32()), ("kind", pa.string())])
+
+
+def _transitions() -> dict[str, np.ndarray]:
+    """For each target the state after an event, by the number of the state before it."""
+    table = {target: np.arange(len(STATES), dtype=np.uint8) for target in STATES}
+    for source, targets in vocab.STATUS_TRANSITIONS.items():
+        for target in targets:
+            table[target][STATES.index(source)] = STATES.index(target)
+    return table
+
+
+class _Walk:
+    """A partition of sorted events, read one after the other.
+
+    A project that may have begun in an earlier partition has an unknown start, so it is walked from every start at once: ``states`` holds
+    the state for each of them. Projects that begin here start at the first state, and hold one number."""
+
+    def __init__(self, project, part) -> None:
+        self.first = self.project = project
+        self.part = part
+        self.head = self.states = np.arange(len(STATES), dtype=np.uint8)
+
+    def reach(self, project) -> None:
+        if project != self.project:
+            self.project, self.states = project, np.array([STATES.index(FIRST_STATE)], np.uint8)
+
+    def apply(self, following: np.ndarray | None) -> None:
+        if following is not None:  # an unknown target changes nothing
+            self.states = following[self.states]
+            if self.project == self.first:
+                self.head = self.states
+
+    def sums(self) -> list[tuple]:
+        """The map from start to end state of the first project, and the end of the last one (one byte if its start is known)."""
+        return [(self.first, None, None, None, bytes(self.head), self.part, "head"), (self.project, None, None, None, bytes(self.states), self.part, "tail")]
+
+
+def _walked_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every event with the state before it, for each start that is possible, and the sums of each partition."""
+    following, walk = _transitions(), None
+    made = lambda rows: pa.RecordBatch.from_pylist([dict(zip(_STEP_KIND.names, r)) for r in rows], schema=_STEP_KIND)
+    for batch in batches:
+        rows = []
+        for project, id, at, to_status, part in zip(*(batch.column(c).to_pylist() for c in ("project_id", "id", "at", "to_status", "part"))):
+            if walk is None or walk.part != part:
+                rows += walk.sums() if walk else []
+                walk = _Walk(project, part)
+            walk.reach(project)
+            rows.append((project, id, at, to_status, bytes(walk.states), part, "event"))
+            walk.apply(following.get(to_status))
+        yield made(rows)
+    if walk:
+        yield made(walk.sums())
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Start state of each partition's first project, from one row for each partition in order."""
+    carried, state = (), STATES.index(FIRST_STATE)  # no project equals an empty tuple
+    for batch in batches:
+        parts, begins = [], []
+        for part, first, head, last, tail in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "head", "last", "tail"))):
+            begins.append(state if first == carried else STATES.index(FIRST_STATE))
+            parts.append(part)
+            state = head[begins[-1]] if last == first else tail[0]
+            carried = last
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(begins, pa.int32())], names=["part", "begin"])
+
+
+def status_history(events: DataFrame) -> DataFrame:
+    """The changes of a whole table of events, however many a project has.
+
+    Which state follows depends on all events before, but a run of events is a function from start state to end state,
+    and such functions compose. Events are sorted over range partitions, which may cut a project anywhere, and each
+    partition is walked once, from all start states where the start is unknown. A second scan over one row for each
+    partition carries the states across; it is all that a task reads of every partition, and all that is broadcast.
+    Events without a project belong to one project of their own.
     """
     target = F.when(F.col("to_status") == "won", F.lit("contract_agreed")).otherwise(F.col("to_status"))
-    ranked = rank_within(events.withColumn("target", target), ["project_id"], ["created_at", "id"], "seq")
-    ranked = ranked.withColumn("chunk", F.floor((F.col("seq") - 1) / chunk))
-    chunks = ranked.groupBy("project_id", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "id", "target", F.col("created_at").alias("at")))).alias("events")
-    )
-    states = F.array(*[F.lit(s) for s in vocab.SALES_STATUSES])
-    ends = F.array(*[F.aggregate("events", F.lit(s), lambda st, e: _next_state(st, e["target"])) for s in vocab.SALES_STATUSES])
-    chained = (
-        chunks.select("project_id", "chunk", ends.alias("ends"))
-        .groupBy("project_id")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "ends"))).alias("steps"))
-    )
-    starts = F.aggregate(
-        "steps",
-        F.array(F.lit("not_started")),
-        lambda acc, step: F.array_append(acc, F.get(step["ends"], F.array_position(states, F.element_at(acc, -1)).cast("int") - 1)),
-    )
-    starts = chained.select("project_id", F.posexplode(F.slice(starts, 1, F.size("steps"))).alias("n", "start"), "steps")
-    starts = starts.select("project_id", F.get("steps", F.col("n"))["chunk"].alias("chunk"), "start")
-    walk = F.aggregate(
-        "events",
-        F.array(F.struct(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("from_status"), F.lit(None).cast("string").alias("to_status"), F.col("start").alias("state"), F.lit(None).cast("timestamp").alias("at"))),
-        lambda acc, e: F.array_append(
-            acc,
-            F.struct(
-                e["id"].alias("id"), F.element_at(acc, -1)["state"].alias("from_status"), e["target"].alias("to_status"),
-                _next_state(F.element_at(acc, -1)["state"], e["target"]).alias("state"), e["at"].alias("at"),
-            ),
-        ),
-    )
-    replayed = chunks.join(starts, ["project_id", "chunk"]).select("project_id", F.explode(walk).alias("c"))
-    changed = replayed.filter(F.col("c.id").isNotNull() & (F.col("c.from_status") != F.col("c.to_status")))
-    return changed.select(
-        "project_id", F.col("c.id").alias("event_id"), "c.from_status", "c.to_status", (F.col("c.state") == F.col("c.to_status")).alias("accepted"), "c.at"
+    narrow = events.select("project_id", F.col("id"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), target.alias("to_status"))
+    ordered = narrow.repartitionByRange("project_id", "at", "id").sortWithinPartitions("project_id", "at", "id")
+    rows = cut_lineage(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_walked_parts, _STEP_ROWS))
+    sums = rows.filter("kind <> 'event'").groupBy("part").agg(
+        *[F.max(F.when(F.col("kind") == k, F.col(c))).alias(name) for k, c, name in (("head", "project_id", "first"), ("head", "before", "head"), ("tail", "project_id", "last"), ("tail", "before", "tail"))]
     )
+    begins = sums.coalesce(1).sortWithinPartitions("part").mapInArrow(_chained, "part int, begin int")
+    names = F.array(*[F.lit(s) for s in STATES])
+    found = rows.filter("kind = 'event'").join(F.broadcast(begins), "part")
+    at = F.when(F.length("before") == 1, F.lit(1)).otherwise(F.col("begin") + 1)
+    before = F.conv(F.hex(F.substring(F.col("before"), at, F.lit(1))), 16, 10).cast("int")
+    found = found.withColumn("from_status", F.get(names, before)).filter(~F.col("from_status").eqNullSafe(F.col("to_status")))
+    legal = F.col("to_status").isNotNull() & any_of([(F.col("from_status") == s) & F.col("to_status").isin(*t) for s, t in vocab.STATUS_TRANSITIONS.items()])
+    return found.select("project_id", "event_id", "from_status", "to_status", legal.alias("accepted"), F.timestamp_micros("at").alias("at"))
 
 
 def current_status(changes: DataFrame) -> DataFrame:
@@ -191,73 +293,134 @@ def presift_runs(runs: DataFrame, window: int = 20) -> DataFrame:
 
 # --- stale jobs --------------------------------------------------------------------------------
 
-STALE_OUTPUT = "job_id long, project_id long, status string"
+STALE_OUTPUT = "job_id long, project_id long, status string, at long"
 
 
 class HeartbeatWatch(StatefulProcessor):
-    """One job: a running state arms a timer, every sign of life renews it, a finished
-    state disarms it; an expired timer reports the job as timed out."""
+    """One job: a running sign arms a timer ``stale_ms`` after it, every later sign of life renews it, any other state
+    disarms it. Silence longer than that is reported once, with the instant the job became stale.
+
+    Signs wait until the watermark has passed them and are then read in order of time, so neither their order of arrival nor the cut into
+    micro-batches decides what is reported. A sign that is not newer than the last one read renews nothing.
+    """
 
     def __init__(self, stale_ms: int) -> None:
         self.stale_ms = stale_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.project = handle.getValueState("project", "project_id long")
+        self.last = handle.getValueState("last", "seen long, running boolean, project_id long, armed long")  # one value, one read
+        self.waiting = handle.getListState("waiting", "seen long, stopped boolean, project_id long")
+
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["job_id", "project_id", "status", "at"])
 
-    def _disarm(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _arm(self, at: int, armed: int | None) -> int:
+        """One timer per job: at its earliest sign that waits, or when it becomes stale."""
+        if armed is not None:
+            if armed <= at:
+                return armed
+            self.handle.deleteTimer(armed)
+        self.handle.registerTimer(at)
+        return at
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows), ignore_index=True).sort_values("seen_at", kind="stable").iloc[-1]
-        self._disarm()
-        if last["status"] == "running":
-            self.project.update((int(last["project_id"]),))
-            self.handle.registerTimer(int(last["seen_at"].timestamp() * 1000) + self.stale_ms)
-        elif self.project.exists():
-            self.project.clear()
-        yield pd.DataFrame(columns=["job_id", "project_id", "status"])
+        seen, running, project, armed = self.last.get() or (None, False, None, None)
+        for batch in rows:
+            projects = [None if pd.isna(p) else int(p) for p in batch["project_id"]]
+            signs = [(at, status != "running", p) for at, status, p in zip(batch["seen_ms"].tolist(), batch["status"].tolist(), projects)]
+            signs = [s for s in signs if seen is None or s[0] > seen]
+            if signs:
+                self.waiting.appendList(signs)
+                held, armed = armed, self._arm(min(s[0] for s in signs), armed)
+                if armed != held:
+                    self.last.update((seen, running, project, armed))
+        yield self._out([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        project = self.project.get()[0] if self.project.exists() else None
-        self.project.clear()
-        yield pd.DataFrame({"job_id": [key[0]], "project_id": [project], "status": ["timed_out"]})
+        now = timerValues.getCurrentWatermarkInMs()
+        due, later = [], []
+        for sign in self.waiting.get():
+            (due if sign[0] <= now else later).append(tuple(sign))
+        seen, running, project, _ = self.last.get()
+        out = []
+        for at, stopped, of in sorted(due, key=lambda s: s[:2]):
+            if running and at - seen > self.stale_ms:
+                out.append((key[0], project, "timed_out", seen + self.stale_ms))
+            seen, running, project = at, not stopped, of
+        if running and now - seen > self.stale_ms:
+            out.append((key[0], project, "timed_out", seen + self.stale_ms))
+            running = False
+        if later:
+            self.waiting.put(later)
+        elif due:
+            self.waiting.clear()
+        following = [s[0] for s in later] + ([seen + self.stale_ms + 1] if running else [])
+        self.last.update((seen, running, project, self._arm(min(following), None) if following else None))
+        yield self._out(out)
 
     def close(self) -> None:
         pass
 
 
 def stale_heartbeats(beats: DataFrame, stale_seconds: int = 90) -> DataFrame:
-    """``beats(job_id, project_id, status, seen_at)`` with a watermark on ``seen_at``."""
+    """``beats(job_id, project_id, status, seen_at)`` with a watermark on ``seen_at``, to (job_id, project_id, status, at)
+    of every job that fell silent. Signs without a job are nobody's and left out."""
     use_row_state(beats.sparkSession)
-    return beats.groupBy("job_id").transformWithStateInPandas(
+    rows = beats.filter("job_id IS NOT NULL").select("job_id", "project_id", "status", F.unix_millis("seen_at").alias("seen_ms"), "seen_at")
+    found = rows.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=HeartbeatWatch(stale_seconds * 1000), outputStructType=STALE_OUTPUT, outputMode="Append", timeMode="EventTime"
     )
+    return found.withColumn("at", F.timestamp_millis("at"))
 
 
 # --- capture intake -----------------------------------------------------------------------------
 
+BUCKETS = 64
+
+
 def unique_captures(captures: DataFrame, delay: str = "1 day") -> DataFrame:
     """Stream of captures without repeats of (project, content) inside the watermark."""
     return captures.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(["project_id", "content_hash"])
 
 
+def bucket_of(content_hash: str = "content_hash") -> Column:
+    """The bucket of the store that a capture belongs to, by its content alone."""
+    return F.pmod(F.xxhash64(F.col(content_hash)), F.lit(BUCKETS)).cast("int")
+
+
+def stored_captures(spark, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(path).drop("bucket", "epoch")
+
+
+def _exists(spark, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def intake(captures: DataFrame, path: str, checkpoint: str, delay: str = "1 day"):
-    """Exactly-once intake: repeats inside the watermark are dropped by state, older ones
-    by an anti-join with the store, and a batch that is replayed overwrites itself."""
+    """Exactly-once intake: repeats inside the watermark are dropped by state, older ones by an anti-join with the store.
+
+    The store has a folder for each bucket of content hashes, and in it one for each micro-batch. A micro-batch lists and
+    reads the buckets that its own captures fall into; one that is replayed overwrites what it wrote and does not see it.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        target = f"{path.rstrip('/')}/epoch={epoch}"
-        fresh = batch.dropDuplicates(["project_id", "content_hash"])
+        fresh = batch.dropDuplicates(["project_id", "content_hash"]).withColumn("bucket", bucket_of()).persist()
         try:
-            stored = spark.read.option("basePath", path).parquet(path).filter(F.col("epoch") != epoch)
-            fresh = fresh.join(stored.select("project_id", "content_hash"), ["project_id", "content_hash"], "left_anti")
-        except Exception as exc:  # the store does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
-        fresh.write.mode("overwrite").parquet(target)
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+            folders = [f for f in (f"{path.rstrip('/')}/bucket={b}" for b in sorted(touched)) if _exists(spark, f)]
+            unseen = fresh
+            if folders:
+                schema = "project_id long, content_hash string, bucket int, epoch long"
+                stored = spark.read.schema(schema).option("basePath", path).parquet(*folders).filter(F.col("epoch") != epoch)
+                unseen = fresh.join(stored.select("bucket", "project_id", "content_hash"), ["bucket", "project_id", "content_hash"], "left_anti")
+            if touched:
+                out = unseen.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                out.partitionBy("bucket", "epoch").parquet(path)
+        finally:
+            fresh.unpersist()
 
     return (
         unique_captures(captures, delay).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")

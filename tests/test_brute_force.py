@@ -1,14 +1,10 @@
 """Distributed algorithms against a plain restatement on small random rows."""
 
 import random
-from datetime import datetime, timedelta
 
-
-from leadloom import vocab
 from leadloom.operators.entities import allocate, first_independent, rank_within
 from leadloom.operators.joins import match_makers, similar_cases
 from leadloom.sources import store
-from leadloom.streaming import state
 
 
 def test_first_independent(spark):
@@ -93,60 +89,6 @@ def test_match_makers(spark):
     assert got[16][0] == 4 and got[17][0] == 5
 
 
-def expected_changes(events):
-    state_of, out = {}, set()
-    for pid, at, eid, status in sorted(events):
-        target = "contract_agreed" if status == "won" else status
-        current = state_of.get(pid, "not_started")
-        if target == current:
-            continue
-        ok = target in vocab.STATUS_TRANSITIONS.get(current, ())
-        out.add((pid, eid, current, target, ok))
-        if ok:
-            state_of[pid] = target
-    return out
-
-
-def random_events(n):
-    rng = random.Random(11)
-    start = datetime(2024, 1, 1)
-    names = [*vocab.SALES_STATUSES, "won"]
-    return [(1 if i % 3 == 0 else rng.randint(2, 6), start + timedelta(minutes=rng.randint(0, 500)), i, rng.choice(names)) for i in range(n)]
-
-
-def test_status_history_in_chunks(spark):
-    events = random_events(400)
-    df = spark.createDataFrame(events, "project_id long, created_at timestamp, id long, to_status string")
-    got = state.status_history(df, chunk=16).collect()
-    assert {(r["project_id"], r["event_id"], r["from_status"], r["to_status"], r["accepted"]) for r in got} == expected_changes(events)
-
-
-def test_status_stream(spark, tmp_path):
-    events = sorted(random_events(120), key=lambda e: e[1])
-    schema = "project_id long, created_at timestamp, id long, to_status string"
-    for part in range(3):
-        spark.createDataFrame(events[part * 40 : part * 40 + 40], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{part}")
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = state.status_changes(stream).writeStream.format("memory").queryName("changes").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = spark.table("changes").collect()
-    assert {(r["project_id"], r["event_id"], r["from_status"], r["to_status"], r["accepted"]) for r in got} == expected_changes(events)
-
-
-def test_capture_intake(spark, tmp_path):
-    at = datetime(2024, 1, 1)
-    rows = [(1, "h1", at), (1, "h1", at), (2, "h1", at), (1, "h2", at)]
-    schema = "project_id long, content_hash string, captured_at timestamp"
-    for part in range(2):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = state.intake(stream, f"{tmp_path}/out", f"{tmp_path}/cp").start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
-
-
 def test_allocate(spark):
     sizes = {"a": 5, "b": 11, "c": 3, "d": 1}
     got = {r["s"]: r["share"] for r in allocate(spark.createDataFrame(list(sizes.items()), "s string, size long"), 7, "s").collect()}
