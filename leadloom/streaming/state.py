@@ -297,11 +297,12 @@ STALE_OUTPUT = "job_id long, project_id long, status string, at long"
 
 
 class HeartbeatWatch(StatefulProcessor):
-    """One job: a running sign arms a timer ``stale_ms`` after it, every later sign of life renews it, any other state
-    disarms it. Silence longer than that is reported once, with the instant the job became stale.
+    """The jobs of one bucket: a running sign of a job is good for ``stale_ms``, any other state ends the job. Silence longer
+    than that is reported once, with the instant the job became stale.
 
     Signs wait until the watermark has passed them and are then read in order of time, so neither their order of arrival nor the cut into
-    micro-batches decides what is reported. A sign that is not newer than the last one read renews nothing.
+    micro-batches decides what is reported. A sign that comes after that is late and changes nothing. The state holds running
+    jobs and waiting signs only, and one timer: for the earliest sign that waits, or the first job to become stale.
     """
 
     def __init__(self, stale_ms: int) -> None:
@@ -309,14 +310,11 @@ class HeartbeatWatch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "seen long, running boolean, project_id long, armed long")  # one value, one read
-        self.waiting = handle.getListState("waiting", "seen long, stopped boolean, project_id long")
+        self.times = handle.getValueState("times", "done long, armed long")
+        self.running = handle.getListState("running", "job_id long, seen long, project_id long")
+        self.waiting = handle.getListState("waiting", "job_id long, seen long, stopped boolean, project_id long")
 
-    def _out(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["job_id", "project_id", "status", "at"])
-
-    def _arm(self, at: int, armed: int | None) -> int:
-        """One timer per job: at its earliest sign that waits, or when it becomes stale."""
+    def _armed(self, at: int, armed: int | None) -> int:
         if armed is not None:
             if armed <= at:
                 return armed
@@ -325,50 +323,63 @@ class HeartbeatWatch(StatefulProcessor):
         return at
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, running, project, armed = self.last.get() or (None, False, None, None)
+        done, armed = self.times.get() if self.times.exists() else (None, None)
+        held = armed
         for batch in rows:
             projects = [None if pd.isna(p) else int(p) for p in batch["project_id"]]
-            signs = [(at, status != "running", p) for at, status, p in zip(batch["seen_ms"].tolist(), batch["status"].tolist(), projects)]
-            signs = [s for s in signs if seen is None or s[0] > seen]
+            signs = list(zip(batch["job_id"].tolist(), batch["seen_ms"].tolist(), (batch["status"] != "running").tolist(), projects))
+            signs = [s for s in signs if done is None or s[1] > done]
             if signs:
                 self.waiting.appendList(signs)
-                held, armed = armed, self._arm(min(s[0] for s in signs), armed)
-                if armed != held:
-                    self.last.update((seen, running, project, armed))
-        yield self._out([])
+                armed = self._armed(min(s[1] for s in signs), armed)
+        if armed != held:
+            self.times.update((done, armed))
+        yield pd.DataFrame([], columns=["job_id", "project_id", "status", "at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         due, later = [], []
         for sign in self.waiting.get():
-            (due if sign[0] <= now else later).append(tuple(sign))
-        seen, running, project, _ = self.last.get()
+            (due if sign[1] <= now else later).append(tuple(sign))
+        alive = {job: (seen, project) for job, seen, project in self.running.get()}
         out = []
-        for at, stopped, of in sorted(due, key=lambda s: s[:2]):
-            if running and at - seen > self.stale_ms:
-                out.append((key[0], project, "timed_out", seen + self.stale_ms))
-            seen, running, project = at, not stopped, of
-        if running and now - seen > self.stale_ms:
-            out.append((key[0], project, "timed_out", seen + self.stale_ms))
-            running = False
-        if later:
-            self.waiting.put(later)
-        elif due:
-            self.waiting.clear()
-        following = [s[0] for s in later] + ([seen + self.stale_ms + 1] if running else [])
-        self.last.update((seen, running, project, self._arm(min(following), None) if following else None))
-        yield self._out(out)
+
+        def judge(job: int, until: int) -> None:
+            if job in alive and until - alive[job][0] > self.stale_ms:
+                seen, project = alive.pop(job)
+                out.append((job, project, "timed_out", seen + self.stale_ms))
+
+        for job, seen, stopped, project in sorted(due, key=lambda s: s[:3]):
+            judge(job, seen)
+            if stopped:
+                alive.pop(job, None)
+            else:
+                alive[job] = (seen, project)
+        for job in list(alive):
+            judge(job, now)
+        for state, rows in ((self.waiting, later), (self.running, [(job, *held) for job, held in alive.items()])):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        following = [s[1] for s in later] + [seen + self.stale_ms + 1 for seen, _ in alive.values()]
+        self.times.update((now, self._armed(min(following), None) if following else None))
+        yield pd.DataFrame(out, columns=["job_id", "project_id", "status", "at"])
 
     def close(self) -> None:
         pass
 
 
-def stale_heartbeats(beats: DataFrame, stale_seconds: int = 90) -> DataFrame:
+def stale_heartbeats(beats: DataFrame, stale_seconds: int = 90, buckets: int = 256) -> DataFrame:
     """``beats(job_id, project_id, status, seen_at)`` with a watermark on ``seen_at``, to (job_id, project_id, status, at)
-    of every job that fell silent. Signs without a job are nobody's and left out."""
+    of every job that fell silent. Signs without a job are nobody's and left out.
+
+    A call into the state store costs more than the few signs of a job, so jobs share ``buckets`` keys by a hash of their id; the number
+    is fixed for the life of a checkpoint and should grow with the jobs that run at a time."""
     use_row_state(beats.sparkSession)
-    rows = beats.filter("job_id IS NOT NULL").select("job_id", "project_id", "status", F.unix_millis("seen_at").alias("seen_ms"), "seen_at")
-    found = rows.groupBy("job_id").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = beats.filter("job_id IS NOT NULL").select(bucket, "job_id", "project_id", "status", F.unix_millis("seen_at").alias("seen_ms"), "seen_at")
+    found = rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=HeartbeatWatch(stale_seconds * 1000), outputStructType=STALE_OUTPUT, outputMode="Append", timeMode="EventTime"
     )
     return found.withColumn("at", F.timestamp_millis("at"))
