@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from leadloom import vocab
@@ -246,6 +248,50 @@ def ext24(spark, sf):
     return sites.infer_official(rows)
 
 
+def _shows(text: str, group) -> str:
+    tests = [f"list_contains(regexp_extract_all({text}, '[a-z0-9]+'), '{a}')" if a.isascii() else f"contains(regexp_replace({text}, '\\s+', '', 'g'), '{a}')" for a in group]
+    return "(" + " OR ".join(tests) + ")"
+
+
+FRONT = ("'Brandworks | lamps'", "'LG전자 Brandworks'", "'Access denied: Brandworks'", "'Brand  works'", "'Shop of all things'")
+FRONT_SQL = "CASE length(host) % 5 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(FRONT)) + " END"
+TITLED = f"""{SCORED}, m AS (SELECT *, coalesce(maker_name, '') AS maker, {FRONT_SQL} AS front, regexp_replace(regexp_replace(coalesce(maker_name, ''), '{"|".join(re.escape(f) for f in vocab.CORPORATE_FORMS)}', ' ', 'g'), '\\s+', '', 'g') AS core,
+  regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root FROM scored),
+titled AS (SELECT project_id, arg_max(root, (score, -position, -id)) AS official_url FROM m WHERE length(core) >= 2 AND host <> '' AND contains(regexp_replace(coalesce(title, ''), '\\s+', '', 'g'), core)
+  AND NOT {has('net', vocab.SEARCH_NON_OFFICIAL_HINTS + vocab.TITLE_CANDIDATE_DENY)} AND NOT {has('lower(front)', vocab.IDENTITY_ERROR_WORDS)} AND contains(regexp_replace(front, '\\s+', '', 'g'), core)
+  AND NOT ({" OR ".join(f"({_shows('lower(front)', g)} AND NOT {_shows('lower(maker)', g)})" for g in vocab.MAJOR_BRANDS)}) GROUP BY 1)"""
+
+
+def front_pages(spark, sf):
+    """Names on the front page of every domain among the results."""
+    host = urls.domain_of(F.col("url"))
+    n = F.length("domain") % len(FRONT)
+    title = F.coalesce(*[F.when(n == i, F.lit(t.strip("'"))) for i, t in enumerate(FRONT)])
+    pages = results(spark, sf).select(host.alias("domain")).distinct().select("domain", F.concat(F.lit("https://"), "domain", F.lit("/")).alias("url"), F.concat(F.lit("<title>"), title, F.lit("</title>")).alias("html"))
+    return sites.site_identity(pages).select("domain", "names")
+
+
+def titled_results(spark, sf):
+    rows = scored_results(spark, sf).withColumn("terms", F.concat("project_terms", "maker_terms"))
+    return rows.withColumn("position", F.col("position").cast("long") * 1_000_000_000 + F.col("id"))
+
+
+@query("ext24_official_by_title", with_tables("results", then=f"WITH {TITLED} SELECT project_id, official_url FROM titled"))
+def ext24b(spark, sf):
+    return sites.official_by_title(titled_results(spark, sf), front_pages(spark, sf))
+
+
+@query(
+    "ext24_official_site",
+    with_tables("results", then=f"""WITH {TITLED}, k AS (SELECT *, {labels('host')}[1] AS tok, list_concat(pterms, mterms) AS terms FROM scored),
+    d AS (SELECT project_id, arg_max(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), (score, -position, -id)) AS official_url FROM k
+    WHERE tok <> '' AND NOT {has('net', vocab.SEARCH_NON_OFFICIAL_HINTS)} AND len(list_filter(terms, lambda t: contains(tok, t) OR contains(t, tok))) > 0 GROUP BY 1)
+    SELECT project_id, official_url, 'domain' AS how FROM d UNION ALL SELECT project_id, official_url, 'title' FROM titled WHERE project_id NOT IN (SELECT project_id FROM d)"""),
+)
+def ext24c(spark, sf):
+    return sites.official_site(titled_results(spark, sf), front_pages(spark, sf))
+
+
 @query(
     "ext32_candidate_score",
     with_tables("results", then=f"""WITH {RESULTS}, t AS (SELECT *, {labels('host')}[1] AS tok, {tokens("concat_ws(' ', maker_name, 'aurora')")} AS terms FROM h)

@@ -411,6 +411,36 @@ def cases(spark, sf):
     )
 
 
+PREDICTED = ("emails", "fallback_emails", "sites", "forms", "socials", "saved_person", "saved_role", "saved_email", "saved_email2", "saved_site")
+
+
+def truth_and_predictions(spark, sf):
+    """Labels of projects, and predictions of those that any search gave something for, as two tables."""
+    rows = cases(spark, sf)
+    found = F.coalesce(*[F.col(c) for c in ("saved_email", "saved_email2", "saved_site", "saved_person")]).isNotNull() | (F.size("forms") > 0) | (F.size("socials") > 0)
+    predictions = rows.filter(found).select("project_id", *PREDICTED)
+    extra = rows.filter("verification_status = 'unresolved'").select((F.col("project_id") + 1_000_000_000).alias("project_id"), *PREDICTED)
+    return rows.drop(*PREDICTED), predictions.unionByName(extra)
+
+
+def strict_cases(spark, sf):
+    from leadloom.operators import evaluation as ev
+
+    return ev.scored(*truth_and_predictions(spark, sf))
+
+
+@query(
+    "join13_prediction_coverage",
+    with_tables("label_cases", then="""WITH p AS (SELECT project_id FROM label_cases WHERE coalesce(saved_email, saved_email2, saved_site, saved_person) IS NOT NULL OR project_id % 3 = 0 OR project_id % 4 = 0)
+    SELECT verification_status, count(*) AS n_labels, CASE WHEN verification_status = 'verified' THEN count(*) ELSE 0 END AS n_counted, count(*) FILTER (WHERE project_id IN (SELECT project_id FROM p)) AS n_with_prediction, CAST(0 AS BIGINT) AS n_unlabelled FROM label_cases GROUP BY 1
+    UNION ALL SELECT NULL, 0, 0, 0, count(*) FROM label_cases WHERE verification_status = 'unresolved'"""),
+)
+def join13(spark, sf):
+    from leadloom.operators import evaluation as ev
+
+    return ev.coverage(*truth_and_predictions(spark, sf))
+
+
 _E = "list_distinct(list_transform(list_filter([{0}], lambda v: v IS NOT NULL), lambda v: lower(v)))"
 PRF = "tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))) END AS f1"
 
@@ -428,7 +458,7 @@ def without(a: str, b: str) -> str:
 def eval01(spark, sf):
     from leadloom.operators import evaluation as ev
 
-    return ev.email_scores(cases(spark, sf).filter("verification_status = 'verified'"), by="source_site")
+    return ev.email_scores(strict_cases(spark, sf), by="source_site")
 
 
 @query(
@@ -439,7 +469,7 @@ def eval01(spark, sf):
 def eval02(spark, sf):
     from leadloom.operators import evaluation as ev
 
-    return ev.official_scores(cases(spark, sf).filter("verification_status = 'verified'"))
+    return ev.official_scores(strict_cases(spark, sf))
 
 
 @query(
@@ -450,7 +480,7 @@ def eval02(spark, sf):
 def eval03(spark, sf):
     from leadloom.operators import evaluation as ev
 
-    return ev.form_scores(cases(spark, sf).filter("verification_status = 'verified'"))
+    return ev.form_scores(strict_cases(spark, sf))
 
 
 @query(
@@ -461,7 +491,7 @@ def eval03(spark, sf):
 def eval03b(spark, sf):
     from leadloom.operators import evaluation as ev
 
-    return ev.social_scores(cases(spark, sf).filter("verification_status = 'verified'"))
+    return ev.social_scores(strict_cases(spark, sf))
 
 
 @query(
@@ -615,7 +645,7 @@ def agg17(spark, sf):
 
 @query(
     "score12_opportunities",
-    with_tables("contacts", "projects", "opportunities", then="""WITH c AS (SELECT * FROM contacts WHERE id NOT IN (SELECT id FROM opportunities)),
+    with_tables("contacts", "projects", "opportunities", then="""WITH c AS (SELECT * FROM contacts WHERE id NOT IN (SELECT contact_discovery_id FROM opportunities WHERE contact_discovery_id IS NOT NULL)),
     s AS (SELECT c.id, coalesce(contactability_score, 0) AS sc, p.maker_name, p.title, c.recommended_channel, primary_email, found_email, primary_contact_form_url, linkedin_url, instagram_url, facebook_url FROM c LEFT JOIN projects p ON p.id = c.project_id)
     SELECT id AS contact_discovery_id, maker_name AS company_name, title AS product_name, sc AS sales_score, CASE WHEN sc >= 70 THEN 'high' WHEN sc >= 40 THEN 'medium' ELSE 'low' END AS sales_priority, recommended_channel,
       coalesce(found_email, nullif(primary_email, '')) AS primary_email, primary_contact_form_url AS contact_form_url, coalesce(linkedin_url, instagram_url, facebook_url) AS primary_social_url FROM s"""),
@@ -624,7 +654,7 @@ def score12(spark, sf):
     from leadloom.operators.opportunities import derive_opportunities
 
     found = inputs.contacts(spark, sf)
-    existing = table(spark, sf, "opportunities").select(F.col("id").alias("contact_discovery_id"))
+    existing = table(spark, sf, "opportunities").filter("contact_discovery_id IS NOT NULL").select("contact_discovery_id")
     ranked = found.select(F.col("id").alias("contact_id"), F.col("found_email").alias("top_email"))
     return derive_opportunities(found, inputs.projects(spark, sf), existing, ranked).drop("website_url")
 

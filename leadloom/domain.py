@@ -189,6 +189,7 @@ SELECT {_owner(0)}, {_SCORED}, {_pick('l_suppkey', ('draft', 'sent', 'sent', 're
 FROM {{lineitem}}"""
 DOMAIN["opportunities"] = f"""
 SELECT CAST((l_orderkey * 8 + l_linenumber) * 1000003 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 1000003 AS BIGINT) AS id, l_shipdate AS created_at,
+  CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE CAST((l_orderkey * 8 + l_linenumber) * 1000003 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 1000003 AS BIGINT) END AS contact_discovery_id,
   {_pick('l_suppkey', ('not_started', 'in_progress', 'contacted', 'won', 'lost'))} AS status,
   {_pick('l_suppkey', ('high', 'medium', 'low'))} AS sales_priority, CAST((l_suppkey * 19) % 101 AS INT) AS sales_score,
   CASE WHEN l_suppkey % 4 = 2 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS next_action_due_date

@@ -25,9 +25,27 @@ def _set(values: Column) -> Column:
     return F.array_distinct(F.filter(folded, lambda v: v != ""))
 
 
+def joined(labels: DataFrame, predictions: DataFrame, statuses=STRICT) -> DataFrame:
+    """Labels and predictions of the same project, with masks: ``labelled``, ``predicted``, and ``counted`` for labels that
+    belong in a denominator. Blocked and unresolved labels leave it; a label without a prediction stays in it, with nulls."""
+    one, other = labels.withColumn("labelled", F.lit(True)), predictions.withColumn("predicted", F.lit(True))
+    rows = one.join(other, "project_id", "full_outer")
+    masks = {name: F.coalesce(F.col(name), F.lit(False)) for name in ("labelled", "predicted")}
+    return rows.withColumns({**masks, "counted": F.coalesce(F.col("verification_status").isin(*statuses), F.lit(False))})
+
+
 def scored(labels: DataFrame, predictions: DataFrame, statuses=STRICT) -> DataFrame:
-    """Labels in the denominator joined to their predictions."""
-    return labels.filter(F.col("verification_status").isin(*statuses)).join(predictions, "project_id")
+    """The rows that a score is taken over."""
+    return joined(labels, predictions, statuses).filter("counted").drop("labelled", "predicted", "counted")
+
+
+def coverage(labels: DataFrame, predictions: DataFrame, statuses=STRICT) -> DataFrame:
+    """Labels, those counted, and those with a prediction, by status; the null status holds predictions without a label."""
+    count = lambda c: F.count_if(c)
+    return joined(labels, predictions, statuses).groupBy("verification_status").agg(
+        count(F.col("labelled")).alias("n_labels"), count(F.col("counted")).alias("n_counted"),
+        count(F.col("labelled") & F.col("predicted")).alias("n_with_prediction"), count(~F.col("labelled")).alias("n_unlabelled"),
+    )
 
 
 def prf(counts: DataFrame) -> DataFrame:

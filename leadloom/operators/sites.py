@@ -677,8 +677,8 @@ def infer_official(results: DataFrame) -> DataFrame:
     return results.filter(hit).groupBy("project_id").agg(F.max_by(urls.root_url(F.col("url")), order).alias("official_url"))
 
 
-def title_candidates(results: DataFrame, deny_hints=()) -> DataFrame:
-    """Fallback: result titles naming the maker, one root per domain, best first."""
+def title_candidates(results: DataFrame, deny_hints=vocab.TITLE_CANDIDATE_DENY) -> DataFrame:
+    """Fallback: result titles naming the maker, one root per domain with its best (score, first)."""
     core = maker_core(F.col("maker_name"))
     bare = F.regexp_replace(F.coalesce(F.col("title"), F.lit("")), r"\s+", "")
     host = urls.netloc(F.col("url"))
@@ -686,9 +686,8 @@ def title_candidates(results: DataFrame, deny_hints=()) -> DataFrame:
     order = F.struct(F.col("score"), (-F.col("position")).alias("first"))
     return (
         results.filter(ok & (urls.domain_of(F.col("url")) != ""))
-        .groupBy("project_id", urls.domain_of(F.col("url")).alias("domain"))
+        .groupBy("project_id", "maker_name", urls.domain_of(F.col("url")).alias("domain"))
         .agg(F.max_by(urls.root_url(F.col("url")), order).alias("root"), F.max(order).alias("best"))
-        .select("project_id", "domain", "root", F.col("best.score").alias("score"))
     )
 
 
@@ -699,6 +698,37 @@ def identity_names_maker(names: Column, maker_name: Column) -> Column:
     return (F.length(core) >= 2) & F.exists(good, lambda n: F.contains(F.regexp_replace(n, r"\s+", ""), core))
 
 
+def _names_brand(text: Column, aliases: tuple[str, ...]) -> Column:
+    """ASCII aliases count as whole words, others anywhere in the text without its blanks."""
+    words = F.regexp_extract_all(text, F.lit("([a-z0-9]+)"))
+    bare = F.regexp_replace(text, r"\s+", "")
+    return any_of([F.array_contains(words, a) if a.isascii() else F.contains(bare, F.lit(a)) for a in aliases])
+
+
+def foreign_brand(names: Column, maker_name: Column) -> Column:
+    """First large brand that the names of a site show and the maker's name does not; NULL for none."""
+    shown, own = F.lower(F.array_join(names, " ")), F.lower(F.coalesce(maker_name, F.lit("")))
+    return F.coalesce(*[F.when(_names_brand(shown, group) & ~_names_brand(own, group), F.lit(group[0])) for group in vocab.MAJOR_BRANDS])
+
+
+def official_by_title(results: DataFrame, identities: DataFrame, deny_hints=vocab.TITLE_CANDIDATE_DENY) -> DataFrame:
+    """Official root per project from result titles that name its maker.
+
+    ``identities(domain, names)`` are the names found on the front page of a domain, as ``site_identity`` reads them. A candidate
+    is taken if its site names the maker and no large brand beside it; of those the best score wins, then the earlier result.
+    Domains without an identity are not taken."""
+    found = title_candidates(results, deny_hints).join(identities.select("domain", "names"), "domain")
+    ok = identity_names_maker(F.col("names"), F.col("maker_name")) & foreign_brand(F.col("names"), F.col("maker_name")).isNull()
+    return found.filter(ok).groupBy("project_id").agg(F.max_by("root", "best").alias("official_url"))
+
+
+def official_site(results: DataFrame, identities: DataFrame, deny_hints=vocab.TITLE_CANDIDATE_DENY) -> DataFrame:
+    """(project_id, official_url, how): by the domain token, and for projects that this leaves open by title and identity."""
+    by_domain = infer_official(results).withColumn("how", F.lit("domain"))
+    by_title = official_by_title(results, identities, deny_hints).withColumn("how", F.lit("title"))
+    return by_domain.unionByName(by_title.join(by_domain.select("project_id"), "project_id", "left_anti"))
+
+
 # --- crawl order -----------------------------------------------------------------------------------------
 
 def crawl_tier(url: Column) -> Column:

@@ -213,3 +213,27 @@ def test_address_search_takes_linear_time(spark, piece):
         assert "info@brand.co" in [r["email"] for r in em.page_emails(pages).collect()]
         took.append(time.time() - start)
     assert took[1] < 9 * took[0] + 2
+
+
+def test_official_site_by_title_and_identity(spark):
+    results = spark.createDataFrame(
+        [(1, "https://hyundaebio.kr/a", "현대바이오 공식", 10, 1, "현대바이오", []), (2, "https://shop.kr/b", "놀로 lamp", 10, 1, "(주)놀로", []), (2, "https://nolo.kr/", "놀로", 5, 2, "(주)놀로", []),
+         (3, "https://blocked.kr/", "노바", 9, 1, "노바", []), (4, "https://other.kr/", "no name", 9, 1, "노바", []), (5, "https://www.gmarket.co.kr/", "놀로", 9, 1, "놀로", []),
+         (6, "https://brandlamp.com/x", "Brandlamp", 3, 1, "Brandlamp", ["brandlamp"])],
+        "project_id long, url string, title string, score int, position long, maker_name string, terms array<string>",
+    )
+    names = {"hyundaebio.kr": ["현대 바이오"], "shop.kr": ["LG전자 놀로"], "nolo.kr": ["놀 로 | home"], "blocked.kr": ["노바 - Just a moment"], "other.kr": ["노바"], "gmarket.co.kr": ["놀로"], "brandlamp.com": ["x"]}
+    identities = spark.createDataFrame(list(names.items()), "domain string, names array<string>")
+    got = {r["project_id"]: (r["official_url"], r["how"]) for r in sites.official_site(results, identities).collect()}
+    assert got == {1: ("https://hyundaebio.kr", "title"), 2: ("https://nolo.kr", "title"), 6: ("https://brandlamp.com", "domain")}
+
+
+def test_labels_without_predictions_count_and_blocked_ones_do_not(spark):
+    from leadloom.operators import evaluation as ev
+
+    labels = spark.createDataFrame([(1, "verified", ["a@b.c"], []), (2, "verified", ["d@e.f"], []), (3, "blocked", ["g@h.i"], []), (4, None, ["j@k.l"], [])], "project_id long, verification_status string, expected_direct_emails array<string>, plausible_unconfirmed_emails array<string>")
+    predictions = spark.createDataFrame([(1, ["A@b.c ", "x@y.z"]), (3, ["q@q.q"]), (9, ["n@n.n"])], "project_id long, emails array<string>")
+    r = ev.email_scores(ev.scored(labels, predictions)).first()
+    assert (r["n"], r["tp"], r["fp"], r["fn"]) == (2, 1, 1, 1)
+    rows = {r["verification_status"]: (r["n_labels"], r["n_counted"], r["n_with_prediction"], r["n_unlabelled"]) for r in ev.coverage(labels, predictions).collect()}
+    assert rows == {"verified": (2, 2, 1, 0), "blocked": (1, 0, 1, 0), None: (1, 0, 0, 1)}
