@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from leadloom.llm.fingerprint import bound
 
 SAMPLE = 6000
+PARTS = 4
 THRESHOLD = 0.3
 
 
@@ -102,7 +103,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int =
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label"))
     taken = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
     names = [f.name for f in docs.sparkSession.range(1).select(statistics(F.lit("a")).alias("s")).schema["s"].dataType.fields]
-    rows = taken.select(statistics(F.col("text")).alias("s"), "label").select("label", *[F.col(f"s.{x}").alias(x) for x in names]).persist()
+    rows = taken.select("doc_id", statistics(F.col("text")).alias("s"), "label")
+    # numbers of a bounded sample: few partitions in a fixed order, as every step of the fits is a job with a task for each, and bags are drawn in that order
+    rows = rows.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id", "s").select("label", *[F.col(f"s.{x}").alias(x) for x in names]).persist()
     ones = rows.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     if not ones["n"] or ones["ones"] in (0, ones["n"]):
         rows.unpersist()
