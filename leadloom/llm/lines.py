@@ -66,7 +66,8 @@ def profiles_of(docs: DataFrame) -> DataFrame:
 def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line_hash, tokens) of the lines in ``wanted`` (d, line_hash), read from those documents."""
     wanted = wanted.groupBy("d").agg(F.collect_set("line_hash").alias("_lines"))
-    rows = docs.select(key_of(docs).alias("d"), "text").join(wanted, "d")
+    # a merge join at any size: what is wanted grows with the documents, so a broadcast would only hold for small ones
+    rows = docs.select(key_of(docs).alias("d"), "text").join(wanted.hint("merge"), "d")
     lines = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.array_contains("_lines", digest(x))))
     tokens = F.regexp_extract_all(masked(F.col("line")), F.lit(f"({TOKEN})"))
     return rows.select(F.explode(lines).alias("line")).select(digest(F.col("line")).alias("line_hash"), tokens.alias("tokens")).dropDuplicates(["line_hash"])
@@ -122,7 +123,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 def without_recurring_lines(docs: DataFrame, counted_as: str | None = None) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``; all columns in their order, then the number of lines taken out if ``counted_as`` names it."""
     gone = recurring_lines(docs).groupBy(F.col("d").alias("_gone_id")).agg(F.collect_set("line_hash").alias("_gone"))
-    joined = docs.join(gone, key_of(docs) == gone["_gone_id"], "left")
+    joined = docs.join(gone.hint("merge"), key_of(docs) == gone["_gone_id"], "left")
     kept = F.filter(F.split(docs["text"], "\n"), lambda x: ~F.array_contains(gone["_gone"], digest(x)))
     text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
     n_gone = F.when(gone["_gone"].isNull(), F.lit(0)).otherwise(F.size(F.split(docs["text"], "\n")) - F.size(kept)).cast("long")
