@@ -228,28 +228,36 @@ def _keyed(spark, sf):
     return maker_keys(rows)
 
 
-@query(
-    "er01_maker_keys",
-    with_tables("projects", then=f"""
+KEYS_SQL = f"""
     WITH b AS (SELECT id, regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(maker_url), '^(https?:)?//', ''), '^([^?#]*)', 1), '^www[.]', ''), '/+$', '') AS mu,
       regexp_replace(lower(coalesce(maker_name, '')), '[\\s.,_''"()|/-]+', '', 'g') AS nm, {CAMPAIGN_SQL} AS page, maker_url FROM projects),
     c AS (SELECT *, CASE WHEN starts_with(maker_url, 'http') AND NOT contains(maker_url, 'kickstarter') AND NOT contains(maker_url, 'test.io') THEN string_split(mu, '/')[1] END AS oh,
       regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(page), '^(https?:)?//', ''), '^([^?#]*)', 1), '^www[.]', ''), '/+$', '') AS pg, CASE WHEN contains(page, 'kickstarter') OR contains(page, 'indiegogo') THEN regexp_replace(regexp_extract(page, '^https?://([^/]*)', 1), '^www[.]', '') || '/projects/' || regexp_extract(page, '/projects/([^/]+)/', 1) END AS cr FROM b),
-    u AS (SELECT id, 'url:' || mu AS key, mu AS v FROM c UNION SELECT id, 'host:' || oh, oh FROM c UNION SELECT id, 'name:' || nm, nm FROM c UNION SELECT id, 'creator:' || cr, cr FROM c UNION SELECT id, 'campaign:' || pg, pg FROM c)
-    SELECT id, key FROM u WHERE coalesce(v, '') <> ''"""),
-)
+    u AS (SELECT id, 'url:' || mu AS key, mu AS v FROM c UNION SELECT id, 'host:' || oh, oh FROM c UNION SELECT id, 'name:' || nm, nm FROM c UNION SELECT id, 'creator:' || cr, cr FROM c UNION SELECT id, 'campaign:' || pg, pg FROM c)"""
+# one step for each id in order, with the keys taken so far
+WALK_SQL = """o AS (SELECT id, list(key) AS ks, row_number() OVER (ORDER BY id) AS n FROM k GROUP BY id),
+    r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, false AS kept, list_filter((SELECT any_value(ks) FROM o), lambda x: false) AS taken
+      UNION ALL SELECT o.n, o.id, NOT list_has_any(o.ks, r.taken), CASE WHEN list_has_any(o.ks, r.taken) THEN r.taken ELSE list_concat(r.taken, o.ks) END FROM r JOIN o ON o.n = r.n + 1)
+    SELECT id FROM r WHERE kept"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("er01_maker_keys", with_tables("projects", then=f"{KEYS_SQL} SELECT id, key FROM u WHERE coalesce(v, '') <> ''"))
 def er01(spark, sf):
     return _keyed(spark, sf).select("id", "key")
 
 
-@query("er02_first_independent")
+@query("er02_first_independent", recursive(with_tables("projects", then=f"{KEYS_SQL}, k AS (SELECT id, key FROM u WHERE coalesce(v, '') <> ''), {WALK_SQL}")))
 def er02(spark, sf):
     from leadloom.operators.entities import first_independent
 
     return first_independent(_keyed(spark, sf).select("id", "key"))
 
 
-@query("er02_orders_sharing_parts")
+@query("er02_orders_sharing_parts", recursive(with_tables("key_edges", then=f"WITH k AS (SELECT DISTINCT id, k AS key FROM key_edges), {WALK_SQL}")))
 def er02b(spark, sf):
     from leadloom.operators.entities import first_independent
 
@@ -288,7 +296,27 @@ def er04(spark, sf):
     return allocate(sizes, 100)
 
 
-@query("er05_balanced_sample")
+@query(
+    "er03_short_strata",
+    with_tables("projects", then="""
+    WITH q AS (SELECT unnest(['kickstarter', 'indiegogo', 'wadiz', 'zeczec']) AS source_site, unnest([400, 5, 400, 5]) AS quota), n AS (SELECT source_site, count(*) AS size FROM projects GROUP BY 1)
+    SELECT source_site, quota, size FROM q LEFT JOIN n USING (source_site) WHERE coalesce(size, 0) < quota"""),
+)
+def er03_short(spark, sf):
+    from leadloom.operators.entities import short_strata
+
+    quotas = spark.createDataFrame([("kickstarter", 400), ("indiegogo", 5), ("wadiz", 400), ("zeczec", 5)], "source_site string, quota int")
+    return short_strata(inputs.projects(spark, sf), quotas, "source_site")
+
+
+@query(
+    "er05_balanced_sample",
+    with_tables("projects", then="""
+    WITH s AS (SELECT id, source_site, coalesce(trim(maker_url) <> '', false) AS side, md5(concat(id, ':42')) AS draw FROM projects),
+    a AS (SELECT *, row_number() OVER (PARTITION BY source_site, side ORDER BY draw, id) AS k FROM s),
+    p AS (SELECT *, row_number() OVER (PARTITION BY source_site ORDER BY CASE WHEN k = 1 THEN 0 ELSE 1 END, draw, id) AS place FROM a)
+    SELECT id, source_site, side, CAST(place AS INT) AS place FROM p WHERE place <= 20"""),
+)
 def er05(spark, sf):
     from leadloom.operators.entities import balanced_sample
 

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import itertools
-import logging
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leadloom.functions import urls
 
-log = logging.getLogger(__name__)
-
-
 _own_folders: dict[str, str] = {}
 
 
@@ -72,20 +69,71 @@ def rank_within(rows: DataFrame, keys, order, name: str) -> DataFrame:
     )
 
 
-def first_independent(keys: DataFrame) -> DataFrame:
+def component_labels(keys: DataFrame) -> DataFrame:
+    """(id, label): for every id the least id that it is connected to by shared keys.
+
+    A round lowers an id's label to the least one among its keys and then follows labels twice, so labels cross a chain in steps that
+    double, and the number of rounds grows with the logarithm of the longest chain. Per-key minima travel, never pairs.
+    """
+    spark = keys.sparkSession
+    at = new_table(spark)
+    labels = cut_lineage(keys.select("id", F.col("id").alias("label")).distinct(), at)
+    while True:
+        least = keys.join(labels, "id").groupBy("key").agg(F.min("label").alias("label"))
+        paths = [new_table(spark) for _ in range(3)]
+        lower = cut_lineage(keys.join(least, "key").groupBy("id").agg(F.min("label").alias("label")), paths[0])
+        for path in paths[1:]:
+            to = lower.select(F.col("id").alias("label"), F.col("label").alias("onward"))
+            lower = cut_lineage(lower.join(to, "label", "left").select("id", F.coalesce("onward", "label").alias("label")), path)
+        done = lower.join(labels, ["id", "label"], "left_anti").isEmpty()
+        for path in (at, *paths[:2]):
+            drop_table(spark, path)
+        labels, at = lower, paths[2]
+        if done:
+            return labels
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids kept of rows (label, id, key) in order; holds the taken keys of one component and the keys of one id."""
+    label = id = None
+    taken: set[str] = set()
+    own: list[str] = []
+
+    def closed() -> list[int]:
+        if id is None or not taken.isdisjoint(own):
+            return []
+        taken.update(own)
+        return [id]
+
+    for batch in batches:
+        kept = []
+        for next_label, next_id, key in zip(*(batch.column(c).to_pylist() for c in ("label", "id", "key"))):
+            if next_id != id or next_label != label:
+                kept += closed()
+                own = []
+                if next_label != label:
+                    taken = set()
+                label, id = next_label, next_id
+            own.append(key)
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["id"])
+    yield pa.RecordBatch.from_arrays([pa.array(closed(), pa.int64())], names=["id"])
+
+
+def first_independent(keys: DataFrame, rounds: int = 5) -> DataFrame:
     """Ids kept when walking in id order and skipping any id that shares a key with
     an id kept before. A skipped id's keys block nobody.
 
-    ``keys(id, key)``. Each round keeps every id that is the smallest open one on
+    ``keys(id, key)``. A round keeps every id that is the smallest open one on
     all of its keys and drops the ids touching a kept key. Only per-key minima
     travel, never pairs, so a key held by a third of the ids costs one row per
-    task. Rounds go on until no id is open; the open rows of a round replace those
-    of the round before, and all kept ids are one table.
+    task, and is gone after a round. What is open after ``rounds`` rounds are chains, where each id waits for
+    the one before it. They fall apart into components, and each component is walked in order of its ids, as a
+    stream of rows that holds the keys taken so far. So the number of jobs does not follow the longest chain.
     """
     spark = keys.sparkSession
     kept, at = new_table(spark), new_table(spark)
-    open_ = cut_lineage(keys.select("id", "key").distinct(), at)
-    for step in itertools.count(1):
+    open_ = cut_lineage(keys.select("id", F.col("key").cast("string").alias("key")).filter("id IS NOT NULL AND key IS NOT NULL").distinct(), at)
+    for step in range(rounds):
         leaders = open_.groupBy("key").agg(F.min("id").alias("leader"))
         winners = cut_lineage(
             open_.join(leaders, "key")
@@ -101,9 +149,13 @@ def first_independent(keys: DataFrame) -> DataFrame:
         open_ = cut_lineage(open_.join(losers, "id", "left_anti"), at)
         drop_table(spark, before)
         if open_.isEmpty():
-            log.info("first_independent finished after %d rounds", step)
-            drop_table(spark, at)
-            return spark.read.schema(winners.schema).option("recursiveFileLookup", True).parquet(kept)
+            break
+    else:
+        chains = open_.join(component_labels(open_), "id").select("label", F.col("id").cast("long").alias("id"), "key")
+        ordered = chains.repartition("label").sortWithinPartitions("label", "id")
+        ordered.mapInArrow(_walked, "id long").select(F.col("id").cast(winners.schema["id"].dataType)).write.parquet(f"{kept}/round={rounds}")
+    drop_table(spark, at)
+    return spark.read.schema(winners.schema).option("recursiveFileLookup", True).parquet(kept)
 
 
 # --- maker keys ---------------------------------------------------------------------------
@@ -192,9 +244,9 @@ def allocate(sizes: DataFrame, target: int, stratum: str = "stratum") -> DataFra
 
 
 def balanced_sample(rows: DataFrame, n: int, stratum: str, has_url: str, row_id: str = "id", seed: int = 0) -> DataFrame:
-    """``n`` rows per stratum in hash order, at least one with and one without a URL
+    """``n`` rows per stratum in the order of the MD5 of id and seed, at least one with and one without a URL
     when both exist and n is at least two."""
-    hashed = rows.withColumn("draw", F.xxhash64(F.col(row_id), F.lit(seed)))
+    hashed = rows.withColumn("draw", F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f":{seed}")).cast("binary")))
     side = F.coalesce(F.trim(F.col(has_url)) != "", F.lit(False))
     first = F.row_number().over(Window.partitionBy(stratum, "side").orderBy("draw", row_id))
     # a row behind n others of its own side cannot be drawn

@@ -7,6 +7,20 @@ from leadloom.operators.joins import match_makers, similar_cases
 from leadloom.sources import store
 
 
+def test_chains_are_walked_in_a_bounded_number_of_jobs(spark):
+    n = 5000  # id i shares a key with i + 1, so each id waits for the one before it; two more chains, one of them with a gap
+    edges = [(i, f"k{j}") for i in range(n) for j in (i, i + 1)] + [(10_000 + 2 * i, f"m{j}") for i in range(301) for j in (i, i + 1)]
+    edges += [(20_000 + i, f"p{j}") for i in range(40) if i != 17 for j in (i, i + 1)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chains", "chains")
+    try:
+        got = {r["id"] for r in first_independent(spark.createDataFrame(edges, "id long, key string").repartition(7)).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {*range(0, n, 2), *range(10_000, 10_602, 4), *range(20_000, 20_017, 2), *range(20_018, 20_040, 2)}
+    assert len(tracker.getJobIdsForGroup("chains")) < 500
+
+
 def test_first_independent(spark):
     rng = random.Random(3)
     edges = [(i, f"k{rng.randint(0, 40)}") for i in range(120) for _ in range(rng.randint(1, 3))]
