@@ -263,16 +263,34 @@ def owned_form(form_url: Column, official_domain: Column) -> Column:
 
 # --- captures -----------------------------------------------------------------------------------
 
-def labelled_fields(text: Column) -> dict[str, Column]:
-    """``label: value`` fields, cut where the next label starts."""
+def _after_labels(text: Column, words) -> Column:
+    """What stands behind each ``label:`` of the text, up to the end."""
+    longest_first = sorted(words, key=len, reverse=True)
+    label = "(?:" + "|".join(w.replace(" ", r"\s+") for w in longest_first) + r")\s*[:：]\s*"
+    parts = F.split(text, label, -1)
+    return F.slice(parts, 2, F.size(parts))
+
+
+def _first_value(rests: Column, separator: str, least: int) -> Column:
+    """The first value of at least ``least`` characters, up to a separator and without the word of a next label."""
     stops = "|".join(vocab.CAPTURE_STOPS)
-    out = {}
-    for name, pattern in vocab.CAPTURE_LABELS.items():
-        raw = F.trim(F.regexp_extract(text, "(?m)" + pattern, 1))
+
+    def value(rest):
+        raw = F.trim(F.element_at(F.split(rest, separator, 2), 1))
         # the first character belongs to the value even when a stop word starts there
         cut = F.concat(F.substring(raw, 1, 1), F.element_at(F.split(F.substring(raw, F.lit(2), F.length(raw)), stops), 1))
-        value = F.trim(F.trim(cut), F.lit(".,;:·・"))
-        out[name] = F.when(F.length(value) >= 2, value)
+        return F.struct(F.length(raw).alias("n"), F.trim(F.trim(cut), F.lit(".,;:·・")).alias("value"))
+
+    first = F.get(F.filter(F.transform(rests, value), lambda v: v["n"] >= least), F.lit(0))["value"]
+    return F.when(F.length(first) >= 2, first)
+
+
+def labelled_fields(text: Column) -> dict[str, Column]:
+    """``label: value`` fields. The text is split at a field's labels; a value of any length runs up to a separator, the end of its
+    line or the word of a next label, and the first one that is long enough counts. Slashes and dots may stand in an address."""
+    out = {}
+    for name, (words, least) in vocab.CAPTURE_LABELS.items():
+        out[name] = _first_value(_after_labels(text, words), r"\s{2,}|[<|\n]" if name == "address" else r"\s{2,}|[<|/·・\n]", least)
     phones = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(vocab.CAPTURE_PHONE), F.lit(1))))
     out["phone"] = F.get(phones, 0)
     out["phones"] = phones

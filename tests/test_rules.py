@@ -237,3 +237,15 @@ def test_labels_without_predictions_count_and_blocked_ones_do_not(spark):
     assert (r["n"], r["tp"], r["fp"], r["fn"]) == (2, 1, 1, 1)
     rows = {r["verification_status"]: (r["n_labels"], r["n_counted"], r["n_with_prediction"], r["n_unlabelled"]) for r in ev.coverage(labels, predictions).collect()}
     assert rows == {"verified": (2, 2, 1, 0), "blocked": (1, 0, 1, 0), None: (1, 0, 0, 1)}
+
+
+def test_labelled_values_of_any_length(spark):
+    from leadloom.operators.contacts import labelled_fields
+
+    street = "서울특별시 강남구 테헤란로 " + "123-45 " * 30 + "7층"
+    text = f"상호명: {'가나다 ' * 30}끝 대표자: 김철수 | 사업장  소재지: {street}\n브랜드: |  브랜드 : 노바/랩 전화 02-123-4567"
+    df = spark.createDataFrame([(text,), ("",), (None,), ("대표 이메일: a@b.kr",)], "t string")
+    rows = df.select(*[c.alias(n) for n, c in labelled_fields(F.col("t")).items()]).collect()
+    assert rows[0]["company_name"] == "가나다 " * 30 + "끝" and rows[0]["representative"] == "김철수"
+    assert rows[0]["address"] == street and rows[0]["brand_name"] == "노바" and rows[0]["maker_name"] is None
+    assert all(rows[i][c] is None for i in (1, 2, 3) for c in ("company_name", "representative", "address"))
