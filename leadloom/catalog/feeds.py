@@ -294,10 +294,10 @@ def txt04b(spark, sf):
     "txt05_brand_phrases",
     with_tables("projects", then=r"""
     WITH f AS (SELECT id, list_filter(regexp_extract_all(description, '\b([A-Z][A-Za-z0-9&'']+(?:\s[A-Z][A-Za-z0-9&'']+){0,2})\b', 1), lambda w: length(w) >= 3 AND (contains(w, ' ') OR lower(w) NOT IN (""" + q(vocab.SEARCH_STOP_WORDS) + r"""))) AS w FROM projects)
-    SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i)[1:4], ',') AS brands FROM f"""),
+    SELECT id, array_to_string(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), ',') AS brands FROM f"""),
 )
 def txt05b(spark, sf):
-    return table(spark, sf, "projects").select("id", F.array_join(tx.brand_phrases(F.col("description"), vocab.SEARCH_STOP_WORDS, 4), ",").alias("brands"))
+    return table(spark, sf, "projects").select("id", F.array_join(tx.brand_phrases(F.col("description"), vocab.SEARCH_STOP_WORDS), ",").alias("brands"))
 
 
 @query(

@@ -218,7 +218,7 @@ SCORED = f"""{RESULTS}, pt AS (SELECT *, list_filter({tokens("'aurora lamp'")},
 f AS (SELECT *, len(list_filter(pterms, lambda t: contains(addr, t))) > 0 AS a, len(list_filter(mterms, lambda t: contains(addr, t))) > 0 AS b, len(list_filter(pterms, lambda t: contains(words, t))) > 0 AS c, len(list_filter(mterms, lambda t: contains(words, t))) > 0 AS d,
   coalesce(ends_with(net, official_domain), false) AS o, contains(net, 'instagram.com') AND len(seg) >= 1 AND lower(seg[1]) NOT IN ({q(vocab.INSTAGRAM_NON_PROFILE)}) AND regexp_full_match(seg[1], '[A-Za-z0-9_.]+') AS ig,
   contains(net, 'facebook.com') AND len(seg) >= 1 AND lower(seg[1]) NOT IN ({q(vocab.FACEBOOK_NON_PROFILE)}) AS fb, contains(net, 'linkedin.com') AND len(seg) >= 2 AND lower(seg[1]) IN ('company', 'in') AS li,
-  regexp_matches(lower(url), '{vocab.SEARCH_EXCLUDED_PATTERN}') AS bad, {under('host', vocab.NON_OFFICIAL_PLATFORMS)} AS plat FROM pt),
+  {has('lower(url)', vocab.SEARCH_EXCLUDED_PARTS)} AS bad, {under('host', vocab.NON_OFFICIAL_PLATFORMS)} AS plat FROM pt),
 scored AS (SELECT *, CASE WHEN bad OR plat THEN -1 ELSE CASE WHEN a THEN 30 ELSE 0 END + CASE WHEN b THEN 25 ELSE 0 END + CASE WHEN c AND d THEN 25 WHEN c OR d THEN 10 ELSE 0 END + CASE WHEN o THEN 30 ELSE 0 END
   + CASE WHEN ig THEN 35 WHEN fb THEN 30 WHEN li THEN 35 ELSE 0 END END AS score FROM f)"""
 

@@ -387,13 +387,13 @@ def agg18(spark, sf):
     "er09_prediction_snapshot",
     with_tables("contact_layers", then="""
     WITH f AS (SELECT project_id, kind, min((layer_rank, trim(value))) AS f FROM contact_layers WHERE trim(value) <> '' GROUP BY project_id, kind, lower(trim(value)))
-    SELECT project_id, """ + ", ".join(f"coalesce(array_to_string(list_transform({'list_slice(' if k == 'evidence' else ''}list_sort(list(f) FILTER (WHERE kind = '{k}')){', 1, 20)' if k == 'evidence' else ''}, lambda x: x[2]), ','), '') AS {c}" for k, c in (("email", "emails"), ("site", "sites"), ("form", "forms"), ("social", "socials"), ("person", "people"), ("evidence", "evidence_urls")))
+    SELECT project_id, """ + ", ".join(f"coalesce(array_to_string(list_transform(list_sort(list(f) FILTER (WHERE kind = '{k}')), lambda x: x[2]), ','), '') AS {c}" for k, c in (("email", "emails"), ("site", "sites"), ("form", "forms"), ("social", "socials"), ("person", "people"), ("evidence", "evidence_urls")))
     + " FROM f GROUP BY 1 HAVING count(*) FILTER (WHERE kind <> 'evidence') > 0"),
 )
 def er09(spark, sf):
     from leadloom.operators.entities import prediction_snapshot
 
-    rows = prediction_snapshot(table(spark, sf, "contact_layers"), 20)
+    rows = prediction_snapshot(table(spark, sf, "contact_layers"))
     return rows.select("project_id", *[joined(c) for c in ("emails", "sites", "forms", "socials", "people", "evidence_urls")])
 
 

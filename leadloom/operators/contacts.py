@@ -62,17 +62,43 @@ def owned_person_source(url: Column, official_domain: Column) -> Column:
     return (F.coalesce(url, F.lit("")) != "") & ~F.coalesce(third, F.lit(False)) & ((official == "") | same)
 
 
+def _title_at_start(text: Column) -> Column:
+    """The job title that a text begins with; some titles go on with the field they are for."""
+    low = F.lower(text)
+    field = F.regexp_extract(text, "^[A-Za-z ]+", 0)
+    found = [F.when(F.startswith(low, F.lit(t.lower())), F.substring(text, 1, len(t))) for t in vocab.PERSON_TITLES]
+    found += [F.when(F.startswith(low, F.lit(t.lower() + " ")) & (F.length(F.trim(field)) > len(t)), field) for t in vocab.PERSON_TITLES_WITH_FIELD]
+    return F.coalesce(*found)
+
+
+def _name_at_end(text: Column) -> Column:
+    """Given and family name that a text ends with, an initial between them or not, read word by word from the end."""
+
+    def read(words):
+        n = F.size(words)
+        last, before = F.get(words, n - 1), F.get(words, n - 2)
+        initial = before.rlike(r"^[A-Za-z]\.$")
+        given = F.regexp_extract(F.when(initial, F.get(words, n - 3)).otherwise(before), "([A-Za-z]{2,})$", 1)
+        whole = F.when(initial, F.concat_ws(" ", given, before, last)).otherwise(F.concat_ws(" ", given, last))
+        return F.when(last.rlike("^[A-Za-z]{2,}$") & (given != ""), whole)
+
+    return let(F.split(F.rtrim(text), r"\s"), read)
+
+
+def titled_people(text: Column) -> Column:
+    """array<struct<position, name, title>>: a name, one separator, a title. The text is cut at the separators, but for the one in "co-founder"."""
+    others = "".join(c for c in vocab.PERSON_SEPARATORS if c != "-")
+    pieces = F.split(text, rf"[{others}]|(?<!(?i:co))-")
+    pairs = F.zip_with(pieces, F.slice(pieces, 2, F.size(pieces)), lambda a, b: F.struct(a.alias("a"), F.ltrim(b).alias("b")))
+    found = F.transform(pairs, lambda p, i: F.struct(i.alias("position"), _name_at_end(p["a"]).alias("name"), F.trim(_title_at_start(p["b"])).alias("title")))
+    return F.filter(found, lambda p: p["name"].isNotNull() & p["title"].isNotNull())
+
+
 def people_on_pages(texts: DataFrame) -> DataFrame:
     """``(project_id, url, text, official_domain)`` to people with title, department and
     priority: every name of a page, where it stands first."""
-    found = F.regexp_extract_all("text", F.lit(vocab.PERSON_PATTERN), F.lit(0))
-    rows = texts.select("project_id", "url", "official_domain", F.posexplode(found).alias("position", "hit"))
-    rows = rows.withColumns(
-        {
-            "name": F.trim(F.regexp_extract("hit", vocab.PERSON_PATTERN, 1)),
-            "title": F.trim(F.regexp_extract("hit", vocab.PERSON_PATTERN, 2)),
-        }
-    ).drop("hit")
+    rows = texts.select("project_id", "url", "official_domain", F.explode(titled_people(F.col("text"))).alias("hit"))
+    rows = rows.select("project_id", "url", "official_domain", "hit.*")
     rows = rows.filter(looks_like_name(F.col("name")) & owned_person_source(F.col("url"), F.col("official_domain")))
     first = F.min(F.struct("position", "name", "title")).alias("first")
     rows = rows.groupBy("project_id", "url", "official_domain", F.lower("name").alias("_key")).agg(first)

@@ -111,11 +111,16 @@ def first_socials(links: DataFrame, keys, order) -> DataFrame:
 
 
 def korean_channels(text: Column) -> Column:
-    entries = [
-        F.struct(F.lit(k).alias("key"), F.substring_index(F.regexp_extract(text, p, 0), "?", 1).alias("value"))
-        for k, p in vocab.KOREAN_CHANNELS.items()
-    ]
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"] != ""))
+    """First address on a host of each channel, without its query."""
+    links = F.regexp_extract_all(text, F.lit(r"(?i)(https?://[^\s\"'<>]+)"))
+    found = F.transform(links, lambda u: F.struct(urls.netloc(u).alias("host"), u.alias("url")))
+    found = F.filter(found, lambda x: F.length(urls.path(x["url"])) > 1)
+
+    def first(hosts) -> Column:
+        return F.get(F.filter(found, lambda x: x["host"].isin(*hosts)), F.lit(0))["url"]
+
+    entries = [F.struct(F.lit(k).alias("key"), F.substring_index(first(hosts), "?", 1).alias("value")) for k, hosts in vocab.KOREAN_CHANNELS.items()]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.coalesce(e["value"], F.lit("")) != ""))
 
 
 def social_profile(platform: Column, url: Column) -> Column:
@@ -626,7 +631,7 @@ def search_result_score(
         )
         own_account = platform.isNotNull() & F.coalesce(is_platform_profile(platform, u), F.lit(False))
         excluded = (
-            F.when(F.lower(u).rlike(vocab.SEARCH_EXCLUDED_PATTERN), "excluded_url")
+            F.when(contains_any(F.lower(u), vocab.SEARCH_EXCLUDED_PARTS), "excluded_url")
             .when(urls.is_platform_url(u), "excluded_platform")
             .when(own_account, "excluded_own_account")
         )

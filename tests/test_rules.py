@@ -249,3 +249,23 @@ def test_labelled_values_of_any_length(spark):
     assert rows[0]["company_name"] == "가나다 " * 30 + "끝" and rows[0]["representative"] == "김철수"
     assert rows[0]["address"] == street and rows[0]["brand_name"] == "노바" and rows[0]["maker_name"] is None
     assert all(rows[i][c] is None for i in (1, 2, 3) for c in ("company_name", "representative", "address"))
+
+
+def test_people_are_read_in_front_of_titles(spark):
+    from leadloom.operators.contacts import titled_people
+
+    cases = {
+        "Meet Jane Miller, CEO and (Tom B. Hardy | VP Sales Europe.": [("Jane Miller", "CEO"), ("Tom B. Hardy", "VP Sales Europe")],
+        "Ann Lee - Co-Founder; Bo Xu – Head of Global Sales, Paris": [("Ann Lee", "Co-Founder"), ("Bo Xu", "Head of Global Sales")],
+        "Sales, CEO": [], "CEO": [], "": [], "Jane Miller, friend of the CEO": [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i long, t string").orderBy("i").select(titled_people(F.col("t")).alias("p"))
+    assert [[(x["name"], x["title"]) for x in r["p"]] for r in df.collect()] == list(cases.values())
+
+
+def test_korean_channels(spark):
+    from leadloom.operators.sites import korean_channels
+
+    text = "see https://blog.naver.com/shop?x=1, 'https://pf.kakao.com/_abc' https://band.us/ https://blog.naver.com/other https://notband.us/x"
+    got = spark.createDataFrame([(text,), ("",)], "t string").select(korean_channels(F.col("t")).alias("m")).collect()
+    assert got[0]["m"] == {"naver_blog": "https://blog.naver.com/shop", "kakao": "https://pf.kakao.com/_abc"} and got[1]["m"] == {}
