@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,7 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_table(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/leadloom-{uuid.uuid4().hex}"
+    """A path for an intermediate table, removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/leadloom-{uuid.uuid4().hex}"
+    atexit.register(_drop_at_exit, spark, path)
+    return path
+
+
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        drop_table(spark, path)
+    except Exception:  # noqa: BLE001  the session has ended; the folder is left to its owner
+        pass
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
@@ -46,15 +57,20 @@ def cut_lineage(rows: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def rank_within(rows: DataFrame, keys, order, name: str) -> DataFrame:
+def rank_within(rows: DataFrame, keys, order, name: str, row_id: str | None = None) -> DataFrame:
     """Position 1..n inside every key in the given order, without putting a whole key
     into one task.
 
     Rows are range-partitioned by key and order, numbered inside each partition, and
     shifted by the key's counts in the partitions before. The partition numbers are
-    written down first, so both uses of them agree.
+    written down first, so both uses of them agree. Where ``row_id`` names a column that tells all rows apart, only it and
+    the columns of key and order are written and sorted, the input is read once for that, and the rows get their position by a join.
     """
     keys, order = list(keys), list(order)
+    if row_id:
+        narrow = cut_lineage(rows.select(*dict.fromkeys([row_id, *keys, *order])))
+        places = rank_within(narrow, keys, order, name).select(row_id, name)
+        return rows.join(places, row_id)
     sorted_rows = rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id())
     parts = cut_lineage(sorted_rows)
     inner = parts.withColumn(name, F.row_number().over(Window.partitionBy("part", *keys).orderBy(*order)))

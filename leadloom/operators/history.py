@@ -96,13 +96,13 @@ def best_per_key(rows: DataFrame, keys, rank, tie, columns) -> DataFrame:
     )
 
 
-def round_robin(rows: DataFrame, group, within) -> DataFrame:
+def round_robin(rows: DataFrame, group, within, row_id: str | None = "id") -> DataFrame:
     """Interleave groups: one row of each group per round, groups in name order.
 
     ``turn`` is the round and ``group_key`` the group; ordering by both gives the
-    interleaved sequence.
+    interleaved sequence. ``row_id`` tells the rows apart, None if no column does.
     """
     from leadloom.operators.entities import rank_within
 
     key = F.concat_ws("|", *[F.coalesce(F.col(g).cast("string"), F.lit("None")) for g in group])
-    return rank_within(rows.withColumn("group_key", key), ["group_key"], within, "turn")
+    return rank_within(rows.withColumn("group_key", key), ["group_key"], within, "turn", row_id)

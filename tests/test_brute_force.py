@@ -42,6 +42,8 @@ def test_rank_within(spark):
     rows = [(i, "hot" if i % 3 else f"g{i % 7}", rng.random()) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, g string, v double").repartition(6)
     got = {r["id"]: r["n"] for r in rank_within(df, ["g"], ["v", "id"], "n").collect()}
+    wide = rank_within(df.selectExpr("*", "repeat('x', 9) AS wide"), ["g"], ["v", "id"], "n", "id")
+    assert {r["id"]: r["n"] for r in wide.collect()} == got and wide.columns.count("id") == 1 and "wide" in wide.columns
     for group in {g for _, g, _ in rows}:
         for n, (i, _, _) in enumerate(sorted((r for r in rows if r[1] == group), key=lambda r: (r[2], r[0])), 1):
             assert got[i] == n
