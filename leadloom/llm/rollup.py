@@ -4,7 +4,8 @@ A change row is (op, key columns, n_tokens, old_n_tokens and, where a revision m
 becomes signed rows: an insert adds a document and its tokens, a delete takes them away, a revision takes the old count away and adds
 the new one. ``commit`` adds a batch's deltas, summed by key, as one folder named after the batch; it counts once
 its ``_SUCCESS`` marker is there, so a batch sent again is left as it is, and a broken one is written anew. ``totals`` adds up what
-is committed. ``compact`` folds all committed batches into one and remembers their names.
+is committed. ``compact`` folds all committed batches into one and remembers their names; its folders are named ``compact-``, and a batch that
+is called so is refused.
 
 Null counts are 0, null keys are a key of their own, repeated change rows count each (a change feed sends a change once per batch). Keys whose
 documents are all gone are left out of the totals. An empty batch commits and adds nothing. Extra columns are not read.
@@ -51,6 +52,8 @@ def commit(changes: DataFrame, ledger: str, batch: str, keys: tuple[str, ...] =
     spark = changes.sparkSession
     if not batch or not all(c.isalnum() or c in "-_" for c in batch):
         raise ValueError("a batch name has letters, digits, - and _ only")
+    if batch.startswith("compact-"):
+        raise ValueError("names that begin with compact- are those of compactions")
     if _exists(spark, f"{ledger}/batch={batch}/_SUCCESS") or batch in folded(spark, ledger):
         return False
     deltas = signed(changes, keys).groupBy(*keys).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))

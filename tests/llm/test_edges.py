@@ -80,6 +80,13 @@ def test_rollup(spark, docs, size):
     assert not size or any(r["source"] is None and r["lang"] is None and r["n_tokens"] == 0 for r in rows)
 
 
+def test_rollup_refuses_the_names_of_compactions(spark, docs):
+    changes = docs.select(F.lit("insert").alias("op"), "source", "lang", F.lit("v").alias("tokenizer_version"), F.length("text").alias("n_tokens"))
+    for name in ("compact-1", "compact-", "compact-x", "", "a/b"):
+        with pytest.raises(ValueError):
+            rollup.commit(changes, shared_folder(spark), name)
+
+
 @pytest.mark.parametrize("labels", [[], [(4, 1, 0), (6, None, 0), (None, 1, 1)], [(4, 1, 0), (4, 0, 0), (7, 0, 1), (8, 1, 0), (999, 1, 0)]])
 def test_quality(spark, docs, size, labels):
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
