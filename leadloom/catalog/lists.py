@@ -280,11 +280,6 @@ def join08(spark, sf):
     return rows.select("id", "exact_match", "folded_match")
 
 
-@query("join09_maker_match")
-def join09(spark, sf):
-    return joins.match_makers(inputs.projects(spark, sf), table(spark, sf, "makers"))
-
-
 @query(
     "join10_capture_projects",
     with_tables("projects", then="""

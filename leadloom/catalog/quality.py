@@ -9,6 +9,7 @@ from leadloom.catalog import inputs, query
 from leadloom.catalog.boards import any_in, cats
 from leadloom.catalog.inputs import joined
 from leadloom.catalog.lists import NOW, q
+from leadloom.catalog.pages import REASON, net, upath
 from leadloom.domain import AS_OF, table, with_tables
 from leadloom.functions import urls
 from leadloom.functions.text import joined_lower
@@ -264,6 +265,27 @@ def er02b(spark, sf):
     return first_independent(table(spark, sf, "key_edges").select("id", F.col("k").alias("key")))
 
 
+MATCH_SQL = f"""
+    WITH u0 AS (SELECT *, maker_url AS url, {net('maker_url')} AS net, lower({upath('maker_url')}) AS lpath FROM projects),
+    p AS (SELECT id, maker_id, CASE WHEN {REASON} IS NULL THEN trim(maker_url) END AS site, nullif(lower(trim(coalesce(nullif(maker_name, ''), title))), '') AS label FROM u0),
+    f AS (SELECT p.*, l.id AS linked, s.m AS sm, n.m AS nm FROM p LEFT JOIN makers l ON l.id = p.maker_id
+      LEFT JOIN (SELECT website_url, min(id) AS m FROM makers WHERE website_url IS NOT NULL GROUP BY 1) s ON s.website_url = p.site LEFT JOIN (SELECT lower(name) AS name, min(id) AS m FROM makers GROUP BY 1) n ON n.name = p.label),
+    nw AS (SELECT id, site, label FROM f WHERE coalesce(linked, sm, nm) IS NULL),
+    k AS (SELECT id, 'u:' || site AS key FROM nw WHERE site IS NOT NULL UNION SELECT id, 'n:' || label FROM nw WHERE label IS NOT NULL),
+    {WALK_SQL.rpartition("SELECT id FROM r")[0].rstrip()},
+    b AS (SELECT id, row_number() OVER (ORDER BY id) + (SELECT coalesce(max(id), 0) FROM makers) AS maker FROM r WHERE kept),
+    bs AS (SELECT site, min(maker) AS s FROM b JOIN nw USING (id) WHERE site IS NOT NULL GROUP BY 1), bn AS (SELECT label, min(maker) AS m FROM b JOIN nw USING (id) WHERE label IS NOT NULL GROUP BY 1)
+    SELECT id, coalesce(linked, sm, nm) AS maker_id, CASE WHEN linked IS NOT NULL THEN 'link' WHEN sm IS NOT NULL THEN 'website' ELSE 'name' END AS how FROM f WHERE coalesce(linked, sm, nm) IS NOT NULL
+    UNION ALL SELECT nw.id, coalesce(s, m), 'new' FROM nw LEFT JOIN bs USING (site) LEFT JOIN bn USING (label)"""
+
+
+@query("join09_maker_match", recursive(with_tables("projects", "makers", then=MATCH_SQL)))
+def join09(spark, sf):
+    from leadloom.operators import joins
+
+    return joins.match_makers(inputs.projects(spark, sf), table(spark, sf, "makers"))
+
+
 @query(
     "er03_quota_selection",
     with_tables("projects", then="""
