@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,17 +77,13 @@ def under_domain(host: Column, domain) -> Column:
     return (host == d) | F.endswith(host, F.concat(F.lit("."), d))
 
 
-def host_suffixes(host: Column) -> Column:
-    """``a.b.c`` -> [a.b.c, b.c, c]; lets domain rules become an equality test."""
-    return let(
-        F.split(host, r"\."),
-        lambda labels: F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")),
-    )
+def _either(names) -> str:
+    return "|".join(re.escape(n) for n in names)
 
 
 def under_any(host: Column, domains) -> Column:
-    """One suffix expansion and one array overlap, whatever the number of domains."""
-    return F.arrays_overlap(host_suffixes(host), lit_array(domains))
+    """One pattern, whatever the number of domains: the host ends in one of them, at a label's start."""
+    return host.rlike(rf"(?:^|\.)(?:{_either(domains)})\z")
 
 
 def first_under(host: Column, domains) -> Column:
@@ -103,7 +101,7 @@ def matches_host_rules(host: Column, rules) -> Column:
     domains = [r for r in rules if not r.endswith(".")]
     tests = []
     if labels:
-        tests.append(F.arrays_overlap(F.split(host, r"\."), lit_array(labels)))
+        tests.append(host.rlike(rf"(?:^|\.)(?:{_either(labels)})(?:\.|\z)"))
     if domains:
         tests.append(under_any(host, domains))
     return any_of(tests)

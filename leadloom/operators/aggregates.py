@@ -177,6 +177,21 @@ def _how_many(channels: Column, keys, statuses) -> Column:
     return F.size(F.filter(channels, lambda c: c["channel"].isin(*keys) & c["status"].isin(*statuses)))
 
 
+CHANNELS_TYPE = "array<struct<channel:string,label:string,status:string,search_url:string,note:string>>"
+
+
+def _st(c: Column) -> Column:
+    return F.lower(F.coalesce(c["status"], F.lit("")))
+
+
+def _key(c: Column) -> Column:
+    return F.lower(F.coalesce(c["channel"], F.lit("")))
+
+
+def _found(channels: Column) -> Column:
+    return F.filter(channels, lambda c: _st(c).isin("found", "limited"))
+
+
 def presence_stars(channels: Column) -> Column:
     """5 = nothing found in Japan … 1 = widely sold."""
     shops = _how_many(channels, vocab.SHOP_CHANNELS, ("found",))
@@ -196,22 +211,30 @@ def presence_flags(channels: Column) -> dict[str, Column]:
     return {"has_distributor": distributor, "sold_in_japan": sold, "no_japan_presence": ~distributor & ~sold}
 
 
+def japan_facts(channels: Column) -> dict[str, Column]:
+    """What the state of one check needs of its channels, as flags and a number."""
+    channels = F.coalesce(channels, F.array().cast(CHANNELS_TYPE))
+    hit = lambda c: _st(c).isin("found", "limited")
+    checked = F.size(F.filter(channels, lambda c: _st(c).isin("found", "limited", "not_found")))
+    return {
+        "japan_presence": F.exists(channels, lambda c: hit(c) & _key(c).isin(*vocab.PRESENCE_CHANNELS)),
+        "japan_crowdfunding": F.exists(channels, lambda c: hit(c) & _key(c).isin(*vocab.DOMESTIC_CROWDFUNDING_CHANNELS)),
+        "japan_not_found": (checked >= 3) & ~F.exists(channels, hit),
+        "japan_share": numbers.whole(checked / F.greatest(F.size(channels), F.lit(1)) * 30),
+    }
+
+
 def interpret_japan(
-    status: Column, channels: Column, job_status: Column | None = None, checked_at: Column | None = None
+    status: Column, channels: Column, job_status: Column | None = None, checked_at: Column | None = None,
+    facts: dict[str, Column] | None = None,
 ) -> dict[str, Column]:
     """State, result and confidence of the newest check. ``status`` is NULL when
-    there is no check; an open job hides an older result."""
-    channels = F.coalesce(channels, F.array().cast("array<struct<channel:string,label:string,status:string,search_url:string,note:string>>"))
+    there is no check; an open job hides an older result. ``facts`` are the
+    ``japan_facts`` of the channels, if they are known already."""
+    channels = F.coalesce(channels, F.array().cast(CHANNELS_TYPE))
     active = F.coalesce(job_status.isin("queued", "running"), F.lit(False)) if job_status is not None else F.lit(False)
-    st = lambda c: F.lower(F.coalesce(c["status"], F.lit("")))
-    key = lambda c: F.lower(F.coalesce(c["channel"], F.lit("")))
-    found = F.filter(channels, lambda c: st(c).isin("found", "limited"))
-    absent = F.filter(channels, lambda c: st(c) == "not_found")
-    presence = F.exists(found, lambda c: key(c).isin(*vocab.PRESENCE_CHANNELS))
-    crowdfunding = F.exists(found, lambda c: key(c).isin(*vocab.DOMESTIC_CROWDFUNDING_CHANNELS))
-    checked = F.size(found) + F.size(absent)
-    not_found = (checked >= 3) & (F.size(found) == 0)
-    share = numbers.whole(checked / F.greatest(F.size(channels), F.lit(1)) * 30)
+    found = _found(channels)
+    presence, crowdfunding, not_found, share = (facts or japan_facts(channels)).values()
     state = (
         F.when(active, job_status if job_status is not None else F.lit(None))
         .when(status.isNull(), "not_checked")
@@ -226,10 +249,10 @@ def interpret_japan(
         F.when(presence, 85).when(crowdfunding, 70).when(not_found, F.least(numbers.clamp(40 + share), F.lit(65))).otherwise(25),
     ).otherwise(0)
     links = F.array_compact(
-        F.transform(F.filter(channels, lambda c: st(c).isin("found", "limited", "not_found")), lambda c: F.nullif(c["search_url"], F.lit("")))
+        F.transform(F.filter(channels, lambda c: _st(c).isin("found", "limited", "not_found")), lambda c: F.nullif(c["search_url"], F.lit("")))
     )
-    label = lambda c: F.coalesce(F.nullif(c["label"], F.lit("")), key(c))
-    evidence = F.transform(found, lambda c: F.concat(label(c), F.lit(": "), st(c)))
+    label = lambda c: F.coalesce(F.nullif(c["label"], F.lit("")), _key(c))
+    evidence = F.transform(found, lambda c: F.concat(label(c), F.lit(": "), _st(c)))
     empty = F.array().cast("array<string>")
     return {
         "japan_state": state,

@@ -2,24 +2,56 @@
 
 "Newest row per key" is an aggregate (``max_by``), so each task keeps one row
 per key before the shuffle and a key that owns a third of the history costs no
-more than any other. "Newest N per key" is a ``row_number`` filter, which Spark
-turns into a group limit on both sides of the shuffle.
+more than any other. Every column is an aggregate of its own: Spark drops those that
+nobody reads, and with numbers, flags and times alone it aggregates by hashing,
+where strings, arrays and structs make it sort the whole history first. "Newest N per
+key" is a ``row_number`` filter, which Spark turns into a group limit on both sides of
+the shuffle.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DateType, IntegerType, LongType, ShortType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
+from leadloom.functions.urls import lit_array
+
+
+def both(rows: DataFrame, first: Column, second: Column) -> Column:
+    """Order by ``first``, then ``second``, NULL lowest; one decimal for times and whole numbers, else a struct."""
+    a, b = (f.dataType for f in rows.select(first.alias("a"), second.alias("b")).schema)
+    if isinstance(a, TimestampNTZType):  # no clock of the session comes into it
+        day = F.unix_date(first.cast("date")).cast("long")
+        first = (day * 86_400 + F.hour(first) * 3_600 + F.minute(first) * 60) * 1_000_000 + (F.extract(F.lit("SECOND"), first) * 1_000_000).cast("long")
+    elif isinstance(a, TimestampType):
+        first = F.unix_micros(first)
+    elif isinstance(a, DateType):
+        first = F.unix_date(first)
+    elif not isinstance(a, ByteType | ShortType | IntegerType):
+        return F.struct(first, second)
+    if not isinstance(b, ByteType | ShortType | IntegerType | LongType):
+        return F.struct(first, second)
+    wide = lambda c: c.cast("decimal(20,0)")
+    low = F.coalesce(wide(second) + F.lit(Decimal(2**63 + 1)), F.lit(Decimal(0)))  # 0 to 2^64
+    return F.coalesce(wide(first), F.lit(Decimal(-5 * 10**18))) * F.lit(Decimal(2**64 + 1)) + low
+
+
+def coded(value: Column, values) -> Column:
+    """Place of ``value`` among ``values`` from 1, 0 for any other; NULL stays."""
+    return F.array_position(lit_array(values), value)
+
+
+def decoded(code: Column, values) -> Column:
+    return F.get(lit_array(values), code.cast("int") - 1)
+
 
 def _newest(rows: DataFrame, key: str, order: Column, columns) -> DataFrame:
-    kept = columns or [c for c in rows.columns if c != key]
-    return (
-        rows.groupBy(key)
-        .agg(F.max_by(F.struct(*kept), order).alias("newest"))
-        .select(key, "newest.*")
-    )
+    kept = rows.select(F.col(key), order.alias("_order"), *(columns or [c for c in rows.columns if c != key]))
+    return kept.groupBy(key).agg(*[F.max_by(c, "_order").alias(c) for c in kept.columns[2:]])
 
 
 def latest_by_id(
@@ -40,9 +72,7 @@ def latest_by_time(
 ) -> DataFrame:
     """Newest row per key by time, then id."""
     rows = history if where is None else history.filter(where)
-    return _newest(
-        rows.filter(F.col(key).isNotNull()), key, F.struct(F.col(time), F.col(row_id)), columns
-    )
+    return _newest(rows.filter(F.col(key).isNotNull()), key, both(rows, F.col(time), F.col(row_id)), columns)
 
 
 def join_latest(entities: DataFrame, history: DataFrame, prefix: str, columns, **kw) -> DataFrame:

@@ -1,7 +1,9 @@
 """Wide signals rows: one row per project, every input a rule needs as a column.
 
 Each history table is reduced to its newest row per project first, then the
-reduced tables are left-joined on the project id, so all joins share one key.
+reduced tables are left-joined on the project id, so all joins share one key. What
+the rules need of texts and channel lists is found before the reduction, as flags,
+numbers and codes: the texts themselves are then carried only for those who read them.
 """
 
 from __future__ import annotations
@@ -9,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadloom import vocab
 from leadloom.functions import urls
+from leadloom.functions.text import any_of
 from leadloom.operators import aggregates as agg
-from leadloom.operators.history import latest_by_id, latest_by_time
+from leadloom.operators.history import both, coded, decoded, latest_by_id, latest_by_time
 from leadloom.operators.joins import project_ids, same_category_exists
 
 CONTACT_COLUMNS = (
@@ -25,19 +29,31 @@ def present(name: str):
     return F.coalesce(F.col(name) != "", F.lit(False))
 
 
-def newest_contacts(contacts: DataFrame, by_id: bool = False) -> DataFrame:
+def some(name: str):
+    return F.coalesce(F.size(F.col(name)) > 0, F.lit(False))
+
+
+def newest_contacts(contacts: DataFrame, by_id: bool = False, flags=None) -> DataFrame:
+    """Newest contact row per project; ``flags`` are columns found on every row before."""
     pick = latest_by_id if by_id else latest_by_time
     columns = [c for c in CONTACT_COLUMNS if c in contacts.columns]
     if "status" in contacts.columns:
         columns.append("status")
+    columns += [c.alias(n) for n, c in (flags or {}).items()]
     return pick(contacts, columns=columns).withColumnRenamed("status", "contact_status_raw")
 
 
-def newest_completed_check(checks: DataFrame) -> DataFrame:
+def contact_flag():
+    """Some address or form, stored as the main one or in the lists."""
+    return present("primary_email") | some("discovered_emails") | present("primary_contact_form_url") | some("discovered_forms")
+
+
+def newest_completed_check(checks: DataFrame, flags=None) -> DataFrame:
     return latest_by_time(
         checks,
         where=F.col("status") == "completed",
-        columns=["channels", "sales_value_stars", F.col("created_at").alias("checked_at"), F.col("status").alias("check_status")],
+        columns=["channels", "sales_value_stars", F.col("created_at").alias("checked_at"), F.col("status").alias("check_status"),
+                 *[c.alias(n) for n, c in (flags or {}).items()]],
     )
 
 
@@ -51,18 +67,21 @@ def executive_signals(
     success_cases: DataFrame,
 ) -> DataFrame:
     """Inputs of the executive score; all booleans are non-NULL."""
-    cd = newest_contacts(contacts).withColumn("contact_checked", F.lit(True))
+    channels = list(vocab.CHANNEL_NORMALISE)
+    given = {
+        "has_email": present("primary_email"),
+        "has_form": present("primary_contact_form_url"),
+        "has_instagram": present("instagram_url"),
+        "has_linkedin": present("linkedin_url"),
+        "has_facebook": present("facebook_url"),
+        "has_official_site": urls.official_site_or_none(F.col("official_site_url")).isNotNull(),
+    }
+    cd = newest_contacts(contacts, flags={**given, "channel_code": coded(F.col("recommended_channel"), channels)}).withColumn("contact_checked", F.lit(True))
     flags = agg.presence_flags(F.col("channels"))
-    check = newest_completed_check(japan_checks).select(
-        "project_id", F.lit(True).alias("japan_checked"), *[c.alias(n) for n, c in flags.items()]
-    )
+    check = newest_completed_check(japan_checks, flags).select("project_id", F.lit(True).alias("japan_checked"), *flags)
     research = latest_by_time(
-        researches, where=F.col("research_status") == "completed", columns=["japan_market_fit"]
-    ).select(
-        "project_id",
-        F.lit(True).alias("research_done"),
-        (F.coalesce(F.col("japan_market_fit"), F.lit("")) != "").alias("research_japan_fit"),
-    )
+        researches, where=F.col("research_status") == "completed", columns=[present("japan_market_fit").alias("research_japan_fit")]
+    ).withColumn("research_done", F.lit(True))
     person = top_person(people).select("project_id", F.col("priority").alias("contact_person_priority"))
     rows = projects
     for part in (cd, check, research, person):
@@ -70,18 +89,13 @@ def executive_signals(
     rows = same_category_exists(rows, success_cases)
     return rows.withColumns(
         {
-            "has_email": present("primary_email"),
-            "has_form": present("primary_contact_form_url"),
-            "has_instagram": present("instagram_url"),
-            "has_linkedin": present("linkedin_url"),
-            "has_facebook": present("facebook_url"),
-            "has_official_site": urls.official_site_or_none(F.col("official_site_url")).isNotNull(),
             "similarity_top": F.when(F.col("similar_category"), 70),
-            "contact_recommended_channel": F.col("recommended_channel"),
+            "contact_recommended_channel": decoded(F.col("channel_code"), channels),  # NULL for one that no rule knows
         }
-    ).fillna(
+    ).drop("channel_code").fillna(
         False,
-        ["contact_checked", "japan_checked", "has_distributor", "sold_in_japan", "no_japan_presence",
+        [*given,
+         "contact_checked", "japan_checked", "has_distributor", "sold_in_japan", "no_japan_presence",
          "research_done", "research_japan_fit"],
     )
 
@@ -101,22 +115,33 @@ def signal_columns(extra=()) -> dict:
 def top_person(people: DataFrame) -> DataFrame:
     """Best contact person per project: priority, then confidence, then oldest id."""
     low = F.lit(-1)
-    order = F.struct(
-        F.coalesce(F.col("priority"), low).alias("p"),
-        F.coalesce(F.col("confidence"), low).alias("c"),
-        (-F.col("id")).alias("i"),
-    )
+    p, c = F.coalesce(F.col("priority"), low), F.coalesce(F.col("confidence"), low)
+    order = F.struct(p.alias("p"), c.alias("c"), (-F.col("id")).alias("i"))
+    # the priority is the largest one; only among those that count as -1 does the rest of the order matter
+    lowest = F.max_by("priority", F.when(p == low, both(people, c, -F.col("id"))))
+    priority = F.when(F.max(p) == low, lowest).otherwise(F.max(p))
     return people.groupBy("project_id").agg(
-        F.max_by(F.struct("id", "name", "title", "priority", "confidence"), order).alias("person")
-    ).select("project_id", "person.*")
+        *[F.max_by(n, order).alias(n) for n in ("id", "name", "title")],
+        priority.alias("priority"),
+        F.max_by("confidence", order).alias("confidence"),
+    )
 
 
 def fit_signals(
     projects: DataFrame, *, contacts: DataFrame, japan_checks: DataFrame, jobs: DataFrame | None = None
 ) -> DataFrame:
     """Inputs of the fit assessment."""
-    check = newest_completed_check(japan_checks)
-    cd = newest_contacts(contacts)
+    listed = F.exists(
+        F.col("channels"),
+        lambda c: F.lower(c["status"]).isin("found", "limited")
+        & (F.contains(F.lower(c["channel"]), F.lit("makuake")) | F.contains(F.lower(c["channel"]), F.lit("green"))),
+    )
+    facts = agg.japan_facts(F.col("channels"))
+    check = newest_completed_check(japan_checks, {**facts, "on_makuake": listed}).withColumn("checked", F.lit(True))
+    lists = [some(name) for name in ("discovered_emails", "discovered_forms") if name in contacts.columns]
+    has_contact = any_of([present("primary_email"), present("primary_contact_form_url"), *lists])
+    site = urls.official_site_or_none(F.col("official_site_url")).isNotNull()
+    cd = newest_contacts(contacts, flags={"has_contact": has_contact, "has_site": site})
     rows = projects.join(check.withColumnRenamed("project_id", "id"), "id", "left").join(
         cd.withColumnRenamed("project_id", "id"), "id", "left"
     )
@@ -127,16 +152,10 @@ def fit_signals(
         )
         rows = rows.join(newest_job.withColumnRenamed("project_id", "id"), "id", "left")
         job_status = F.col("japan_job_status")
-    japan = agg.interpret_japan(F.col("check_status"), F.col("channels"), job_status, F.col("checked_at"))
-    listed = F.exists(
-        F.col("channels"),
-        lambda c: F.lower(c["status"]).isin("found", "limited")
-        & (F.contains(F.lower(c["channel"]), F.lit("makuake")) | F.contains(F.lower(c["channel"]), F.lit("green"))),
-    )
-    some = lambda name: F.coalesce(F.size(F.col(name)) > 0, F.lit(False)) if name in rows.columns else F.lit(False)
-    official = F.coalesce(
-        urls.official_site_or_none(F.col("official_site_url")), urls.official_site_or_none(F.col("maker_url"))
-    )
+    # only completed checks are looked at
+    status = F.when(F.col("checked").isNotNull(), "completed")
+    japan = agg.interpret_japan(status, F.col("channels"), job_status, F.col("checked_at"), {n: F.col(n) for n in facts})
+    has_site = F.coalesce(F.col("has_site"), F.lit(False)) | urls.official_site_or_none(F.col("maker_url")).isNotNull()
     return rows.withColumns(japan).select(
         "id",
         "title",
@@ -148,12 +167,12 @@ def fit_signals(
         F.col("backers_count").alias("backers"),
         "maker_name",
         "source_site",
-        official.isNotNull().alias("has_official_site"),
-        (present("primary_email") | present("primary_contact_form_url") | some("discovered_emails") | some("discovered_forms")).alias("has_contact"),
+        has_site.alias("has_official_site"),
+        F.coalesce(F.col("has_contact"), F.lit(False)).alias("has_contact"),
         (F.col("japan_state") == "completed").alias("japan_checked"),
         F.col("sales_value_stars").alias("japan_stars"),
         F.coalesce(F.col("japan_result") == "sold_in_japan", F.lit(False)).alias("already_in_japan"),
-        F.coalesce(listed, F.lit(False)).alias("on_makuake"),
+        F.coalesce(F.col("on_makuake"), F.lit(False)).alias("on_makuake"),
         "japan_state",
         "japan_result",
         "japan_confidence",

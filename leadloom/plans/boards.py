@@ -10,10 +10,10 @@ from leadloom.functions import dates, numbers
 from leadloom.functions.text import map_lookup
 from leadloom.operators import aggregates as agg
 from leadloom.operators import scores
-from leadloom.operators.history import last_n, latest_by_id, top_k
+from leadloom.operators.history import coded, decoded, last_n, latest_by_id, top_k
 from leadloom.operators.joins import category_key, prepared, project_ids, reachable_ids
 from leadloom.operators.projections import normalise_sales_status, target_projects
-from leadloom.operators.signals import executive_signals, newest_contacts, present, signal_columns
+from leadloom.operators.signals import contact_flag, executive_signals, newest_contacts, present, signal_columns, some
 
 
 def executive_summaries(projects: DataFrame, **sources) -> DataFrame:
@@ -184,7 +184,6 @@ def outreach_priorities(
         .join(cd.filter(F.col("contact_status_raw") == "completed"), "id")
         .join(fit.withColumn("evaluated", F.lit(True)), "id", "left").join(sent, "id", "left").fillna(False, ["evaluated"])
     )
-    some = lambda n: F.coalesce(F.size(F.col(n)) > 0, F.lit(False))
     has_email = present("primary_email") | some("discovered_emails")
     has_channel = has_email | present("primary_contact_form_url") | some("discovered_forms")
     rows = rows.withColumns(
@@ -239,16 +238,24 @@ def combined_cards(
         assessments,
         columns=["japan_market_fit", "exclusivity", "makuake_fit", "overall_priority_score", "confidence", "provisional", F.col("created_at").alias("assessed_at")],
     ).withColumn("saved", F.lit(True))
-    job = latest_by_id(jobs, where=F.col("job_type") == "japan_sales_check", columns=[F.col("status").alias("job_status")])
-    check = latest_by_id(japan_checks, columns=["channels", F.col("status").alias("check_status"), F.col("created_at").alias("checked_at")])
-    cd = newest_contacts(contacts, by_id=True)
+    raw, open_states = F.col("status"), ("queued", "running")
+    job = latest_by_id(
+        jobs, where=F.col("job_type") == "japan_sales_check", columns=[raw.alias("job_status"), coded(raw, open_states).alias("job_code")]
+    )
+    facts, check_states = agg.japan_facts(F.col("channels")), ("failed", "pending", "completed")
+    known = F.when(raw.isin("failed", "completed"), raw).when(raw.isNotNull(), "pending")  # any other one is under way
+    check = latest_by_id(
+        japan_checks,
+        columns=["channels", raw.alias("check_status"), F.col("created_at").alias("checked_at"), coded(known, check_states).alias("check_code"), *[c.alias(n) for n, c in facts.items()]],
+    )
+    cd = newest_contacts(contacts, by_id=True, flags={"has_contact": contact_flag()})
     rows = target_projects(projects)
     for part in (fit, job, check, cd):
         rows = rows.join(part.withColumnRenamed("project_id", "id"), "id", "left")
-    some = lambda n: F.coalesce(F.size(F.col(n)) > 0, F.lit(False))
-    has_contact = present("primary_email") | some("discovered_emails") | present("primary_contact_form_url") | some("discovered_forms")
-    japan = agg.interpret_japan(F.col("check_status"), F.col("channels"), F.col("job_status"), F.col("checked_at"))
-    rows = rows.fillna(False, ["saved"]).withColumns({**japan, "has_contact": has_contact})
+    japan = agg.interpret_japan(
+        decoded(F.col("check_code"), check_states), F.col("channels"), decoded(F.col("job_code"), open_states), F.col("checked_at"), {n: F.col(n) for n in facts}
+    )
+    rows = rows.fillna(False, ["saved", "has_contact"]).withColumns(japan).drop("job_code", "check_code", *facts)
     saved, overall, confidence = F.col("saved"), F.coalesce(F.col("overall_priority_score"), F.lit(0)), F.coalesce(F.col("confidence"), F.lit(0))
     base = F.coalesce(map_lookup(F.col("sales_status"), vocab.STATUS_BASE_DECISION), F.when(F.col("has_contact"), "needs_email").otherwise("needs_contact"))
     combined = scores.combined_decision(
