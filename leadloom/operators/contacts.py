@@ -301,14 +301,14 @@ def _first_value(rests: Column, separator: str, least: int) -> Column:
     """The first value of at least ``least`` characters, up to a separator and without the word of a next label."""
     stops = "|".join(vocab.CAPTURE_STOPS)
 
-    def value(rest):
-        raw = F.trim(F.element_at(F.split(rest, separator, 2), 1))
+    def cut(raw):
         # the first character belongs to the value even when a stop word starts there
-        cut = F.concat(F.substring(raw, 1, 1), F.element_at(F.split(F.substring(raw, F.lit(2), F.length(raw)), stops), 1))
-        return F.struct(F.length(raw).alias("n"), F.trim(F.trim(cut), F.lit(".,;:·・")).alias("value"))
+        kept = F.concat(F.substring(raw, 1, 1), F.element_at(F.split(F.substring(raw, F.lit(2), F.length(raw)), stops), 1))
+        return F.struct(F.length(raw).alias("n"), F.trim(F.trim(kept), F.lit(".,;:·・")).alias("value"))
 
-    first = F.get(F.filter(F.transform(rests, value), lambda v: v["n"] >= least), F.lit(0))["value"]
-    return F.when(F.length(first) >= 2, first)
+    # bound, as each mention would split the rest of the document again
+    values = F.transform(F.transform(rests, lambda rest: F.trim(F.element_at(F.split(rest, separator, 2), 1))), cut)
+    return let(F.get(F.filter(values, lambda v: v["n"] >= least), F.lit(0))["value"], lambda first: F.when(F.length(first) >= 2, first))
 
 
 def labelled_fields(text: Column) -> dict[str, Column]:

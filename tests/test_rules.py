@@ -269,3 +269,12 @@ def test_korean_channels(spark):
     text = "see https://blog.naver.com/shop?x=1, 'https://pf.kakao.com/_abc' https://band.us/ https://blog.naver.com/other https://notband.us/x"
     got = spark.createDataFrame([(text,), ("",)], "t string").select(korean_channels(F.col("t")).alias("m")).collect()
     assert got[0]["m"] == {"naver_blog": "https://blog.naver.com/shop", "kakao": "https://pf.kakao.com/_abc"} and got[1]["m"] == {}
+
+
+def test_labelled_fields_split_a_text_once(spark):
+    from leadloom.operators.contacts import labelled_fields
+
+    df = spark.createDataFrame([("상호: 대표 Works  / 상호: A\n상호 : B | C 대표자: Kim",), ("x",), (None,)], "t string")
+    fields = df.select(labelled_fields(F.col("t"))["company_name"].alias("v"))
+    assert fields._jdf.queryExecution().analyzed().toString().count("[<|/·") == 1
+    assert [r[0] for r in fields.collect()] == ["대표 Works", None, None]
