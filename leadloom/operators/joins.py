@@ -162,33 +162,27 @@ def similar_cases(projects: DataFrame, cases: DataFrame, k: int = 3) -> DataFram
     blocks = _blocks(scored.withColumn("keyword_sets", _keyword_sets(F.col("case_keywords"))), "case_category")
     floor = F.least(F.lit(100), F.col("same") * 70 + F.col("n") * 5 + F.col("bonus"))
     w = Window.partitionBy("cat", "same", "words").orderBy(floor.desc(), F.col("case_id"))
-    best = blocks.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).drop("pos", "n")
+    best = blocks.withColumn("floor", floor).withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    best = best.groupBy("cat", "same", "words").agg(F.collect_list(F.struct("case_id", "floor")).alias("best"))
 
     wanted = projects.select(
         F.col("id").alias("project_id"),
         F.col("category").alias("project_category"),
         F.array_sort(title_keywords(F.coalesce(F.col("title"), F.lit("")))).alias("keywords"),
     )
-    lookups = _blocks(wanted.withColumn("keyword_sets", _keyword_sets(F.col("keywords"))), "project_category").drop("n")
+    lookups = _blocks(wanted.withColumn("keyword_sets", _keyword_sets(F.col("keywords"))), "project_category").select("project_id", "cat", "same", "words")
+    # a pair's score is the floor of the narrowest block it meets in, which is its largest one
+    pairs = lookups.join(best, ["cat", "same", "words"]).select("project_id", F.explode("best").alias("x"))
+    pairs = pairs.groupBy("project_id", "x.case_id").agg(F.max("x.floor").alias("score"))
+    w = Window.partitionBy("project_id").orderBy(F.col("score").desc(), F.col("case_id"))
+    top = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    # titles meet only for the pairs that are left; ids may repeat or be missing
+    one = lambda rows, key: rows.groupBy(F.col(key).alias(f"{key}_")).agg(F.max(F.struct(*[c for c in rows.columns if c != key])).alias("r")).select(f"{key}_", "r.*")
+    for side, key in ((wanted, "project_id"), (scored.select("case_id", "case_category", "case_keywords"), "case_id")):
+        top = top.join(one(side, key), F.col(key).eqNullSafe(F.col(f"{key}_")), "left").drop(f"{key}_")
     shared = F.array_intersect(F.col("keywords"), F.col("case_keywords"))
     same = F.coalesce(F.col("project_category") == F.col("case_category"), F.lit(False)) & (F.col("project_category") != "")
-    pairs = (
-        lookups.join(best, ["cat", "same", "words"])
-        .select("project_id", "case_id", "bonus", "case_raised", shared.alias("shared"), F.coalesce(same, F.lit(False)).alias("same_category"))
-        .dropDuplicates(["project_id", "case_id"])
-        .withColumn(
-            "score",
-            F.least(
-                F.lit(100),
-                F.when(F.col("same_category"), 70).otherwise(0)
-                + F.least(F.lit(15), F.size("shared") * 5)
-                + F.col("bonus"),
-            ),
-        )
-    )
-    matched = pairs.select("project_id", "case_id", "score", F.array_join("shared", ",").alias("shared_keywords"), "same_category")
-    w = Window.partitionBy("project_id").orderBy(F.col("score").desc(), F.col("case_id"))
-    ranked = matched.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = top.select("project_id", "case_id", "score", F.array_join(shared, ",").alias("shared_keywords"), F.coalesce(same, F.lit(False)).alias("same_category"), "rank")
 
     # fallback: the k best-funded cases, k rows whatever the data size
     funded = scored.orderBy(F.col("case_raised").desc(), F.col("case_id")).limit(k)

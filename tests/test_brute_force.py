@@ -87,6 +87,25 @@ def test_similar_cases(spark):
             assert [r["score"] for r in mine] == expected
 
 
+def test_similar_cases_look_up_without_titles(spark):
+    """Only blocks and ids are shuffled for the look-up; titles come in for the best cases of a project, also where ids repeat."""
+    projects = spark.createDataFrame([(1, "smart mini lamp", "a"), (1, "smart mini lamp", "a"), (2, "cup", "b"), (None, "desk", "c")], "id long, title string, category string")
+    cases = spark.createDataFrame([(7, "mini lamp big", "b", 90.0, 100.0), (8, "smart lamp", "a", 90.0, 100.0)], "id long, title string, category string, raised_amount double, goal_amount double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = similar_cases(projects, cases, 3)
+        plan = rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        exchanges = [part.split("Input", 1)[1].split("\n")[0] for part in plan.split("\n\n") if " Exchange\n" in part and "Input" in part]
+        lookups = [x for x in exchanges if "project_id#" in x and "words#" in x.replace("keywords#", "")]
+        assert lookups and not any("keywords#" in x for x in lookups)
+        got = sorted((r["project_id"] or 0, r["case_id"], r["score"], r["shared_keywords"], r["same_category"]) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [g for g in got if g[0] == 1] == [(1, 7, 10, "lamp,mini", False), (1, 8, 80, "lamp,smart", True)]
+    assert [g[1:3] for g in got if g[0] == 2] == [(7, 70)]
+
+
 def test_match_makers(spark):
     makers = [(1, "Nova", "https://nova.io/"), (2, "Brand Two", None)]
     projects = [
