@@ -294,6 +294,7 @@ def presift_runs(runs: DataFrame, window: int = 20) -> DataFrame:
 # --- stale jobs --------------------------------------------------------------------------------
 
 STALE_OUTPUT = "job_id long, project_id long, status string, at long"
+_SIGN = np.dtype([("job", "<i8"), ("seen", "<i8"), ("project", "<i8"), ("has_project", "?"), ("stopped", "?")])
 
 
 class HeartbeatWatch(StatefulProcessor):
@@ -303,6 +304,9 @@ class HeartbeatWatch(StatefulProcessor):
     Signs wait until the watermark has passed them and are then read in order of time, so neither their order of arrival nor the cut into
     micro-batches decides what is reported. A sign that comes after that is late and changes nothing. The state holds running
     jobs and waiting signs only, and one timer: for the earliest sign that waits, or the first job to become stale.
+
+    Signs lie in the state as packed arrays, one for each Arrow batch that brought them, and are judged as arrays: an entry of its
+    own and a step of Python for every sign cost more than all the rest.
     """
 
     def __init__(self, stale_ms: int) -> None:
@@ -311,8 +315,8 @@ class HeartbeatWatch(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.times = handle.getValueState("times", "done long, armed long")
-        self.running = handle.getListState("running", "job_id long, seen long, project_id long")
-        self.waiting = handle.getListState("waiting", "job_id long, seen long, stopped boolean, project_id long")
+        self.running = handle.getListState("running", "signs binary")
+        self.waiting = handle.getListState("waiting", "signs binary")
 
     def _armed(self, at: int, armed: int | None) -> int:
         if armed is not None:
@@ -324,47 +328,46 @@ class HeartbeatWatch(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         done, armed = self.times.get() if self.times.exists() else (None, None)
-        held = armed
+        held, lots = armed, []
         for batch in rows:
-            projects = [None if pd.isna(p) else int(p) for p in batch["project_id"]]
-            signs = list(zip(batch["job_id"].tolist(), batch["seen_ms"].tolist(), (batch["status"] != "running").tolist(), projects))
-            signs = [s for s in signs if done is None or s[1] > done]
-            if signs:
-                self.waiting.appendList(signs)
-                armed = self._armed(min(s[1] for s in signs), armed)
+            signs = np.zeros(len(batch), _SIGN)
+            signs["job"], signs["seen"] = batch["job_id"].astype("int64"), batch["seen_ms"].astype("int64")
+            signs["stopped"], signs["has_project"] = batch["status"] != "running", batch["project_id"].notna()
+            signs["project"] = batch["project_id"].fillna(0).astype("int64")
+            signs = signs if done is None else signs[signs["seen"] > done]
+            if len(signs):
+                lots.append((signs.tobytes(),))
+                armed = self._armed(int(signs["seen"].min()), armed)
+        if lots:
+            self.waiting.appendList(lots)
         if armed != held:
             self.times.update((done, armed))
         yield pd.DataFrame([], columns=["job_id", "project_id", "status", "at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        due, later = [], []
-        for sign in self.waiting.get():
-            (due if sign[1] <= now else later).append(tuple(sign))
-        alive = {job: (seen, project) for job, seen, project in self.running.get()}
-        out = []
-
-        def judge(job: int, until: int) -> None:
-            if job in alive and until - alive[job][0] > self.stale_ms:
-                seen, project = alive.pop(job)
-                out.append((job, project, "timed_out", seen + self.stale_ms))
-
-        for job, seen, stopped, project in sorted(due, key=lambda s: s[:3]):
-            judge(job, seen)
-            if stopped:
-                alive.pop(job, None)
-            else:
-                alive[job] = (seen, project)
-        for job in list(alive):
-            judge(job, now)
-        for state, rows in ((self.waiting, later), (self.running, [(job, *held) for job, held in alive.items()])):
-            if rows:
-                state.put(rows)
+        alive, waiting = (np.frombuffer(b"".join(r[0] for r in state.get()), _SIGN) for state in (self.running, self.waiting))
+        due = waiting["seen"] <= now
+        later = waiting[~due]
+        # running jobs were seen before all signs that are due
+        signs = np.concatenate([alive, waiting[due]])
+        signs = signs[np.lexsort((signs["stopped"], signs["seen"], signs["job"]))]
+        last = np.ones(len(signs), bool)
+        last[:-1] = signs["job"][1:] != signs["job"][:-1]
+        until = np.full(len(signs), now, np.int64)
+        until[:-1] = np.where(last[:-1], now, signs["seen"][1:])
+        silent = ~signs["stopped"] & (until - signs["seen"] > self.stale_ms)
+        alive, stale = signs[last & ~signs["stopped"] & ~silent], signs[silent]
+        for state, rows in ((self.waiting, later), (self.running, alive)):
+            if len(rows):
+                state.put([(rows.tobytes(),)])
             else:
                 state.clear()
-        following = [s[1] for s in later] + [seen + self.stale_ms + 1 for seen, _ in alive.values()]
+        following = [int(x.min()) for x in (later["seen"], alive["seen"] + self.stale_ms + 1) if len(x)]
         self.times.update((now, self._armed(min(following), None) if following else None))
-        yield pd.DataFrame(out, columns=["job_id", "project_id", "status", "at"])
+        projects = pd.array(stale["project"], dtype="Int64")
+        projects[~stale["has_project"]] = pd.NA
+        yield pd.DataFrame({"job_id": stale["job"], "project_id": projects, "status": "timed_out", "at": stale["seen"] + self.stale_ms})
 
     def close(self) -> None:
         pass

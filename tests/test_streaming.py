@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from leadloom import vocab
@@ -187,6 +188,72 @@ def test_an_older_sign_does_not_renew(spark, tmp_path):
     assert got == [(1, 10, at(1090)), (1, 10, at(6090)), (2, None, at(1090))]
 
 
+class Kept:
+    """A state variable that counts what is put into it."""
+
+    def __init__(self):
+        self.rows, self.entries = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows[0] if self.single else iter(self.rows)
+
+    def update(self, value):
+        self.rows = [value]
+
+    def appendList(self, values):
+        self.rows, self.entries = self.rows + list(values), self.entries + len(values)
+
+    def put(self, values):
+        self.rows, self.entries = list(values), self.entries + len(values)
+
+    def clear(self):
+        self.rows = []
+
+
+class Handle:
+    def __init__(self):
+        self.made = {}
+
+    def _state(self, name, single):
+        self.made[name] = Kept()
+        self.made[name].single = single
+        return self.made[name]
+
+    def getValueState(self, name, schema):
+        return self._state(name, True)
+
+    def getListState(self, name, schema):
+        return self._state(name, False)
+
+    def registerTimer(self, at):
+        pass
+
+    deleteTimer = registerTimer
+
+
+def test_signs_are_kept_by_the_batch():
+    """A key's signs cost calls of the state store by the batch, not one for each sign."""
+    rng = random.Random(5)
+    beats = [(rng.randint(1, 50), rng.choice([None, 7]), rng.choice(["running"] * 4 + ["failed"]), START + timedelta(seconds=10 * i)) for i in range(3000)]
+    until = START + timedelta(days=2)
+    watch, handle = state.HeartbeatWatch(90_000), Handle()
+    watch.init(handle)
+    ms = lambda at: round((at - datetime(1970, 1, 1)).total_seconds() * 1000)
+    frame = pd.DataFrame([(j, p, s, ms(at)) for j, p, s, at in beats], columns=["job_id", "project_id", "status", "seen_ms"])
+    got = []
+    for begin, now in ((0, START + timedelta(seconds=9_000)), (1000, START + timedelta(seconds=19_005)), (2000, until)):
+        lot = frame[begin : begin + 1000]
+        list(watch.handleInputRows((0,), iter([lot[:500], lot[500:]]), None))
+        clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self, now=now: ms(now)})()
+        for out in watch.handleExpiredTimer((0,), clock, None):
+            got += [(r.job_id, None if pd.isna(r.project_id) else r.project_id, datetime(1970, 1, 1) + timedelta(milliseconds=r.at)) for r in out.itertuples()]
+    assert len(got) == len(set(got)) and set(got) == silences(beats, until)
+    assert handle.made["waiting"].entries <= 9 and handle.made["running"].entries <= 3
+
+
 # captures
 
 
