@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import remove, shared_folder
+from leadloom.llm.common import remove, shared_folder, written
 
 
 def _larger(edges: DataFrame) -> DataFrame:
@@ -44,3 +44,18 @@ def components(edges: DataFrame) -> DataFrame:
         now = _smaller(_larger(now))
     stars = now.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
     return stars.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
+def grouped(df: DataFrame, groups: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the component of the node in ``column`` as ``name``; a node that is in no group is one of its own."""
+    got = groups.select(F.col("node").alias(column), F.col("component").alias(f"{name}_"))
+    return df.join(got, column, "left").withColumn(name, F.coalesce(f"{name}_", column)).drop(f"{name}_")
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of ``groups`` (node, component) once ``links`` (a, b) join them: each end is a component of ``groups``, or a node that is in none.
+
+    Of all links between two groups one is followed, so the edges grow with the pairs of groups that are linked, not with the pairs of their members."""
+    wider = components(links)
+    old = grouped(groups, wider, "component", "wider").select("node", F.col("wider").alias("component"))
+    return written(old.unionByName(wider.join(groups, "node", "left_anti")))

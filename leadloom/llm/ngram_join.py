@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from leadloom.llm.common import RollingHash, mixed, pieces, string_bytes, written
-from leadloom.llm.components import components
+from leadloom.llm.components import components, grouped, merged
 
 SHINGLE = 5
 CELLS, SLICES = 1 << 20, 16
@@ -299,11 +299,11 @@ def contents(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFram
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets."""
-    joined = pairs.select("a", "b").join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("y")), "b")
+    """The pairs (a, b, and what else is known of them) that are linked, by their whole sets."""
+    joined = pairs.join(sets.select(F.col("set").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    rows = joined.select("a", "b", shared.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return rows.filter("100L * both >= 75L * (sum - both)").select("a", "b").distinct()
+    rows = joined.select(*pairs.columns, shared.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return rows.filter("100L * both >= 75L * (sum - both)").select(*pairs.columns).distinct()
 
 
 def linked_groups(docs: DataFrame) -> DataFrame:
@@ -322,14 +322,9 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     ends = candidates.select("a", "b", "met", F.explode(F.array(F.struct(F.col("a").alias("end"), F.col("size_b").alias("size"), F.col("b").alias("other")), F.struct(F.col("b").alias("end"), F.col("size_a").alias("size"), F.col("a").alias("other")))).alias("x"))
     best = ends.groupBy("x.end").agg(F.max(F.struct("met", "a", "b")).alias("most"), F.min(F.struct("x.size", "x.other", "a", "b")).alias("least"))
     best = written(best.select(F.explode(F.array(F.struct("most.a", "most.b"), F.struct("least.a", "least.b"))).alias("x")).select("x.*").distinct())
-    contents_of = lambda pairs: written(contents(docs, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), members))
+    contents_of = lambda pairs: written(contents(docs, pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), members))
 
-    def grouped(df, groups, column, name):
-        got = groups.select(F.col("node").alias(column), F.col("component").alias(f"{name}_"))
-        return df.join(got, column, "left").withColumn(name, F.coalesce(f"{name}_", column)).drop(f"{name}_")
-
-    links = written(verified(best, contents_of(best)))
-    groups = components(links)
+    groups = components(verified(best, contents_of(best)))
     n_a, n_b = F.shiftright("size_a", 32), F.shiftright("size_b", 32)
     fits = (F.col("set_a") < F.col("set_b")) & (F.col("g_a") != F.col("g_b")) & (n_a * 4 >= n_b * 3) & (n_b * 4 >= n_a * 3)
 
@@ -341,15 +336,17 @@ def linked_groups(docs: DataFrame) -> DataFrame:
         rows = rows.join(keys.select("key", "members"), "key").withColumn("part", part)
         left, right = (rows.select("key", "part", *[F.col(c).alias(f"{c}_{end}") for c in ("set", "size", "long", "g")]) for end in "ab")
         met = left.join(right, ["key", "part"]).filter(fits & possible(F.lit(0), "size_a", "size_b", "long_a", "long_b"))
-        return met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
+        return met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "g_a", "g_b").distinct()
+
+    def after(groups, pairs):
+        """The groups once the linked ones among ``pairs`` (a, b, and their groups g_a, g_b) are joined."""
+        return merged(groups, verified(pairs, contents_of(pairs)).select(F.col("g_a").alias("a"), F.col("g_b").alias("b")))
 
-    rest = grouped(grouped(candidates.select("a", "b"), groups, "a", "ga"), groups, "b", "gb").filter("ga != gb").select("a", "b")
+    rest = grouped(grouped(candidates.select("a", "b"), groups, "a", "g_a"), groups, "b", "g_b").filter("g_a != g_b")
     rest = written(rest.unionByName(across(groups, 3)).distinct().join(best, ["a", "b"], "left_anti"))
-    links = written(links.unionByName(verified(rest, contents_of(rest))))
-    groups = components(links)
-    last = written(across(groups).join(best.unionByName(rest), ["a", "b"], "left_anti"))
-    links = written(links.unionByName(verified(last, contents_of(last))))
-    groups = components(links)
+    groups = after(groups, rest)
+    last = written(across(groups).join(best.unionByName(rest.select("a", "b")), ["a", "b"], "left_anti"))
+    groups = after(groups, last)
 
     # the least document of a set, then of a group
     by_set = members.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))

@@ -249,6 +249,24 @@ def test_rows_without_an_id_link_others(spark):
     assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["n_shingles"] > 60) == [(82, 7), (82, 7), (96, 7)]
 
 
+def test_edges_of_near_copies_grow_with_their_number_not_their_pairs(spark, monkeypatch):
+    rng, fed, larger = random.Random(5), [], components._larger
+    monkeypatch.setattr(components, "_larger", lambda edges: (fed.append(edges.count()), larger(edges))[1])
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join(w for w in words if rng.random() > 0.015)) for i in range(300)]
+    got = ngram_join.linked_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.groups(rows)
+    assert sum(fed) <= 10 * len(rows), fed
+
+
+def test_groups_are_merged_by_links_between_them(spark):
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "node long, component long")
+    links = spark.createDataFrame([(5, 3), (3, 5), (1, 9), (7, 8), (8, 7), (1, 1)], "a long, b long")
+    got = sorted(map(tuple, components.merged(groups, links).collect()))
+    assert got == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 3), (7, 7), (8, 7), (9, 1)]
+    assert sorted(map(tuple, components.merged(groups, links.limit(0)).collect())) == sorted(map(tuple, groups.collect()))
+
+
 def test_frequent_shingles_are_indexed_in_pairs():
     import numpy as np
 
