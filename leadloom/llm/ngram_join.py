@@ -308,6 +308,25 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.filter("100L * both >= 75L * (sum - both)").select(*pairs.columns).distinct()
 
 
+def meetings(rows: DataFrame, some: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """Pairs of rows (key, set, size, long, g; columns end in _a and _b) under one key: all in which several groups g meet, or those that meet in one of many parts of a few lists of each set (``among`` the sets).
+
+    These lists are the least of the set by ``LISTS`` hashes, so sets that have many lists in common are likely to choose the same. In a part a set meets
+    about ``MOST`` members of the list's largest group, and ``SHARE`` of all others."""
+    rows = rows.join(among.select("set").distinct(), "set", "left_semi") if among is not None else rows
+    rows = rows.join(rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi").select("key"), "key")
+    part = F.lit(0).cast("long")
+    if some:
+        least = rows.groupBy("set").agg(*[F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"key{i}") for i in range(LISTS)])
+        rows = rows.join(least.select("set", F.explode(F.array_distinct(F.array(*[f"key{i}" for i in range(LISTS)]))).alias("key")), ["set", "key"])
+        counts = rows.groupBy("key", "g").agg(F.count("*").alias("n")).groupBy("key").agg(F.max("n").alias("most"), F.sum("n").alias("members"))
+        rows = rows.join(counts, "key")
+        part = F.pmod(F.xxhash64("set", "key"), F.greatest(F.lit(1), F.col("most") / MOST, (F.col("members") - F.col("most")) / SHARE).cast("long"))
+    rows = rows.withColumn("part", part)
+    left, right = (rows.select("key", "part", *[F.col(c).alias(f"{c}_{end}") for c in ("set", "size", "long", "g")]) for end in "ab")
+    return left.join(right, ["key", "part"]).filter("set_a < set_b and g_a != g_b")
+
+
 def linked_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
     passed = written(measured(docs))
@@ -328,27 +347,12 @@ def linked_groups(docs: DataFrame) -> DataFrame:
 
     groups = components(verified(best, contents_of(best)))
     n_a, n_b = F.shiftright("size_a", 32), F.shiftright("size_b", 32)
-    fits = (F.col("set_a") < F.col("set_b")) & (F.col("g_a") != F.col("g_b")) & (n_a * 4 >= n_b * 3) & (n_b * 4 >= n_a * 3)
-
-    def across(groups, some: bool = False, among: DataFrame | None = None):
-        """Pairs of members of one long list (that are ``among`` sets) in different groups: all of them, or those that meet in one of many parts of a few lists of each set.
-
-        These lists are the least of the set by ``LISTS`` hashes, so sets that have many lists in common are likely to choose the same. In a part a set meets
-        about ``MOST`` members of the list's largest group, and ``SHARE`` of all others."""
-        rows = grouped(long.join(in_long, "set", "left"), groups, "set", "g")
-        rows = rows.join(among.select("set").distinct(), "set", "left_semi") if among is not None else rows
-        rows = rows.join(rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi").select("key"), "key")
-        part = F.lit(0).cast("long")
-        if some:
-            least = rows.groupBy("set").agg(*[F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"key{i}") for i in range(LISTS)])
-            rows = rows.join(least.select("set", F.explode(F.array_distinct(F.array(*[f"key{i}" for i in range(LISTS)]))).alias("key")), ["set", "key"])
-            counts = rows.groupBy("key", "g").agg(F.count("*").alias("n")).groupBy("key").agg(F.max("n").alias("most"), F.sum("n").alias("members"))
-            rows = rows.join(counts, "key")
-            part = F.pmod(F.xxhash64("set", "key"), F.greatest(F.lit(1), F.col("most") / MOST, (F.col("members") - F.col("most")) / SHARE).cast("long"))
-        rows = rows.withColumn("part", part)
-        left, right = (rows.select("key", "part", *[F.col(c).alias(f"{c}_{end}") for c in ("set", "size", "long", "g")]) for end in "ab")
-        met = left.join(right, ["key", "part"]).filter(fits & possible(F.lit(0), "size_a", "size_b", "long_a", "long_b"))
-        return met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "g_a", "g_b").distinct()
+    fits = (n_a * 4 >= n_b * 3) & (n_b * 4 >= n_a * 3)
+
+    def across(groups, **which):
+        """Pairs of members of one long list that are in different groups and can be linked."""
+        met = meetings(grouped(long.join(in_long, "set", "left"), groups, "set", "g"), **which)
+        return met.filter(fits & possible(F.lit(0), "size_a", "size_b", "long_a", "long_b")).select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "g_a", "g_b").distinct()
 
     def after(groups, pairs, sets):
         """The groups once the linked ones among ``pairs`` (a, b, and their groups g_a, g_b) are joined."""

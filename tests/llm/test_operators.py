@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry
 import corpus_pipeline
 from leadloom.domain import BASE_TABLES
-from leadloom.llm import bpe, components, decontaminate, fingerprint, langid, lines, ngram_join, quality, queries, rollup, suffix_dedup, warc
+from leadloom.llm import bpe, common, components, decontaminate, fingerprint, langid, lines, ngram_join, quality, queries, rollup, suffix_dedup, warc
 from leadloom.llm.common import built, shared_folder, table, written
 from tests.llm import brute
 from tools.compare import rows_of
@@ -259,6 +260,25 @@ def test_edges_of_near_copies_grow_with_their_number_not_their_pairs(spark, monk
     assert sum(fed) <= 10 * len(rows), fed
 
 
+def test_members_of_long_lists_meet_in_few_pairs(spark):
+    # sets under 40 keys each; of 200, 40 are in groups of their own
+    rows = spark.createDataFrame([(k, i, 0, 0, i if i < 40 else 1000) for i in range(200) for k in range(40)], "key long, set long, size long, long long, g long")
+    pairs = lambda df: {(r["set_a"], r["set_b"]) for r in df.select("set_a", "set_b").collect()}
+    every, some = pairs(ngram_join.meetings(rows)), pairs(ngram_join.meetings(rows, some=True))
+    assert every == {(a, b) for a in range(40) for b in range(a + 1, 200)}
+    assert some < every and {x for p in some for x in p} >= set(range(40))
+    assert len(some) <= 40 * ngram_join.LISTS * (ngram_join.MOST + ngram_join.SHARE)
+    assert pairs(ngram_join.meetings(rows, some=True, among=rows.filter("set < 20"))) <= {(a, b) for a in range(20) for b in range(a + 1, 20)}
+
+
+def test_free_arrow_memory_goes_back_at_the_end_of_a_task(monkeypatch):
+    events = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: events.append("released")))
+    for batch in common.released(lambda batches: (b + 1 for b in batches))([1, 2]):
+        events.append(batch)
+    assert events == [2, 3, "released"]
+
+
 def test_groups_are_merged_by_links_between_them(spark):
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "node long, component long")
     links = spark.createDataFrame([(5, 3), (3, 5), (1, 9), (7, 8), (8, 7), (1, 1)], "a long, b long")
