@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import built
+from leadloom.llm.common import built, released
 
 # Fixed value: the split of words, numbers, signs and white space that the byte-level vocabulary was made with.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -179,7 +179,7 @@ def encode(docs: DataFrame, tables: Broadcast, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=[id_col, "ids"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(released(run), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, tables: Broadcast, id_col: str = "doc_id") -> DataFrame:
@@ -197,7 +197,7 @@ def decode(encoded: DataFrame, tables: Broadcast, id_col: str = "doc_id") -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind}, ids array<int>, text string")
+    return encoded.select(id_col, "ids").mapInArrow(released(run), f"{id_col} {kind}, ids array<int>, text string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

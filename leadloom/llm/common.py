@@ -74,6 +74,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
+def released(run):
+    """``run`` for ``mapInArrow``, which at its end gives Arrow's free memory back: Python workers wait for later tasks, and what they hold counts against those."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 class RollingHash:
     """Hashes of substrings of a byte string, each in constant time: a polynomial modulo 2**64 over random byte codes."""
 
